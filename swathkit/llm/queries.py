@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from swathkit.llm import bloom_dedup, hilbert_shards, simhash_dedup, suffix_dedup
+from swathkit.llm import bloom_dedup, byte_bpe, decontaminate, hilbert_shards, simhash_dedup, suffix_dedup, toxicity
+
+BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(doc_id: Column) -> Column:
+    """crc32 of the id as text, mod 5; a null id is in fold 4."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(4))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learnt from the labels outside of fold 0."""
+    labels = _table(spark, sf_dir, "labels").filter(fold(F.col("doc_id")) != 0)
+    return toxicity.fit(_table(spark, sf_dir, "documents"), labels)
+
+
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(_table(spark, sf_dir, "documents"), 24)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.token_digests(_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "n_sentences", "worst_start", "worst_end")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -27,9 +55,20 @@ def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op5_suffix_dedup, op7_simhash_dedup, op10_bloom_dedup)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_byte_bpe, op3_toxicity, op5_suffix_dedup, op6_decontaminate, op7_simhash_dedup, op10_bloom_dedup)}
 
 ORACLES = {
+    "op6_decontaminate": """
+        WITH w AS (
+            SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents
+            UNION ALL
+            SELECT 1, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') FROM benchmark),
+        s AS (SELECT DISTINCT kind, id, array_to_string(w[i : i + 4], ' ') AS shingle
+              FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT id AS item_id, count(*) AS item_shingles FROM s WHERE kind = 1 GROUP BY id)
+        SELECT d.id AS doc_id, n.item_id, item_shingles, count(*) AS shared_shingles, count(*)::DOUBLE / item_shingles AS containment
+        FROM s b JOIN s d ON d.kind = 0 AND b.kind = 1 AND b.shingle = d.shingle JOIN n ON n.item_id = b.id
+        GROUP BY d.id, n.item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles""",
     "op10_bloom_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
