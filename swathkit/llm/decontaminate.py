@@ -174,6 +174,7 @@ def _contained_by_join(docs: DataFrame, items: DataFrame, threshold: float, word
     return pairs.join(docs, "doc_key").withColumnRenamed("text", "body").join(items, "item_key").select("doc_id", "body", "item_id", "text").mapInArrow(verify, OUT)
 
 
-def contaminated_ids(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """doc_id of the documents that hold an item, once each."""
-    return contained_items(docs, items, **options).select("doc_id").distinct()
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns. A null id is never dropped by the join beyond broadcast_bytes."""
+    found = contained_items(docs, items, threshold, words, id_col, text_col, **options).select(F.col("doc_id").alias("__found")).distinct()
+    return docs.join(found, F.col(id_col) == F.col("__found"), "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathkit.llm import bloom_dedup, byte_bpe, decontaminate, hilbert_shards, simhash_dedup, suffix_dedup, toxicity
+from swathkit.llm import bloom_dedup, byte_bpe, context_mixing, decontaminate, hilbert_shards, simhash_dedup, suffix_dedup, toxicity, url_filter, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -39,6 +39,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "n_sentences", "worst_start", "worst_end")
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A list derived from the pages: four dated entries for each host and each parent domain."""
+    keys = pages.select(F.explode(url_filter.suffixes(url_filter.host_of(F.coalesce(F.col("url"), F.lit(""))))).alias("key")).distinct()
+    entries = keys.select("key", F.explode(F.array(*map(F.lit, range(4)))).alias("j"))
+    entries = entries.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("#", "key", "j").cast("binary")), 1, 7), 16, 10).cast("long"))
+    action = F.element_at(F.array(*map(F.lit, url_filter.ACTIONS)), (F.expr("(h div 365) % 3") + 1).cast("int"))
+    return entries.select("key", action.alias("action"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("h") % 365).cast("int")).alias("since"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    fetched = pages.withColumn("fetch_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 7919 % 365).cast("int")))
+    judged = url_filter.judge_captures(fetched, dated_entries(pages))
+    return judged.withColumns({c: F.col(c).cast("string") for c in ("fetch_date", "listed_since")})
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -51,13 +67,40 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = context_mixing.score(_table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 1)
+    return scored.select("doc_id", (~F.col("is_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_byte_bpe, op3_toxicity, op5_suffix_dedup, op6_decontaminate, op7_simhash_dedup, op10_bloom_dedup)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_byte_bpe, op3_toxicity, op4_url_filter, op5_suffix_dedup, op6_decontaminate, op7_simhash_dedup, op8_warc, op9_context_mixing, op10_bloom_dedup)}
 
 ORACLES = {
+    "op4_url_filter": """
+        WITH p AS (SELECT page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host,
+                          DATE '2024-01-01' + CAST(page_id * 7919 % 365 AS INTEGER) AS fetch_date FROM pages),
+        k AS (SELECT page_id, host, fetch_date, array_to_string(l[i:], '.') AS key
+              FROM (SELECT *, unnest(range(1, len(l))) AS i FROM (SELECT *, string_split(host, '.') AS l FROM p))),
+        e AS (SELECT key, j, CAST('0x' || substr(md5(key || '#' || j), 1, 7) AS BIGINT) AS h FROM (SELECT DISTINCT key FROM k), (SELECT unnest(range(0, 4)) AS j)),
+        d AS (SELECT key, DATE '2024-01-01' + CAST(h % 365 AS INTEGER) AS since, min((h // 365) % 3) AS a FROM e GROUP BY 1, 2),
+        v AS (SELECT key, since, a, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM d),
+        m AS (SELECT k.page_id, v.key, v.a, v.since, row_number() OVER (PARTITION BY k.page_id ORDER BY length(v.key) DESC) AS r
+              FROM k JOIN v ON k.key = v.key AND v.a < 2 AND k.fetch_date >= v.since AND (v.until IS NULL OR k.fetch_date < v.until))
+        SELECT p.page_id, p.host, p.fetch_date::VARCHAR AS fetch_date, m.key AS list_key, CASE m.a WHEN 0 THEN 'block' WHEN 1 THEN 'allow' END AS list_action,
+               m.since::VARCHAR AS listed_since, coalesce(m.a = 0, false) AS blocked
+        FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1""",
+    "op8_warc": """
+        WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS f FROM t)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f < page_id THEN f END AS refers_to FROM g""",
     "op6_decontaminate": """
         WITH w AS (
             SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents

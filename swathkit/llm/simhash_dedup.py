@@ -117,3 +117,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = label.join(least, "component").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(label, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that head their group (the smallest id), with all their columns. Ids should be unique; rows of one id stay or go together."""
+    groups = near_groups(docs, id_col, text_col, **options)
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")

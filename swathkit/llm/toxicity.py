@@ -168,6 +168,39 @@ def _judge(values: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray, n
     return owner, words.starts[first] - words.offsets[owner], words.ends[last] - words.offsets[owner], p
 
 
+def _document_scores(texts: list[bytes], model: Model) -> tuple[np.ndarray, ...]:
+    """Per text: score, number of sentences, and the byte span of the likeliest sentence (0, 0 without evidence)."""
+    clean = np.zeros(len(texts))
+    count, low, high = (np.zeros(len(texts), np.int64) for _ in range(3))
+    worst = np.zeros(len(texts))
+    for a, b in slices(texts, _SLICE):
+        base = 0
+        for piece in [texts[a:b]] if b - a > 1 else [[p] for p in _pieces(texts[a])]:
+            owner, start, end, p = _judge(piece, model)
+            owner = owner + a
+            clean += np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts))
+            count += np.bincount(owner, minlength=len(texts))
+            best = np.lexsort((start, -p, owner))
+            best = best[np.diff(owner[best], prepend=-1) != 0]
+            best = best[p[best] > worst[owner[best]]]
+            worst[owner[best]], low[owner[best]], high[owner[best]] = p[best], start[best] + base, end[best] + base
+            base += len(piece[0])
+    return np.abs(np.expm1(clean)), count, low, high
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs whose score is below threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = _document_scores(binary_list(batch.column(at)), Model(*shared.value))[0]
+            yield batch.filter(pa.array(value < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, score, predicted (1 if score >= threshold), n_sentences, worst_start, worst_end: one row per row of docs.
 
@@ -177,26 +210,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(*shared.value)
         for batch in batches:
-            texts = binary_list(batch.column(1))
-            clean = np.zeros(len(texts))
-            count, low, high = (np.zeros(len(texts), np.int64) for _ in range(3))
-            worst = np.zeros(len(texts))
-            for a, b in slices(texts, _SLICE):
-                base = 0
-                for piece in [texts[a:b]] if b - a > 1 else [[p] for p in _pieces(texts[a])]:
-                    owner, start, end, p = _judge(piece, known)
-                    owner = owner + a
-                    clean += np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts))
-                    count += np.bincount(owner, minlength=len(texts))
-                    best = np.lexsort((start, -p, owner))
-                    best = best[np.diff(owner[best], prepend=-1) != 0]
-                    best = best[p[best] > worst[owner[best]]]
-                    worst[owner[best]], low[owner[best]], high[owner[best]] = p[best], start[best] + base, end[best] + base
-                    base += len(piece[0])
-            value = np.abs(np.expm1(clean))
-            none = worst == 0
+            value, count, low, high = _document_scores(binary_list(batch.column(1)), Model(*shared.value))
+            none = high == 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(count), pa.array(low, mask=none), pa.array(high, mask=none)],
                 names=["doc_id", "score", "predicted", "n_sentences", "worst_start", "worst_end"],
