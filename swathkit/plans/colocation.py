@@ -1,6 +1,274 @@
-"""Registered queries of the colocation jobs."""
+"""Registered queries of the colocation jobs, on points, footprints and documents derived from events."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from swathkit.functions import geojson, geometry, times
+from swathkit.operators import catalogue, rings, tracks
+from swathkit.operators.colocate import HOUR, colocate
+from swathkit.sources import files
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+def points(events: DataFrame) -> DataFrame:
+    rows = events.filter("event_id % 2 = 0").withColumn("longitude", (F.col("event_id") * 7919) % 3600 * F.lit(0.1) - 180).withColumn("latitude", (F.col("event_id") * 104729) % 1800 * F.lit(0.1) - 90)
+    return rows.select("latitude", "longitude", times.millis_text(F.timestamp_micros("us")).alias("timestamp"), F.col("us").alias("point_us"))
+
+
+_CORNERS = ((-6, -5), (7, -7), (5, 6), (-8, 4))
+
+
+def _centres(events: DataFrame) -> DataFrame:
+    return events.withColumn("cx", (F.col("event_id") * 31337) % 3400 * F.lit(0.1) - 170).withColumn("cy", (F.col("event_id") * 2713) % 1600 * F.lit(0.1) - 80)
+
+
+def footprint_table(events: DataFrame, scale: int = 1) -> DataFrame:
+    rows = _centres(events.filter("event_id % 5 = 1"))
+    ring = F.array(*[F.struct((F.col("cx") + scale * a).alias("lon"), (F.col("cy") + scale * b).alias("lat")) for a, b in _CORNERS])
+    part = F.struct(F.lit("Polygon").alias("kind"), F.array(ring).alias("rings"))
+    return rows.select(F.col("us").alias("footprint_us"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("source_folder"), F.concat(F.col("event_id").cast("string"), F.lit(".geojson")).alias("file_name"), F.array(part).alias("parts"))
+
+
+def colocate_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    return colocate(points(events), footprint_table(events, 3))
+
+
+def colocate_interval_pip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    return colocate(points(events), footprint_table(events))
+
+
+def colocate_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    return colocate(points(events), footprint_table(events), month="2024-01")
+
+
+def colocate_multi_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = colocate_interval_pip(spark, sf_dir)
+    return found.groupBy("source_folder").agg(F.count("*").alias("matches"), F.min("time_diff_seconds").alias("least"), F.max("time_diff_seconds").alias("most"))
+
+
+def _granules(events: DataFrame) -> DataFrame:
+    """Metadata of tracks with one to five points, as XML text."""
+    n = F.col("event_id") % 5 + 1
+    pos = F.array_join(F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.concat_ws(" ", ((F.col("event_id") * 7 + i * 3) % 90).cast("string"), ((F.col("event_id") * 11 + i * 5) % 180).cast("string"))), " ")
+    begin = times.iso_text(F.timestamp_micros("us"))
+    end = times.iso_text(F.timestamp_micros(F.col("us") + (F.col("event_id") % 7 + 1) * 1_000_001))
+    xml = F.concat(F.lit('<r xmlns:gml="http://www.opengis.net/gml/3.2"><gml:beginPosition>'), begin, F.lit("</gml:beginPosition><gml:endPosition>"), end, F.lit("</gml:endPosition><gml:posList>"), pos, F.lit("</gml:posList></r>"))
+    return events.select(F.col("event_id").cast("string").alias("file_name"), xml.alias("xml"))
+
+
+def points_from_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tracks.extract_points(_granules(_events(spark, sf_dir)))
+    return found.select("file_name", "pos", "latitude", "longitude", "timestamp")
+
+
+def _manifests(events: DataFrame) -> DataFrame:
+    rows = _centres(events.filter("event_id % 5 = 1"))
+    x, y = (F.col("event_id") * 31337) % 340 - 170, (F.col("event_id") * 2713) % 160 - 80
+    pos = F.concat_ws(" ", *[(c).cast("string") for a, b in _CORNERS for c in (y + b, x + a)])
+    start, stop = times.iso_text(F.timestamp_micros("us")), times.iso_text(F.timestamp_micros(F.col("us") + (F.col("event_id") % 11) * 1_000_001))
+    xml = F.concat(F.lit('<x xmlns:s="u"><s:startTime>'), start, F.lit("</s:startTime><s:stopTime>"), stop, F.lit("</s:stopTime><s:posList>"), pos, F.lit("</s:posList></x>"))
+    key = F.concat_ws("_", *[F.lit(c) for c in "ABCDEFGH"], (F.col("event_id") % 997).cast("string"), F.lpad((F.col("event_id") * 7919 % 100000).cast("string"), 5, "0"), F.lit("x.manifest"))
+    return rows.select(F.to_date(F.timestamp_micros("us")).alias("day"), F.concat(F.lit("/m/"), F.col("event_id").cast("string")).alias("path"), key.alias("file_name"), xml.alias("xml"), "event_id", "us")
+
+
+def footprint_midpoint_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tracks.read_manifest(_manifests(_events(spark, sf_dir)))
+    return found.select("path", "central_time", F.round("central_lat", 6).alias("central_lat"), F.round("central_lon", 6).alias("central_lon"))
+
+
+def footprints_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tracks.footprints(_manifests(_events(spark, sf_dir)))
+    return found.select("path", "central_time", "polygon_file", F.size("rings").alias("n_rings"), F.size(F.flatten("rings")).alias("n_vertices"), "straddles")
+
+
+def circular_mean_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(_events(spark, sf_dir)).withColumn("band", F.floor((F.col("latitude") + 90) / 7).cast("int")).filter((F.col("longitude") > 100) | (F.col("longitude") < -150))
+    return rows.groupBy("band").agg(F.round(geometry.circular_mean(F.col("longitude")), 6).alias("mean_lon"), F.count("*").alias("n"))
+
+
+def latest_version_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks.latest_versions(_manifests(_events(spark, sf_dir))).select(F.col("day").cast("string").alias("day"), "group_key", "version", "file_name", "path")
+
+
+def _walks(events: DataFrame) -> DataFrame:
+    """Tracks of users: vertices in order of events, with whole degrees."""
+    return events.select(F.col("user_id").alias("ring_id"), F.col("event_id").alias("pos"), ((F.col("event_id") * 104729) % 179 - 89).cast("double").alias("lat"), ((F.col("event_id") * 7919) % 359 - 179).cast("double").alias("lon"))
+
+
+def unwrap_longitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rings.unwrapped(_walks(_events(spark, sf_dir)), ["ring_id"])
+
+
+def _ring_table(events: DataFrame) -> DataFrame:
+    """Quadrilaterals of whole degrees up to 60 degrees wide, all over the globe; many cross a meridian."""
+    x, y = (F.col("event_id") * 31337) % 357 - 178, (F.col("event_id") * 2713) % 120 - 60
+    wide, high = (F.col("event_id") % 29 + 1), (F.col("event_id") % 13 + 1)
+    lon = lambda a: F.when(a > 179, a - 360).when(a < -179, a + 360).otherwise(a).cast("double")
+    corner = lambda a, b: F.struct(lon(x + a).alias("lon"), (y + b).cast("double").alias("lat"))
+    ring = F.array(corner(-wide, -high), corner(wide, -high), corner(wide, high), corner(-wide, high))
+    return events.select(F.col("event_id").alias("footprint_id"), F.array(ring).alias("rings"))
+
+
+def normalise_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rings.normalise_rings(_ring_table(_events(spark, sf_dir)))
+    flat = F.flatten("rings")
+    span = F.array_max(F.transform("rings", lambda r: F.array_max(F.transform(r, lambda v: v["lon"])) - F.array_min(F.transform(r, lambda v: v["lon"]))))
+    return found.select("footprint_id", F.size("rings").alias("n_rings"), F.size(flat).alias("n_vertices"), F.round(span, 6).alias("widest"), "straddles")
+
+
+def split_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each ring: with exact=True their number is that of the crossings plus one."""
+    table = _ring_table(_events(spark, sf_dir)).select("footprint_id", F.col("rings")[0].alias("core"))
+    found = rings.split_rings(table, ["footprint_id"], exact=True)
+    return found.groupBy("footprint_id").agg(F.count("*").alias("pieces"))
+
+
+def _features(events: DataFrame) -> DataFrame:
+    table = footprint_table(events)
+    text = geojson.feature_text(F.col("parts")[0]["rings"], times.iso_text(F.timestamp_micros("footprint_us")), F.col("file_name"))
+    path = F.concat(F.lit("/f/"), F.col("source_folder"), F.lit("/"), times.safe_name(times.iso_text(F.timestamp_micros("footprint_us"))))
+    return table.select(path.alias("path"), text.alias("value"), F.col("file_name").alias("id"))
+
+
+def geojson_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _features(_events(spark, sf_dir))
+    return rows.select("id", F.get_json_object("value", "$.geometry.type").alias("kind"), F.get_json_object("value", "$.geometry.coordinates[0][1][0]").cast("double").alias("lon1"), F.get_json_object("value", "$.properties.central_time").alias("central_time"))
+
+
+def geojson_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = files.parse_footprints(_features(_events(spark, sf_dir)))
+    ring = F.col("parts")[0]["rings"][0]
+    return found.select("source_folder", "file_name", "footprint_us", F.size("parts").alias("n_parts"), F.size(ring).alias("n_vertices"), ring[0]["lon"].alias("lon0"), ring[0]["lat"].alias("lat0"))
+
+
+def filename_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select("event_id", times.safe_name(times.iso_text(F.timestamp_micros("us"))).alias("name"))
+    return rows.select("event_id", "name", F.unix_micros(times.time_of_name(F.col("name"))).alias("us"))
+
+
+def date_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, high = _events(spark, sf_dir).agg(F.min(F.to_date("ts")).cast("string"), F.max(F.to_date("ts")).cast("string")).first()
+    found = catalogue.date_chunks(spark, low, high, 3)
+    days = _events(spark, sf_dir).select(F.to_date("ts").alias("day"))
+    joined = days.join(F.broadcast(found), F.col("day").between(F.col("chunk_start"), F.col("chunk_end")))
+    return joined.groupBy("chunk_start", "chunk_end", "label").agg(F.count("*").alias("n")).select(F.col("chunk_start").cast("string").alias("chunk_start"), F.col("chunk_end").cast("string").alias("chunk_end"), "label", "n")
+
+
+def month_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _events(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    return catalogue.months(spark, 2023, 11).join(counts, "month", "left").select("month", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = _events(spark, sf_dir)
+    raw = events.select(
+        F.when(F.col("event_id") % 10 == 3, " ").otherwise(F.concat(F.lit(" D"), F.col("event_id").cast("string"))).alias("dipFilename"),
+        F.lit("u").alias("productURI"),
+        F.when(F.col("event_id") % 7 == 0, "").otherwise(times.iso_text(F.timestamp_micros("us"))).alias("beginAcquisition"),
+        F.to_date("ts").alias("chunk_start"),
+    )
+    listing = catalogue.with_targets(catalogue.clean_listing(raw), "http://host/meta", "out")
+    return listing, listing.filter("substring(dip_filename, 2) % 3 = 0").select("target_path")
+
+
+def catalogue_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missing, _ = catalogue.reconcile(*_listing(spark, sf_dir))
+    return missing.select("target_path", "metadata_url")
+
+
+def catalogue_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, summary = catalogue.reconcile(*_listing(spark, sf_dir))
+    return summary.withColumn("chunk_start", F.col("chunk_start").cast("string"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        colocate_interval_pip, colocate_wide, colocate_month, colocate_multi_folder, points_from_xml, footprint_midpoint_centre, footprints_job, circular_mean_by_group,
+        latest_version_per_group, unwrap_longitudes, split_rings, normalise_rings, geojson_export, geojson_flatten, filename_time, date_chunks, month_keys, catalogue_missing, catalogue_reconcile,
+    )
+}
+
+
+def _pip(scale: int) -> str:
+    corners = ", ".join(f"(cx + {scale * a}, cy + {scale * b}, cx + {scale * c}, cy + {scale * d})" for (a, b), (c, d) in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1]))
+    corners = corners.replace("+ -", "- ")
+    edge = ", ".join(f"{{'x1': {e.split(', ')[0]}, 'y1': {e.split(', ')[1]}, 'x2': {e.split(', ')[2]}, 'y2': {e.split(', ')[3]}}}" for e in corners[1:-1].split("), ("))
+    return f"""
+        WITH p AS (SELECT event_id AS pid, epoch_us(ts) AS pt_us, ((event_id * 7919) % 3600) * 0.1e0 - 180 AS lon, ((event_id * 104729) % 1800) * 0.1e0 - 90 AS lat FROM events WHERE event_id % 2 = 0),
+        f0 AS (SELECT event_id AS fid, epoch_us(ts) AS fp_us, ((event_id * 31337) % 3400) * 0.1e0 - 170 AS cx, ((event_id * 2713) % 1600) * 0.1e0 - 80 AS cy FROM events WHERE event_id % 5 = 1),
+        f AS (SELECT *, [{edge}] AS edges FROM f0),
+        c AS (SELECT pid, pt_us, lon, lat, fid, fp_us, unnest(edges) AS e FROM p JOIN f ON fp_us BETWEEN pt_us - 14400000000 AND pt_us + 14400000000
+              AND lon BETWEEN cx - {8 * scale} - 1e-8 AND cx + {7 * scale} + 1e-8 AND lat BETWEEN cy - {7 * scale} - 1e-8 AND cy + {6 * scale} + 1e-8),
+        t AS (SELECT *, (e.y1 > lat) <> (e.y2 > lat) AS crosses, (e.x2 - e.x1) * (lat - e.y1) / nullif(e.y2 - e.y1, 0) + e.x1 AS hit FROM c),
+        g AS (SELECT pid, fid, any_value(pt_us) AS pt_us, any_value(fp_us) AS fp_us, any_value(lon) AS longitude, any_value(lat) AS latitude,
+              bool_or((lon BETWEEN least(e.x1, e.x2) - 1e-9 AND greatest(e.x1, e.x2) + 1e-9 AND lat BETWEEN least(e.y1, e.y2) - 1e-9 AND greatest(e.y1, e.y2) + 1e-9
+                       AND abs((e.x2 - e.x1) * (lat - e.y1) - (lon - e.x1) * (e.y2 - e.y1)) <= 1e-9) OR (crosses AND abs(hit - lon) <= 1e-9)) AS edge,
+              count(*) FILTER (WHERE crosses AND lon < hit) % 2 = 1 AS odd FROM t GROUP BY pid, fid),
+        m AS (SELECT latitude, longitude, strftime(make_timestamp(pt_us), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS point_timestamp, CASE WHEN fid % 2 = 0 THEN 'a' ELSE 'b' END AS source_folder,
+              fid || '.geojson' AS geojson_filename, CASE WHEN fp_us % 1000000 = 0 THEN strftime(make_timestamp(fp_us), '%Y-%m-%dT%H:%M:%S+00:00') ELSE strftime(make_timestamp(fp_us), '%Y-%m-%dT%H:%M:%S.%f+00:00') END AS footprint_timestamp,
+              (fp_us - pt_us) / 1e6 AS time_diff_seconds, pt_us FROM g WHERE edge OR odd)"""
+
+
+_TIME = "CASE WHEN ({0}) % 1000000 = 0 THEN strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%S.%fZ') END"
+_MATCH = " SELECT * EXCLUDE (pt_us) FROM m"
+_MANIFEST = "SELECT *, epoch_us(ts) AS us, 'A_B_C_D_E_F_G_H_' || (event_id % 997) AS group_key, lpad((event_id * 7919 % 100000)::VARCHAR, 5, '0') AS version, '/m/' || event_id AS path, ts::DATE AS day FROM events WHERE event_id % 5 = 1"
+_MANIFEST_RING = "unnest([" + ", ".join(f"{{'x': (event_id * 31337) % 340 - 170 + ({a}), 'y': (event_id * 2713) % 160 - 80 + ({b})}}" for a, b in _CORNERS) + "])"
+_LISTING = """
+    WITH l AS (SELECT 'D' || event_id AS dip, event_id, ts::DATE AS chunk_start FROM events WHERE event_id % 10 <> 3),
+    t AS (SELECT *, 'out/' || chunk_start || '/' || dip || '_MD.XML' AS target_path FROM l)"""
+
+ORACLES = {
+    "colocate_interval_pip": _pip(1) + _MATCH,
+    "colocate_wide": _pip(3) + _MATCH,
+    "colocate_month": _pip(1) + _MATCH + " WHERE make_timestamp(pt_us) >= TIMESTAMP '2024-01-01' AND make_timestamp(pt_us) < TIMESTAMP '2024-02-01'",
+    "colocate_multi_folder": _pip(1) + " SELECT source_folder, count(*) AS matches, min(time_diff_seconds) AS least, max(time_diff_seconds) AS most FROM m GROUP BY source_folder",
+    "points_from_xml": """
+        WITH e AS (SELECT event_id, epoch_us(ts) AS us, event_id % 5 + 1 AS n, (event_id % 7 + 1) * 1000001 AS d FROM events),
+        s AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE d // (n - 1) + CASE WHEN 2 * (d % (n - 1)) > n - 1 OR (2 * (d % (n - 1)) = n - 1 AND (d // (n - 1)) % 2 = 1) THEN 1 ELSE 0 END END AS step FROM e),
+        p AS (SELECT *, unnest(range(0, n)) AS pos FROM s)
+        SELECT event_id::VARCHAR AS file_name, pos::INTEGER AS pos, ((event_id * 7 + pos * 3) % 90)::DOUBLE AS latitude, ((event_id * 11 + pos * 5) % 180)::DOUBLE AS longitude,
+               strftime(make_timestamp(us + step * pos), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp FROM p""",
+    "footprint_midpoint_centre": f"""
+        WITH m AS ({_MANIFEST}), v AS (SELECT path, us, (event_id % 11) * 1000001 AS d, {_MANIFEST_RING} AS v FROM m),
+        g AS (SELECT path, us, d, avg(v.y::DOUBLE) AS lat, degrees(atan2(sum(sin(radians(v.x))), sum(cos(radians(v.x))))) AS lon FROM v GROUP BY ALL),
+        t AS (SELECT *, us + d // 2 + CASE WHEN d % 2 = 1 AND (d // 2) % 2 = 1 THEN 1 ELSE 0 END AS mid FROM g)
+        SELECT path, {_TIME.format("mid")} AS central_time, round(lat, 6) AS central_lat, round(CASE WHEN lon <= -180 THEN lon + 360 ELSE lon END, 6) AS central_lon FROM t""",
+    "circular_mean_by_group": """
+        WITH p AS (SELECT ((event_id * 7919) % 3600) * 0.1e0 - 180 AS lon, ((event_id * 104729) % 1800) * 0.1e0 - 90 AS lat FROM events WHERE event_id % 2 = 0),
+        g AS (SELECT floor((lat + 90) / 7)::INTEGER AS band, degrees(atan2(sum(sin(radians(lon))), sum(cos(radians(lon))))) AS m, count(*) AS n FROM p WHERE lon > 100 OR lon < -150 GROUP BY 1)
+        SELECT band, round(CASE WHEN m <= -180 THEN m + 360 ELSE m END, 6) AS mean_lon, n FROM g""",
+    "latest_version_per_group": f"""
+        WITH m AS ({_MANIFEST}), f AS (SELECT day::VARCHAR AS day, group_key, version, group_key || '_' || version || '_x.manifest' AS file_name, path FROM m)
+        SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY day, group_key ORDER BY version DESC, file_name DESC, path) = 1""",
+    "unwrap_longitudes": """
+        WITH v AS (SELECT user_id AS ring_id, event_id AS pos, ((event_id * 104729) % 179 - 89)::DOUBLE AS lat, ((event_id * 7919) % 359 - 179)::DOUBLE AS lon FROM events),
+        j AS (SELECT *, lon - lag(lon) OVER (PARTITION BY ring_id ORDER BY pos) AS d FROM v)
+        SELECT ring_id, pos, lat, lon, lon + sum(CASE WHEN d > 180 THEN -360 WHEN d < -180 THEN 360 ELSE 0 END) OVER (PARTITION BY ring_id ORDER BY pos) AS ulon FROM j""",
+    "split_rings": """
+        WITH r AS (SELECT event_id AS footprint_id, (event_id * 31337) % 357 - 178 - (event_id % 29 + 1) AS a, (event_id * 31337) % 357 - 178 + (event_id % 29 + 1) AS b FROM events),
+        u AS (SELECT footprint_id, CASE WHEN a < -179 THEN a + 360 ELSE a END AS a, b - a AS w FROM r)
+        SELECT footprint_id, 1 + 2 * (SELECT count(*) FROM (SELECT unnest([-180, 0, 180, 360]) AS m) WHERE m > a AND m < a + w) AS pieces FROM u""",
+    "geojson_export": f"""
+        SELECT event_id || '.geojson' AS id, 'Polygon' AS kind, ((event_id * 31337) % 3400) * 0.1e0 - 170 + 7 AS lon1, {_TIME.format("epoch_us(ts)")} AS central_time FROM events WHERE event_id % 5 = 1""",
+    "geojson_flatten": f"""
+        SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS source_folder, regexp_replace({_TIME.format("epoch_us(ts)")}, '[^0-9A-Za-z]', '', 'g') || '.geojson' AS file_name,
+               epoch_us(ts) AS footprint_us, 1 AS n_parts, 5 AS n_vertices, ((event_id * 31337) % 3400) * 0.1e0 - 170 - 6 AS lon0, ((event_id * 2713) % 1600) * 0.1e0 - 80 - 5 AS lat0 FROM events WHERE event_id % 5 = 1""",
+    "filename_time": f"SELECT event_id, regexp_replace({_TIME.format('epoch_us(ts)')}, '[^0-9A-Za-z]', '', 'g') || '.geojson' AS name, epoch_us(ts) AS us FROM events",
+    "date_chunks": """
+        WITH b AS (SELECT min(ts::DATE) AS lo, max(ts::DATE) AS hi FROM events), c AS (SELECT lo + (((ts::DATE - lo) // 3) * 3)::INTEGER AS s, hi FROM events, b)
+        SELECT s::VARCHAR AS chunk_start, least(s + 2, hi)::VARCHAR AS chunk_end, CASE WHEN s = least(s + 2, hi) THEN s::VARCHAR ELSE s::VARCHAR || '..' || least(s + 2, hi)::VARCHAR END AS label, count(*) AS n FROM c GROUP BY ALL""",
+    "month_keys": """
+        WITH k AS (SELECT strftime(DATE '2023-11-01' + to_months(i::INTEGER), '%Y-%m') AS month FROM range(0, 12) t(i)), c AS (SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY 1)
+        SELECT month, coalesce(n, 0) AS n FROM k LEFT JOIN c USING (month)""",
+    "catalogue_missing": _LISTING + " SELECT target_path, 'http://host/meta/' || dip || '_MD.XML' AS metadata_url FROM t WHERE event_id % 3 <> 0",
+    "catalogue_reconcile": _LISTING + " SELECT chunk_start::VARCHAR AS chunk_start, count(*) AS listed, count(*) FILTER (WHERE event_id % 3 = 0) AS present, count(*) FILTER (WHERE event_id % 3 <> 0) AS missing FROM t GROUP BY 1",
+}
