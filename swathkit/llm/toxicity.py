@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from swathkit.llm.shared import LETTERS, Words, binary_list, mix, slices
 
-MAX_TRAIN = 8_000
+MAX_TRAIN = 5_000
 BITS = 22
 FEATURES = 4_096
 #: Standard errors of the log odds.
@@ -74,9 +74,9 @@ def train(docs: list[np.ndarray], sentence: list[np.ndarray], labels: np.ndarray
         base += n
     features, at, owner = np.concatenate(docs), np.concatenate(at), np.concatenate(owner)
     # A feature counts once per sentence. Kept are those whose share of toxic documents is larger beyond chance.
-    seen = np.unique(np.concatenate([np.unique(d) + (np.int64(i) << BITS) for i, d in enumerate(docs)]))
-    feature, toxic = seen & ((1 << BITS) - 1), labels[seen >> BITS] == 1
-    in_toxic, in_clean = (np.bincount(feature[k], minlength=1 << BITS) + 0.5 for k in (toxic, ~toxic))
+    in_toxic, in_clean = np.full(1 << BITS, 0.5), np.full(1 << BITS, 0.5)
+    for document, label in zip(docs, labels):
+        (in_toxic if label else in_clean)[np.unique(document)] += 1
     odds = np.log(in_toxic / (labels.sum() + 1)) - np.log(in_clean / ((1 - labels).sum() + 1))
     z = odds / np.sqrt(1 / in_toxic + 1 / in_clean)
     z[0] = 0
@@ -135,7 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.take(pa.array(np.argsort(rows.column("doc_id").to_numpy(), kind="stable")))
     features = [np.frombuffer(x, np.int32).reshape(-1, len(_PREFIXES) + 1) for x in rows.column("features").to_pylist()]
     sentences = [np.frombuffer(x, np.int32) for x in rows.column("sentences").to_pylist()]
-    return train(features, sentences, rows.column("label").to_numpy())
+    labels = rows.column("label").to_numpy()
+    del rows
+    return train(features, sentences, labels)
 
 
 def _pieces(text: bytes) -> list[bytes]:
