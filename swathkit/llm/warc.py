@@ -51,6 +51,8 @@ def parse_record(data: bytes, at: int) -> Record | str:
     top = data.find(_END, at)
     if top < 0:
         return "header without end"
+    if _VERSION.search(data, version.end(), top + 2):
+        return "version line within a header"
     headers = {}
     for line in data[version.end() : top].split(b"\r\n"):
         name, colon, value = line.partition(b":")
