@@ -17,8 +17,13 @@ def _checked(ok: Column, value: Column, what: str, name: Column, mode: str) -> C
     return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(bad)
 
 
+def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """keep and columns, each computed once per row: filters and lambdas above can't be moved below the generator and so repeat it."""
+    return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__one")).select(*keep, "__one.*")
+
+
 def _numbers(text: Column) -> Column:
-    return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != ""), lambda t: F.expr("try_cast(null as double)") if t is None else t.try_cast("double"))
+    return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != ""), lambda t: t.try_cast("double"))
 
 
 def _pairs(numbers: Column) -> Column:
@@ -38,10 +43,10 @@ def extract_points(granules: DataFrame, mode: str = "fail") -> DataFrame:
     leaves out granules that lack an element or hold bad numbers.
     """
     first = lambda tag: F.get(F.xpath("xml", F.lit(f"//*[local-name()='{tag}']/text()")), 0)
-    numbers = _numbers(first("posList"))
-    rows = granules.select("file_name", times.parse_utc(first("beginPosition"), mode == "fail").alias("begin"), times.parse_utc(first("endPosition"), mode == "fail").alias("end"), numbers.alias("numbers"))
+    rows = _once(granules, ["file_name"], begin=times.parse_utc(first("beginPosition"), mode == "fail"), end=times.parse_utc(first("endPosition"), mode == "fail"), numbers=_numbers(first("posList")))
     ok = F.col("begin").isNotNull() & F.col("end").isNotNull() & _good(F.col("numbers"))
-    rows = rows.withColumn("vertices", _checked(ok, F.when(_good(F.col("numbers")), _pairs(F.col("numbers"))), "begin, end or positions are missing or malformed", F.col("file_name"), mode)).filter(F.col("vertices").isNotNull())
+    vertices = _checked(ok, F.when(_good(F.col("numbers")), _pairs(F.col("numbers"))), "begin, end or positions are missing or malformed", F.col("file_name"), mode)
+    rows = _once(rows, ["file_name", "begin", "end"], vertices=vertices).filter(F.col("vertices").isNotNull())
     gaps = F.greatest(F.size("vertices") - 1, F.lit(1)).cast("long")
     rows = rows.withColumn("step", F.when(F.size("vertices") == 1, F.lit(0)).otherwise(times.divide_half_even(times.micros(F.col("end")) - times.micros(F.col("begin")), gaps)).cast("long"))
     rows = rows.select("file_name", "begin", "step", F.posexplode("vertices").alias("pos", "v"))
@@ -73,12 +78,14 @@ def read_manifest(manifests: DataFrame, mode: str = "fail") -> DataFrame:
     ending = lambda tag: f"//*[substring(local-name(), string-length(local-name()) - {len(tag) - 1}) = '{tag}']/text()"
     first = lambda tag: F.get(F.filter(F.transform(F.xpath("xml", F.lit(ending(tag))), F.trim), lambda t: t != ""), 0)
     lists = F.transform(F.xpath("xml", F.lit(ending("posList"))), _numbers)
-    rows = manifests.withColumn("start", times.parse_utc(first("startTime"), mode == "fail")).withColumn("stop", times.parse_utc(first("stopTime"), mode == "fail")).withColumn("lists", lists)
+    keep = manifests.columns
+    rows = _once(manifests, keep, start=times.parse_utc(first("startTime"), mode == "fail"), stop=times.parse_utc(first("stopTime"), mode == "fail"), lists=lists)
     ok = F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.size("lists") > 0) & F.forall("lists", _good)
-    rows = rows.withColumn("rings", _checked(ok, F.when(F.forall("lists", _good), F.transform("lists", _pairs)), "times or positions are missing or malformed", F.col("file_name"), mode)).filter(F.col("rings").isNotNull())
+    rings = _checked(ok, F.when(F.forall("lists", _good), F.transform("lists", _pairs)), "times or positions are missing or malformed", F.col("file_name"), mode)
+    rows = _once(rows, [*keep, "start", "stop"], rings=rings).filter(F.col("rings").isNotNull())
     lat, lon = geometry.centre(F.flatten("rings"))
     rows = rows.withColumn("central_ts", times.midpoint(F.col("start"), F.col("stop"))).withColumn("central_time", times.iso_text(F.col("central_ts")))
-    return rows.withColumn("central_lat", lat).withColumn("central_lon", lon).drop("lists", "start", "stop")
+    return rows.withColumn("central_lat", lat).withColumn("central_lon", lon).drop("start", "stop")
 
 
 def footprints(manifests: DataFrame, scope: str = "day", exact: bool = False, mode: str = "fail") -> DataFrame:

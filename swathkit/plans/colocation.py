@@ -12,7 +12,9 @@ from swathkit.sources import files
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    """The events, spread over all cores: what is derived from a row costs far more than moving it, and a small table is one split."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(spark.sparkContext.defaultParallelism, "event_id")
+    return rows.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 def points(events: DataFrame) -> DataFrame:
