@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swathkit.llm.bloom_dedup import split_repeats
 from swathkit.llm.shared import materialize, scratch_path
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -149,7 +150,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     groups = digests.filter(F.col("n") >= least_bytes).groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("many")).filter("many > 1").drop("many")
     # By id and digest, not by digest alone: a payload with very many copies is spread evenly.
     revisits = digests.join(groups, "digest").filter("id > refers_to").select(F.col("id").alias("other"), F.col("digest").alias("same"), "refers_to").distinct()
-    rows = rows.join(revisits, (F.col("id") == F.col("other")) & (F.col("digest") == F.col("same")), "left")
+    # Only payloads that may repeat are shuffled; the others pass straight to the writer.
+    once, maybe = split_repeats(rows, "digest")
+    maybe = maybe.join(revisits, (F.col("id") == F.col("other")) & (F.col("digest") == F.col("same")), "left").drop("other", "same")
+    rows = once.withColumn("refers_to", F.lit(None).cast("long")).unionByName(maybe)
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, F.lit("")).otherwise(F.concat(http, F.col("payload")))
