@@ -50,18 +50,23 @@ def split_repeats(df: DataFrame, digest: str, filter_bits: int = FILTER_BITS) ->
     return looked.filter(~taken).select(*names), looked.filter(taken).select(*names)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS, hot_groups: int = 1000) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs.
 
     Texts are equal if identical after lower-casing A-Z. Of equal texts the row with the largest id
     stays; null ids lose to all others. A null text equals an empty one. A row that repeats id and
     text counts in group_size and is kept as often as it occurs if its id wins (exact_dedup keeps one).
-    Extra columns are not read; an empty table gives no rows.
+    Extra columns are not read; an empty table gives no rows. Groups of more than 1 / hot_groups of all
+    rows, of which there are fewer than hot_groups, are broadcast, so their rows are never in one task.
     """
     digests = materialize(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256")), "digests")
     once, maybe = split_repeats(digests, "text_sha256", filter_bits)
     groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    many = maybe.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = materialize(groups, "groups")
+    is_hot = F.col("group_size") * hot_groups > digests.count()
+    hot = F.broadcast(groups.filter(is_hot))
+    cold = maybe.join(hot, "text_sha256", "left_anti").join(groups.filter(~is_hot), "text_sha256")
+    many = maybe.join(hot, "text_sha256").unionByName(cold).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return once.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256").unionByName(many)
 
 

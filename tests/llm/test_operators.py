@@ -48,8 +48,8 @@ def test_exact_groups(docs, texts, nothing):
     want = {}
     for i, t in enumerate(texts):
         want.setdefault(_lower(t), []).append(i)
-    for bits in (10, 26):
-        got = bloom_dedup.exact_groups(docs, filter_bits=bits).collect()
+    for bits, hot in ((10, 1000), (26, 1000), (26, 30), (26, 1)):
+        got = bloom_dedup.exact_groups(docs, filter_bits=bits, hot_groups=hot).collect()
         assert len(got) == len(texts)
         for r in got:
             group = want[_lower(texts[r.doc_id])]
