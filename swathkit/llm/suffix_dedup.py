@@ -4,8 +4,8 @@ A byte goes when a string of `length` bytes that covers it also starts earlier (
 id, or the same document and an earlier start).
 
 1. Anchors. Of every window of `length` bytes, the 32-byte grams of least hash are anchors, so equal
-   windows hold equal anchors at equal places. One shuffle by the gram's hash brings equal anchors
-   together. An anchor whose whole neighbourhood (all windows that can hold it) also occurs earlier
+   windows hold equal anchors at equal places. Each task first compares its own, so periodic texts
+   and near copies don't gather; one shuffle by the gram's hash then brings equal anchors together. An anchor whose whole neighbourhood (all windows that can hold it) also occurs earlier
    makes all its windows repeats. Where a gram has one neighbourhood only, there are no other
    repeats. Both kinds end here, which is nearly all of the corpus.
 2. Prefix doubling, for the rest: grams with several neighbourhoods. The first occurrence of each
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,10 @@ from swathkit.llm.shared import binary_list, materialize, mix, slices
 GRAM = 32
 SLICE = 1 << 15
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_ANCHORS = "gram long, around long, doc_id long, pos long, head int, tail int"
+_ANCHORS = "gram long, around long, doc_id long, pos long, head int, tail int, later boolean"
+#: Anchors that are compared within the task before the shuffle.
+MEET = 250_000
+_NULL_ID = -(1 << 63)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -89,18 +93,51 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np
     return owner, at, h[at], around, at - low, high - at
 
 
+def _later(gram: np.ndarray, around: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which anchors have an equal one (gram and neighbourhood) at an earlier place among these."""
+    key = mix(gram * _STEP[1] + around)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    shared = np.zeros(len(key), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    some = order[shared]
+    some = some[np.lexsort((pos[some], doc[some], key[some]))]
+    new = np.ones(len(some), bool)
+    new[1:] = key[some[1:]] != key[some[:-1]]
+    first = some[new][np.cumsum(new) - 1]
+    later = np.zeros(len(key), bool)
+    later[some] = (gram[some] == gram[first]) & (around[some] == around[first]) & ((doc[some] != doc[first]) | (pos[some] != pos[first]))
+    return later
+
+
+def _anchor_rows(held: list[tuple]) -> pa.RecordBatch:
+    doc = pa.concat_arrays([h[0] for h in held])
+    gram, around, pos, head, tail = (np.concatenate(c) for c in zip(*(h[1:] for h in held)))
+    order = doc.fill_null(_NULL_ID).to_numpy()
+    later = _later(gram, around, order, pos)
+    # What is known to repeat needs no meeting with its equals: it is spread by its place instead of gathering at a hot gram.
+    gram = np.where(later, mix(order.view(np.uint64) * _STEP[2] + pos.view(np.uint64)), gram)
+    columns = [pa.array(gram.view(np.int64)), pa.array(around.view(np.int64)), doc, pa.array(pos), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(later)]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ANCHORS.split(", ")])
+
+
 def _anchor_batches(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), binary_list(batch.column(1))
+            texts = binary_list(batch.column(1))
             for first, last in slices(texts, SLICE):
-                part = texts[first:last]
-                for places in _pieces(part, length):
-                    owner, at, gram, around, head, tail = places
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (gram.view(np.int64), around.view(np.int64), ids[first + owner], at.astype(np.int64), head.astype(np.int32), tail.astype(np.int32))],
-                        names=["gram", "around", "doc_id", "pos", "head", "tail"],
-                    )
+                for owner, at, *rest in _pieces(texts[first:last], length):
+                    gram, around, head, tail = rest
+                    held.append((batch.column(0).take(pa.array(first + owner)), gram, around, at.astype(np.int64), head, tail))
+                    n += len(at)
+                    if n >= MEET:
+                        yield _anchor_rows(held)
+                        held, n = [], 0
+        if held:
+            yield _anchor_rows(held)
 
     return run
 
@@ -166,7 +203,8 @@ def _double(length: int):
     """Neighbourhoods sorted by gram, id and place -> spans that start with a repeat. Works on whole grams, some thousand neighbourhoods at a time."""
 
     def spans(table: pa.Table) -> pa.RecordBatch:
-        gram, doc, pos = (table.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "doc_id", "pos"))
+        gram, pos = (table.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "pos"))
+        doc = pc.fill_null(table.column("doc_id"), _NULL_ID).to_numpy()
         heads = table.column("head").to_numpy()
         names, rest, exists = _windows(table.column("context").to_pylist(), heads, length)
         column = np.arange(names.shape[1], dtype=np.uint64)
@@ -175,8 +213,7 @@ def _double(length: int):
         _, first, back = np.unique(keys[exists], return_index=True, return_inverse=True)
         earliest = row[first][back]
         again = np.zeros(exists.shape, bool)
-        again[row, at] = (doc[earliest] != doc[row]) & ~(np.isnan(doc[earliest]) & np.isnan(doc[row])) if doc.dtype.kind == "f" else doc[earliest] != doc[row]
-        again[row, at] |= pos[earliest] != pos[row]
+        again[row, at] = (doc[earliest] != doc[row]) | (pos[earliest] != pos[row])
         edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         (row, low), (_, high) = np.nonzero(edge == 1), np.nonzero(edge == -1)
         base = pos[row] - (length - GRAM)
@@ -252,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     anchors = docs.mapInArrow(_anchor_batches(length), _ANCHORS).repartition("gram")
     same, gram = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
-    anchors = anchors.withColumn("first", F.min(F.struct("doc_id", "pos")).over(same)).withColumn("repeat", F.struct("doc_id", "pos") != F.col("first"))
+    anchors = anchors.withColumn("first", F.min(F.struct("doc_id", "pos")).over(same)).withColumn("repeat", F.col("later") | (F.struct("doc_id", "pos") != F.col("first")))
     anchors = anchors.withColumn("n", F.sum(F.when(F.col("repeat"), 0).otherwise(1)).over(gram))
     found = materialize(anchors.filter("repeat or n > 1").select("gram", "doc_id", "pos", "head", "tail", "repeat", "n"), "anchors")
 

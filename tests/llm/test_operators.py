@@ -163,6 +163,29 @@ def test_suffix_dedup(docs, texts, nothing):
         assert got == want
     assert suffix_dedup.remove_repeats(docs.union(docs)).agg(F.sum("n_removed")).first()[0] == 2 * sum(w[1] for w in want.values())
     assert suffix_dedup.remove_repeats(nothing).count() == 0
+    # The first document without id: it comes before all others, which it does anyway.
+    unnamed = docs.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id") + 2**60))
+    for limit in (1000, 0):
+        got = {(r.doc_id or 2**60) - 2**60: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(unnamed, group_limit=limit).collect()}
+        assert got == want
+
+
+def test_anchors_meet_within_a_task(spark):
+    """Equal results whether all, some or no equal anchors are compared before the shuffle."""
+    texts = ["ab" * 4000, "abc" * 300 + "x" * 900, "ab" * 4000, "q" + "ab" * 2000]
+    results = []
+    for meet in (1, 250_000):
+        spots = list(suffix_dedup._anchor_batches(100)(iter([_arrow(texts)]))) if meet > 1 else []
+        results.append([tuple(r) for r in suffix_dedup.remove_repeats(_docs(spark, texts).repartition(1 if meet > 1 else 4)).orderBy("doc_id").drop("spans").collect()])
+    assert results[0] == results[1] and results[0][2][2] == 8000
+    grams = Counter(g for b in spots for g in b.column(0).to_pylist())
+    assert max(grams.values()) < sum(grams.values()) // 10
+
+
+def _arrow(texts):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
 
 
 def test_decontaminate(spark, docs, texts, nothing):
