@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from swathkit.functions import geometry, times
 from swathkit.operators.rings import normalise_rings
+from swathkit.sources.scratch import materialize
 
 
 def _checked(ok: Column, value: Column, what: str, name: Column, mode: str) -> Column:
@@ -92,8 +93,10 @@ def footprints(manifests: DataFrame, scope: str = "day", exact: bool = False, mo
     """day, path, file_name, central_time, central_lat, central_lon, central_ts, polygon_file, rings (cut at the meridians), straddles.
 
     Takes the latest version of each granule. Equal times get the names x, x_1, x_2 in order of file name and path.
+    Manifests are parsed once, into a scratch table: the rings are cut apart from the other columns and joined to them.
     """
-    rows = read_manifest(latest_versions(manifests, scope), mode).withColumn("footprint_id", F.col("path"))
+    parsed = read_manifest(latest_versions(manifests, scope), mode).drop("xml")
+    rows = materialize(parsed, "manifests").withColumn("footprint_id", F.col("path"))
     cut = normalise_rings(rows.select("footprint_id", "rings"), exact)
     rows = rows.drop("rings").join(cut, "footprint_id")
     name = times.safe_name(F.col("central_time"), "")
