@@ -314,6 +314,22 @@ def test_context_mixing(docs, texts, nothing):
     assert context_mixing.score(docs, F.lit(False)).filter("n_known > 0").count() == 0
 
 
+def test_long_words_cost_all_their_bytes(spark, texts):
+    """A held-out word of 100 000 bytes, alone, repeated, and beyond the broadcast words, as well as twice its length."""
+    rng = random.Random(3)
+    word = "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(100_000))
+    docs = _docs(spark, [word, word + " " + word, word * 2, *texts[:40]])
+    train = F.col("doc_id") > 2
+    for heavy in (context_mixing.HEAVY, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(context_mixing, "HEAVY", heavy)
+            rows = {r.doc_id: r for r in context_mixing.score(docs, train).collect()}
+        # 26 equally likely letters are 4.7 bits a byte at least.
+        assert rows[0].bits_per_byte > 4.6 and rows[2].bits_per_byte > 4.6
+        assert rows[2].score == pytest.approx(2 * rows[0].score, rel=0.01)
+        assert rows[1].score == pytest.approx(rows[0].score, rel=0.01)
+
+
 def test_spelling_is_a_distribution():
     """The probabilities of all words of up to two bytes over a small table don't exceed one, and nearly reach it where training has only those."""
     words = [bytes([a, b]) for a in b"abc" for b in b"abc"]
