@@ -330,6 +330,35 @@ def test_long_words_cost_all_their_bytes(spark, texts):
         assert rows[1].score == pytest.approx(rows[0].score, rel=0.01)
 
 
+def test_mixer_learns_from_all_words(spark):
+    """More words than one pass takes, long ones among them; the same model however they are dealt; more slots for more words."""
+    rng = random.Random(7)
+    made = {"".join(rng.choice("etaoin") for _ in range(rng.randint(1, 12))).encode() for _ in range(22_000)} | {b"x" * 70 + b"%d" % i for i in range(50)} | {b"y" * 40_000}
+    words = spark.createDataFrame([(bytearray(w), 1 + len(w) % 3, 0) for w in made] + [(bytearray(b"heldout"), 0, 1)], "word binary, train long, held long")
+    mixers = []
+    for n, part in ((1, 5000), (5, 5000), (2, 1 << 16)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(context_mixing, "PART", part)
+            mixer, learnt = context_mixing.train_mixer(words.repartition(n), len(made))
+        assert learnt == len(made) > 12_000
+        assert (mixer.weights != 0.3).any()
+        mixers.append(mixer)
+    assert (mixers[0].weights == mixers[1].weights).all() and (mixers[0].refine == mixers[1].refine).all()
+    start = context_mixing.Mixer(mixers[0].counts)
+    some = sorted(made)[::40]
+    assert mixers[0].log_probability(some).sum() > start.log_probability(some).sum()
+    assert [context_mixing.slot_bits(n) for n in (0, 1 << 18, (1 << 18) + 1, 1 << 30)] == [18, 18, 19, 20]
+
+
+def test_cut_words_are_spelled_as_whole_ones():
+    word = bytes(random.Random(4).choices(b"abcdef", k=90_000))
+    whole = context_mixing.Spelling([word, b"z"])
+    parts = list(context_mixing.spellings([word, b"z"], context_mixing.BITS))
+    assert len(parts) > 2 and [(at[p.owner]).tolist() for at, p in parts] == [x.tolist() for x in np.split(whole.owner, np.cumsum([len(p.owner) for _, p in parts])[:-1])]
+    for steps in zip(whole.steps(), *[p.steps() for _, p in parts]):
+        assert all((steps[0][k] == np.concatenate([s[k] for s in steps[1:]], axis=-1)).all() for k in (0, 1))
+
+
 def test_spelling_is_a_distribution():
     """The probabilities of all words of up to two bytes over a small table don't exceed one, and nearly reach it where training has only those."""
     words = [bytes([a, b]) for a in b"abc" for b in b"abc"]
