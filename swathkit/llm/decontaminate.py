@@ -90,8 +90,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "item_shingles", "shared_shingles", "containment"])
 
 
-def _scan(ids: list, texts: list[bytes], size: int, threshold: float):
-    """A function of document batches that looks all documents up in the sketches of these items."""
+def _finder(ids: list, texts: list[bytes], size: int, threshold: float):
+    """A function of document texts that looks them up in the sketches of these items: rows of OUT, with a text's place as its id."""
     index = list(_sketches(ids, texts, size, threshold))
     keys = np.concatenate([s for _, s in index]) if index else np.zeros(0, np.uint64)
     holder = np.concatenate([np.full(len(s), i) for i, s in index]) if index else np.zeros(0, np.int64)
@@ -99,29 +99,64 @@ def _scan(ids: list, texts: list[bytes], size: int, threshold: float):
     keys, holder = keys[order], holder[order]
     wanted: dict[int, set[bytes]] = {}
 
+    def find(bodies: list[bytes]) -> list[tuple]:
+        rows: list[tuple] = []
+        for low, high in slices(bodies, _SLICE) if len(keys) else ():
+            owner, found = shingle_hashes(bodies[low:high], size)
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == found)
+            last = np.searchsorted(keys, found[hit], side="right")
+            pairs = {(int(o), int(i)) for o, a, b in zip(owner[hit], at[hit], last) for i in holder[a:b]}
+            by_doc: dict[int, list[int]] = {}
+            for o, i in sorted(pairs):
+                by_doc.setdefault(o, []).append(i)
+            for o, items in by_doc.items():
+                for i in items:
+                    if i not in wanted:
+                        wanted[i] = shingles(texts[i], size)
+                rows += _verified(low + o, bodies[low + o], [(ids[i], wanted[i]) for i in items], size, threshold)
+        return rows
+
+    return find
+
+
+def _scan(find):
+    """Document batches to the rows of OUT."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, bodies = batch.column(0).to_pylist(), binary_list(batch.column(1))
-            rows: list[tuple] = []
-            for low, high in slices(bodies, _SLICE) if len(keys) else ():
-                owner, found = shingle_hashes(bodies[low:high], size)
-                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == found)
-                last = np.searchsorted(keys, found[hit], side="right")
-                pairs = {(int(o), int(i)) for o, a, b in zip(owner[hit], at[hit], last) for i in holder[a:b]}
-                by_doc: dict[int, list[int]] = {}
-                for o, i in sorted(pairs):
-                    by_doc.setdefault(o, []).append(i)
-                for o, items in by_doc.items():
-                    for i in items:
-                        if i not in wanted:
-                            wanted[i] = shingles(texts[i], size)
-                    rows += _verified(docs[low + o], bodies[low + o], [(ids[i], wanted[i]) for i in items], size, threshold)
-            yield _batch(rows)
+            docs = batch.column(0).to_pylist()
+            yield _batch([(docs[at], *rest) for at, *rest in find(binary_list(batch.column(1)))])
+
+    return run
+
+
+def _drop(find, text_at: int):
+    """Document batches, all columns, without the rows that hold an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[at for at, *_ in find(binary_list(batch.column(text_at)))]] = False
+            yield batch.filter(pa.array(clean))
 
     return run
 
 
+def _small(items: DataFrame, broadcast_bytes: int) -> tuple[list, list[bytes]] | None:
+    """Ids and texts of the items, if they are small enough for every task."""
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    if total > broadcast_bytes:
+        return None
+    rows = items.collect()
+    return [r[0] for r in rows], [(r[1] or "").encode() for r in rows]
+
+
+def _check(threshold: float) -> None:
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie in (0, 1]")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, item_shingles, shared_shingles, containment: every pair with containment of at least threshold.
 
@@ -130,14 +165,12 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, w
     documents that are null, empty or without words never match. Repeated rows on either side give
     repeated pairs; null ids stay null. Empty tables give no rows; other columns are not read.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must lie in (0, 1]")
+    _check(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    if total <= broadcast_bytes:
-        rows = items.collect()
-        return docs.mapInArrow(_scan([r[0] for r in rows], [(r[1] or "").encode() for r in rows], words, threshold), OUT)
+    small = _small(items, broadcast_bytes)
+    if small is not None:
+        return docs.mapInArrow(_scan(_finder(*small, words, threshold)), OUT)
     return _contained_by_join(docs, items, threshold, words)
 
 
@@ -174,7 +207,19 @@ def _contained_by_join(docs: DataFrame, items: DataFrame, threshold: float, word
     return pairs.join(docs, "doc_key").withColumnRenamed("text", "body").join(items, "item_key").select("doc_id", "body", "item_id", "text").mapInArrow(verify, OUT)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns. A null id is never dropped by the join beyond broadcast_bytes."""
-    found = contained_items(docs, items, threshold, words, id_col, text_col, **options).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__found"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns. Each row is judged by its own text: ids may be null or repeat.
+
+    Items of up to broadcast_bytes: the rows are filtered where they are scanned. Beyond, rows that hold
+    an item go by a 64-bit hash of id and text; rows of equal hash go together.
+    """
+    _check(threshold)
+    items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    small = _small(items, broadcast_bytes)
+    if small is not None:
+        text_at = [c.lower() for c in docs.columns].index(text_col.lower())
+        return docs.mapInArrow(_drop(_finder(*small, words, threshold), text_at), docs.schema)
+    key = F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))
+    keyed = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    found = _contained_by_join(keyed, items, threshold, words).select(F.col("doc_id").alias("__found")).distinct()
+    return docs.join(found, key == F.col("__found"), "left_anti")

@@ -39,6 +39,11 @@ def slices(values: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(values)
 
 
+def text_keys(text: Column) -> list[Column]:
+    """Two 64-bit hashes of a text that don't depend on each other: with an id, a key of rows whose ids may be null or repeat."""
+    return [F.xxhash64(F.lit(k), text) for k in (1, 2)]
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)

@@ -23,11 +23,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathkit.llm.components import components
-from swathkit.llm.shared import binary_list, materialize
+from swathkit.llm.shared import binary_list, materialize, text_keys
 
 _CHUNK = 1 << 22
 
@@ -63,15 +63,17 @@ def fingerprint(text: bytes, words_per_shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) per row of docs. Null texts are empty: fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) per row of docs, if keyed also key0, key1 of the text. Null texts are empty: fingerprint 0."""
+    keys = [k.alias(f"key{i}") for i, k in enumerate(text_keys(F.col(text_col)))] if keyed else []
+    names = ["doc_id", "fp", *(f"key{i}" for i in range(len(keys)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t, words_per_shingle) for t in binary_list(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keys).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _segments(fps: DataFrame, probe: bool) -> DataFrame:
@@ -102,6 +104,15 @@ def links(fps: DataFrame, bucket_limit: int = 64) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+def _least(rows: DataFrame, value: Column, bucket_limit: int) -> DataFrame:
+    """fp, least: the least value of the rows of each fingerprint's component."""
+    heads = materialize(rows.groupBy("fp").agg(F.min(value).alias("head")), "heads")
+    linked = components(links(heads.select("fp"), bucket_limit))
+    label = heads.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = label.groupBy("component").agg(F.min("head").alias("least"))
+    return label.join(least, "component").select("fp", "least")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bucket_limit: int = 64) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links of 2 bits or fewer).
 
@@ -110,17 +121,30 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are not read; an empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
-    heads = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
-    linked = components(links(heads.select("fp"), bucket_limit))
-    label = heads.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = label.groupBy("component").agg(F.min("head").alias("component_id"))
-    label = label.join(least, "component").select("fp", "component_id")
+    label = _least(rows, F.col("doc_id"), bucket_limit).withColumnRenamed("least", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(label, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that head their group (the smallest id), with all their columns. Ids should be unique; rows of one id stay or go together."""
-    groups = near_groups(docs, id_col, text_col, **options)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bucket_limit: int = 64) -> DataFrame:
+    """One row of docs for each group, with all its columns: that of the smallest id, a null id after all others.
+
+    Ids may be null or repeat: rows are told apart by id and two hashes of the text, and by those the
+    first of an id is chosen. Of rows that repeat id and text, one stays at most.
+    """
+    rows = materialize(fingerprints(docs, id_col, text_col, words_per_shingle, keyed=True), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key0", "key1")
+    label = _least(rows, key, bucket_limit)
+    # Without nulls at the top, structs compare field by field, null equal to null.
+    counted = rows.join(label, "fp").groupBy("doc_id", "key0", "key1", (key == F.col("least")).alias("__first")).agg(F.count("*").alias("n"))
+    marked = materialize(counted.filter("not __first or n > 1").select(F.col("doc_id").alias("__id"), "__first", F.col("key0").alias("__key0"), F.col("key1").alias("__key1")), "marked")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    for i, k in enumerate(text_keys(F.col(text_col))):
+        same = same & (k == F.col(f"__key{i}"))
+    kept = docs.join(marked, same, "left_anti")
+    again = marked.filter("__first")
+    if again.isEmpty():
+        return kept
+    # One of each of the first rows that repeat id and text.
+    some = docs.join(again, same, "inner").dropDuplicates(["__id", "__key0", "__key1"]).drop("__id", "__first", "__key0", "__key1")
+    return kept.unionByName(some)

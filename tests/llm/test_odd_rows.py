@@ -67,6 +67,23 @@ def test_near_copies_of_the_long_text_go(spark, odd):
     assert -6 in kept and 5 not in kept
 
 
+def test_near_copies_are_told_apart_by_row(spark):
+    """Null and repeated ids: only the copies go, one row of each group stays, its other columns with it."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, None), (2, ""), (None, a), (None, b), (None, b), (7, c), (7, d), (3, d), (7, c), (None, c)]
+    kept = simhash_dedup.keep_first(_table(spark, rows).withColumn("lang", F.substring("text", 1, 1)))
+    assert sorted((str(r.doc_id), r.text, r.lang) for r in kept.collect()) == sorted([("2", "", ""), ("None", a, "a"), ("None", b, "b"), ("7", c, "c"), ("3", d, "d")])
+    assert kept.columns == SCHEMA.replace(" string", "").replace(" long", "").replace(" int", "").replace(" double", "").split(", ")
+
+
+@pytest.mark.parametrize("limit", [1 << 24, 0])
+def test_contaminated_rows_are_told_apart_by_row(spark, limit):
+    item = "one two three four five six"
+    rows = [(None, item), (None, "clean"), (4, item), (4, "clean as well"), (5, None), (5, "so " + item), (None, None)]
+    kept = decontaminate.drop_contaminated(_table(spark, rows), _ITEMS(spark), broadcast_bytes=limit)
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("4", "clean as well"), ("5", "None"), ("None", "None"), ("None", "clean")]
+
+
 def test_items_with_nulls_and_repeats(spark, odd):
     for limit in (1 << 24, 0):
         got = sorted((r.doc_id, str(r.item_id)) for r in decontaminate.contained_items(odd, _ITEMS(spark), broadcast_bytes=limit).collect())
