@@ -1,7 +1,8 @@
 """Substring dedup by prefix doubling over the positions that can repeat.
 
 A byte goes when a string of `length` bytes that covers it also starts earlier (a smaller document
-id, or the same document and an earlier start).
+id, or the same document and an earlier start). A document is an id and a text: beside its id, each
+carries a hash of its text, by which texts of one id are told apart and ordered.
 
 1. Anchors. Of every window of `length` bytes, the 32-byte grams of least hash are anchors, so equal
    windows hold equal anchors at equal places. Each task first compares its own, so periodic texts
@@ -38,7 +39,7 @@ from swathkit.llm.shared import binary_list, materialize, mix, slices
 GRAM = 32
 SLICE = 1 << 15
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_ANCHORS = "gram long, around long, doc_id long, pos long, head int, tail int, later boolean"
+_ANCHORS = "gram long, around long, doc_id long, text_key long, pos long, head int, tail int, later boolean"
 #: Anchors that are compared within the task before the shuffle.
 MEET = 250_000
 _NULL_ID = -(1 << 63)
@@ -93,7 +94,7 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np
     return owner, at, h[at], around, at - low, high - at
 
 
-def _later(gram: np.ndarray, around: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def _later(gram: np.ndarray, around: np.ndarray, doc: np.ndarray, text: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """Which anchors have an equal one (gram and neighbourhood) at an earlier place among these."""
     key = mix(gram * _STEP[1] + around)
     order = np.argsort(key, kind="stable")
@@ -102,23 +103,23 @@ def _later(gram: np.ndarray, around: np.ndarray, doc: np.ndarray, pos: np.ndarra
     shared[1:] |= same
     shared[:-1] |= same
     some = order[shared]
-    some = some[np.lexsort((pos[some], doc[some], key[some]))]
+    some = some[np.lexsort((pos[some], text[some], doc[some], key[some]))]
     new = np.ones(len(some), bool)
     new[1:] = key[some[1:]] != key[some[:-1]]
     first = some[new][np.cumsum(new) - 1]
     later = np.zeros(len(key), bool)
-    later[some] = (gram[some] == gram[first]) & (around[some] == around[first]) & ((doc[some] != doc[first]) | (pos[some] != pos[first]))
+    later[some] = (gram[some] == gram[first]) & (around[some] == around[first]) & ((doc[some] != doc[first]) | (text[some] != text[first]) | (pos[some] != pos[first]))
     return later
 
 
 def _anchor_rows(held: list[tuple]) -> pa.RecordBatch:
     doc = pa.concat_arrays([h[0] for h in held])
-    gram, around, pos, head, tail = (np.concatenate(c) for c in zip(*(h[1:] for h in held)))
+    text, gram, around, pos, head, tail = (np.concatenate(c) for c in zip(*(h[1:] for h in held)))
     order = doc.fill_null(_NULL_ID).to_numpy()
-    later = _later(gram, around, order, pos)
+    later = _later(gram, around, order, text, pos)
     # What is known to repeat needs no meeting with its equals: it is spread by its place instead of gathering at a hot gram.
-    gram = np.where(later, mix(order.view(np.uint64) * _STEP[2] + pos.view(np.uint64)), gram)
-    columns = [pa.array(gram.view(np.int64)), pa.array(around.view(np.int64)), doc, pa.array(pos), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(later)]
+    gram = np.where(later, mix(order.view(np.uint64) * _STEP[2] + mix(text.view(np.uint64)) + pos.view(np.uint64)), gram)
+    columns = [pa.array(gram.view(np.int64)), pa.array(around.view(np.int64)), doc, pa.array(text), pa.array(pos), pa.array(head.astype(np.int32)), pa.array(tail.astype(np.int32)), pa.array(later)]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ANCHORS.split(", ")])
 
 
@@ -128,10 +129,12 @@ def _anchor_batches(length: int):
         n = 0
         for batch in batches:
             texts = binary_list(batch.column(1))
+            # Without a third column ids are unique.
+            text_keys = batch.column(2).to_numpy() if batch.num_columns > 2 else np.zeros(batch.num_rows, np.int64)
             for first, last in slices(texts, SLICE):
                 for owner, at, *rest in _pieces(texts[first:last], length):
                     gram, around, head, tail = rest
-                    held.append((batch.column(0).take(pa.array(first + owner)), gram, around, at.astype(np.int64), head, tail))
+                    held.append((batch.column(0).take(pa.array(first + owner)), text_keys[first + owner], gram, around, at.astype(np.int64), head, tail))
                     n += len(at)
                     if n >= MEET:
                         yield _anchor_rows(held)
@@ -180,30 +183,30 @@ def _fetch(length: int, single: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, places = batch.column(0).to_pylist(), binary_list(batch.column(1)), batch.column(2).to_pylist()
+            ids, texts, text_keys, places = batch.column(0).to_pylist(), binary_list(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             rows: list[tuple] = []
-            for doc, text, found in zip(ids, texts, places):
+            for doc, text, text_key, found in zip(ids, texts, text_keys, places):
                 for x in found:
-                    rows.append((x["gram"], doc, x["pos"], x["head"], text[x["pos"] - x["head"] : x["pos"] + x["tail"]]))
+                    rows.append((x["gram"], doc, text_key, x["pos"], x["head"], text[x["pos"] - x["head"] : x["pos"] + x["tail"]]))
             for k in range(0, len(rows), 2000):
-                gram, doc, pos, head, context = zip(*rows[k : k + 2000])
-                columns = {"gram": pa.array(gram, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "pos": pa.array(pos, pa.int64())}
+                gram, doc, text_key, pos, head, context = zip(*rows[k : k + 2000])
+                columns = {"gram": pa.array(gram, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "text_key": pa.array(text_key, pa.int64()), "pos": pa.array(pos, pa.int64())}
                 if not single:
                     yield pa.RecordBatch.from_pydict(columns | {"head": pa.array(head, pa.int32()), "context": pa.array(context, pa.binary())})
                     continue
                 first, second, exists = _windows(list(context), np.array(head), length)
                 row, column = np.nonzero(exists)
                 starts = np.array(pos, np.int64)[row] + column - (length - GRAM)
-                yield pa.RecordBatch.from_pydict({"rank": first[exists].view(np.int64), "rank_on": second[exists].view(np.int64), "doc_id": columns["doc_id"].take(pa.array(row)), "pos": starts})
+                yield pa.RecordBatch.from_pydict({"rank": first[exists].view(np.int64), "rank_on": second[exists].view(np.int64), "doc_id": columns["doc_id"].take(pa.array(row)), "text_key": columns["text_key"].take(pa.array(row)), "pos": starts})
 
     return run
 
 
 def _double(length: int):
-    """Neighbourhoods sorted by gram, id and place -> spans that start with a repeat. Works on whole grams, some thousand neighbourhoods at a time."""
+    """Neighbourhoods sorted by gram, document and place -> spans that start with a repeat. Works on whole grams, some thousand neighbourhoods at a time."""
 
     def spans(table: pa.Table) -> pa.RecordBatch:
-        gram, pos = (table.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "pos"))
+        gram, text, pos = (table.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "text_key", "pos"))
         doc = pc.fill_null(table.column("doc_id"), _NULL_ID).to_numpy()
         heads = table.column("head").to_numpy()
         names, rest, exists = _windows(table.column("context").to_pylist(), heads, length)
@@ -213,11 +216,11 @@ def _double(length: int):
         _, first, back = np.unique(keys[exists], return_index=True, return_inverse=True)
         earliest = row[first][back]
         again = np.zeros(exists.shape, bool)
-        again[row, at] = (doc[earliest] != doc[row]) | (pos[earliest] != pos[row])
+        again[row, at] = (doc[earliest] != doc[row]) | (text[earliest] != text[row]) | (pos[earliest] != pos[row])
         edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         (row, low), (_, high) = np.nonzero(edge == 1), np.nonzero(edge == -1)
         base = pos[row] - (length - GRAM)
-        return pa.RecordBatch.from_pydict({"doc_id": table.column("doc_id").take(pa.array(row)).combine_chunks(), "start": base + low, "stop": base + high - 1 + length})
+        return pa.RecordBatch.from_pydict({"doc_id": table.column("doc_id").take(pa.array(row)).combine_chunks(), "text_key": text[row], "start": base + low, "stop": base + high - 1 + length})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -281,30 +284,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     length is at least 64 and at most 128. Null texts are empty. A null id comes before all others.
     Rows that repeat an id and its text are one document and don't count as copies of each other;
-    texts that share an id but differ are cut by the spans of both. Empty tables give empty results;
+    texts that share an id (or have none) but differ are different documents, in the order of a hash
+    of the text. Empty tables give empty results;
     other columns are not read.
     """
     if not 64 <= length <= 128:
         raise ValueError("length must lie in 64 to 128")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    place = F.struct("doc_id", "text_key", "pos")
     anchors = docs.mapInArrow(_anchor_batches(length), _ANCHORS).repartition("gram")
     same, gram = Window.partitionBy("gram", "around"), Window.partitionBy("gram")
-    anchors = anchors.withColumn("first", F.min(F.struct("doc_id", "pos")).over(same)).withColumn("repeat", F.col("later") | (F.struct("doc_id", "pos") != F.col("first")))
+    anchors = anchors.withColumn("first", F.min(place).over(same)).withColumn("repeat", F.col("later") | (place != F.col("first")))
     anchors = anchors.withColumn("n", F.sum(F.when(F.col("repeat"), 0).otherwise(1)).over(gram))
-    found = materialize(anchors.filter("repeat or n > 1").select("gram", "doc_id", "pos", "head", "tail", "repeat", "n"), "anchors")
+    found = materialize(anchors.filter("repeat or n > 1").select("gram", "doc_id", "text_key", "pos", "head", "tail", "repeat", "n"), "anchors")
+
+    of_doc = F.col("doc_id").eqNullSafe(F.col("other")) & (F.col("text_key") == F.col("other_key"))
 
     def texts(places: DataFrame) -> DataFrame:
-        places = places.groupBy("doc_id").agg(F.collect_set(F.struct("gram", "pos", "head", "tail")).alias("places"))
-        other = places.withColumnRenamed("doc_id", "other")
-        return docs.join(other, F.col("doc_id").eqNullSafe(F.col("other"))).select("doc_id", "text", "places")
-
-    few = texts(found.filter(f"not repeat and n <= {group_limit}")).mapInArrow(_fetch(length, False), "gram long, doc_id long, pos long, head int, context binary")
-    few = few.repartition("gram").sortWithinPartitions("gram", "doc_id", "pos").mapInArrow(_double(length), "doc_id long, start long, stop long")
-    many = texts(found.filter(f"not repeat and n > {group_limit}")).mapInArrow(_fetch(length, True), "rank long, rank_on long, doc_id long, pos long")
-    least = many.groupBy("rank", "rank_on").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    many = many.join(least, ["rank", "rank_on"]).filter(F.struct("doc_id", "pos") != F.col("first")).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + length).alias("stop"))
-    whole = found.filter("repeat").select("doc_id", (F.col("pos") - F.col("head")).alias("start"), (F.col("pos") + F.col("tail")).alias("stop"))
-    spans = whole.unionByName(few).unionByName(many).groupBy(F.col("doc_id").alias("other")).agg(F.collect_set(F.struct("start", "stop")).alias("found"))
-    return docs.join(spans, F.col("doc_id").eqNullSafe(F.col("other")), "left").select("doc_id", "text", "found").mapInArrow(
+        other = places.groupBy(F.col("doc_id").alias("other"), F.col("text_key").alias("other_key")).agg(F.collect_set(F.struct("gram", "pos", "head", "tail")).alias("places"))
+        return docs.join(other, of_doc).select("doc_id", "text", "text_key", "places")
+
+    few = texts(found.filter(f"not repeat and n <= {group_limit}")).mapInArrow(_fetch(length, False), "gram long, doc_id long, text_key long, pos long, head int, context binary")
+    few = few.repartition("gram").sortWithinPartitions("gram", "doc_id", "text_key", "pos").mapInArrow(_double(length), "doc_id long, text_key long, start long, stop long")
+    many = texts(found.filter(f"not repeat and n > {group_limit}")).mapInArrow(_fetch(length, True), "rank long, rank_on long, doc_id long, text_key long, pos long")
+    least = many.groupBy("rank", "rank_on").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    many = many.join(least, ["rank", "rank_on"]).filter(place != F.col("first")).select("doc_id", "text_key", F.col("pos").alias("start"), (F.col("pos") + length).alias("stop"))
+    whole = found.filter("repeat").select("doc_id", "text_key", (F.col("pos") - F.col("head")).alias("start"), (F.col("pos") + F.col("tail")).alias("stop"))
+    spans = whole.unionByName(few).unionByName(many).groupBy(F.col("doc_id").alias("other"), F.col("text_key").alias("other_key")).agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    return docs.join(spans, of_doc, "left").select("doc_id", "text", "found").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
     )

@@ -170,6 +170,22 @@ def test_suffix_dedup(docs, texts, nothing):
         assert got == want
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark, limit):
+    """Texts with null or repeated ids lose their own repeats only, at equal places too; full repeats are one document."""
+    rng = random.Random(8)
+    fresh = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared, other = fresh(300), fresh(250)
+    rows = [(None, shared + fresh(400)), (None, shared + fresh(90)), (None, fresh(800)), (7, fresh(500)), (7, other + fresh(300)), (7, other + fresh(200)), (7, fresh(120)), (9, other)]
+    rows += [rows[2], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.remove_repeats(docs, group_limit=limit).collect()
+    removed = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in got)
+    in_pairs = [x for x in removed if x[1] in (700, 390)], [x for x in removed if x[1] in (550, 450)]
+    assert [sorted(x[2] for x in pair) for pair in in_pairs] == [[0, 300], [0, 250]]
+    assert [x for x in removed if x not in in_pairs[0] + in_pairs[1]] == [("7", 120, 0), ("7", 500, 0), ("7", 500, 0), ("9", 250, 250), ("None", 800, 0), ("None", 800, 0)]
+
+
 def test_anchors_meet_within_a_task(spark):
     """Equal results whether all, some or no equal anchors are compared before the shuffle."""
     texts = ["ab" * 4000, "abc" * 300 + "x" * 900, "ab" * 4000, "q" + "ab" * 2000]
