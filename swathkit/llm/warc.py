@@ -7,7 +7,9 @@ the others become revisit records without body.
 The reader checks version line, header, length, trailing line ends and the block digest of every
 record. Where a check fails it searches on for the next version line (in a plain archive) or the next
 member (in a gzip one) that begins a record which passes, goes on from there, and returns the bytes
-between as a gap with its reason. Nothing is lost silently: the records and gaps of a file tile it.
+between as a gap with its reason. What a damaged member inflates to before the damage is searched like
+a plain archive. Nothing is lost silently: the records and gaps of a file tile it, those of one member
+at the same place.
 """
 
 from __future__ import annotations
@@ -93,43 +95,55 @@ def _plain(data: bytes) -> Iterator[Record]:
             return
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    inflate = zlib.decompressobj(31)
-    try:
-        body = inflate.decompress(memoryview(data)[at:])
-    except zlib.error as error:
-        return f"member: {error}"
-    return (body, len(data) - len(inflate.unused_data)) if inflate.eof else "member without end"
+def _member(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What a member inflates to, its end, and what is wrong with it. A damaged one has no end; what came out before the damage counts."""
+    inflate, out, step = zlib.decompressobj(31), [], 1 << 16
+    while at < len(data) and not inflate.eof:
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(data[at : at + step]))
+        except zlib.error as error:
+            if step == 1:
+                return b"".join(out), None, f"member: {error}"
+            # Again from before this piece, byte by byte up to the damage.
+            inflate, step = before, 1
+            continue
+        at += step
+    if not inflate.eof:
+        return b"".join(out), None, "member without end"
+    return b"".join(out), min(at, len(data)) - len(inflate.unused_data), ""
 
 
 def _gzipped(data: bytes) -> Iterator[Record]:
-    """Records by the place of their member. A member is good if it inflates and holds whole records only."""
-
-    def look(at: int) -> tuple[list[Record], int] | str:
-        got = _member(data, at)
-        if isinstance(got, str):
-            return got
-        inner = list(_plain(got[0]))
-        bad = [r.reason for r in inner if r.reason]
-        return bad[0] if bad or not inner else (inner, got[1]) if inner else "empty member"
-
-    at = 0
+    """Records and gaps by the place of their member. A damaged member ends where the next begins that is sound or holds a good record."""
+
+    def look(at: int) -> tuple[list[Record], int | None]:
+        body, end, wrong = _member(data, at)
+        inner = list(_plain(body))
+        # A member that is one record must be sound as a whole: its checksum is a check of the record.
+        if wrong and all(r.reason or r.end - r.start == len(body) for r in inner):
+            inner = []
+        if wrong or not inner:
+            inner.append(Record(at, at, reason=wrong or "empty member"))
+        return inner, end
+
+    at, here = 0, look(0) if data else None
     while at < len(data):
-        found = look(at)
-        nxt = at + 1
-        while isinstance(found, str):
+        inner, end = here
+        later, nxt = None, at + 1
+        while end is None:
             nxt = data.find(_MEMBER, nxt)
             if nxt < 0:
-                yield Record(at, len(data), reason=found)
-                return
+                end = len(data)
+                break
             later = look(nxt)
-            if not isinstance(later, str):
-                yield Record(at, nxt, reason=found)
-                at, found = nxt, later
+            if later[1] is not None or not all(r.reason for r in later[0]):
+                end = nxt
             nxt += 1
-        for record in found[0]:
-            yield Record(at, found[1], record.headers, record.block)
-        at = found[1]
+        for record in inner:
+            yield Record(at, end, record.headers, record.block, record.reason)
+        at = end
+        here = later if later is not None and nxt - 1 == at else look(at) if at < len(data) else None
 
 
 def salvage(data: bytes) -> Iterator[Record]:
@@ -188,10 +202,11 @@ def _id_of(urn: str | None) -> int | None:
 _READ = "file string, start long, end long, reason string, record_type string, record_id long, refers_to long, target_uri string, payload_bytes long, payload_digest string, payload binary"
 
 
-def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Records and gaps of all archives below a path: file, start, end, reason (null for records), record_type, record_id, refers_to, target_uri, payload_bytes, payload_digest, payload.
+def read_warc(spark: SparkSession, path: str, with_payload: bool = True, files: str = "*") -> DataFrame:
+    """Records and gaps of all archives below a path whose file names match `files`: file, start, end, reason (null for records), record_type, record_id, refers_to, target_uri, payload_bytes, payload_digest, payload.
 
-    Places are bytes of the file, of a record's member if it is compressed. The digest of a stored
+    Names that begin with a dot or underscore are left out by Spark. Places are bytes of the file, of a
+    record's member if it is compressed. The digest of a stored
     payload is computed; a revisit has what its header says. An archive is read by one task and
     held in memory, so archives should be cut to some hundred MB, as the writer does.
     """
@@ -214,8 +229,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                         rows = []
                 yield _rows(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, _READ)
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", files).load(path)
+    return archives.select("path", "content").mapInArrow(run, _READ)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -314,6 +314,44 @@ def test_warc_salvage(pack):
     assert [r.reason for r in warc.salvage(b"rubbish")] == ["no version line"] and not list(warc.salvage(b""))
 
 
+def test_warc_salvage_within_members():
+    """Archives that are one gzip stream, or have many records a member, lose only what the damage reaches."""
+    import gzip
+
+    rng = random.Random(9)
+    bodies = [rng.randbytes(3000) for _ in range(40)]
+    plain = [_record(1, b) for b in bodies]
+    stream = gzip.compress(b"".join(plain), mtime=0)
+    half = len(stream) // 2
+    for data in (stream[:half], stream[:half] + b"\0" * 200 + stream[half + 200 :], stream[:half] + bytes([stream[half] ^ 1]) + stream[half + 1 :]):
+        found = list(warc.salvage(data))
+        good = [r.block for r in found if not r.reason]
+        assert good[:17] == bodies[:17] and set(good) < set(bodies)
+        assert any(r.reason for r in found) and all((r.start, r.end) == (0, len(data)) for r in found)
+    bad = plain[3][:-50] + b"?" + plain[3][-49:]
+    members = [gzip.compress(b"".join(x), mtime=0) for x in (plain[:3] + [bad] + plain[4:10], plain[10:20], plain[20:])]
+    cut = members[1][: len(members[1]) - 6000]
+    found = list(warc.salvage(members[0] + cut + members[2]))
+    assert [r.block for r in found if not r.reason] == bodies[:3] + bodies[4:18] + bodies[20:]
+    places = sorted({(r.start, r.end) for r in found})
+    assert places[0][0] == 0 and places[-1][1] == len(members[0] + cut + members[2]) and len(places) == 3
+    assert all(a[1] == b[0] for a, b in zip(places, places[1:]))
+    assert {(r.start, r.end) for r in found if r.reason} == set(places[:2])
+
+
+def test_read_warc_takes_every_file(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.warc").write_bytes(_record(1))
+    (tmp_path / "sub" / "b.warc.gz").write_bytes(gzip.compress(_record(2) + _record(3)))
+    (tmp_path / "sub" / "part-0").write_bytes(_record(4) + b"rubbish")
+    read = lambda **options: sorted((r.file.rsplit("/")[-1], r.payload_bytes) for r in warc.read_warc(spark, str(tmp_path), **options).filter("reason is null").collect())
+    assert read() == [("a.warc", 7), ("b.warc.gz", 14), ("b.warc.gz", 21), ("part-0", 28)]
+    assert read(files="*.gz") == [("b.warc.gz", 14), ("b.warc.gz", 21)]
+    assert warc.read_warc(spark, str(tmp_path)).filter("reason is not null").count() == 1
+
+
 def test_context_mixing(docs, texts, nothing):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
     rows = context_mixing.score(docs, train).collect()
