@@ -6,6 +6,8 @@ holes) or MultiPoint (its points in the first ring).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,19 +37,25 @@ def centre(vertices: Column) -> tuple[Column, Column]:
     return _sum(vertices, lambda v: v["lat"]) / F.size(vertices), F.when(mean <= -180.0, mean + 360.0).otherwise(mean)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row, however often body refers to it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def drop_repeats(ring: Column) -> Column:
     """Without vertices equal to the one before."""
-    return F.filter(ring, lambda v, i: (i == 0) | (v != F.get(ring, F.greatest(i - 1, F.lit(0)))))
+    return let(ring, lambda r: F.filter(r, lambda v, i: (i == 0) | (v != F.get(r, F.greatest(i - 1, F.lit(0))))))
 
 
 def open_ring(ring: Column) -> Column:
     """Without the closing vertex."""
-    closed = (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
-    return F.when(closed, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+    closed = lambda r: (F.size(r) > 1) & (F.get(r, 0) == F.get(r, F.size(r) - 1))
+    return let(ring, lambda r: F.when(closed(r), F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0)))).otherwise(r))
 
 
 def close_ring(ring: Column) -> Column:
-    return F.when((F.size(ring) > 0) & (F.element_at(ring, 1) != F.element_at(ring, -1)), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
+    ends = lambda r: (F.size(r) > 0) & (F.get(r, 0) != F.get(r, F.size(r) - 1))
+    return let(ring, lambda r: F.when(ends(r), F.concat(r, F.slice(r, 1, 1))).otherwise(r))
 
 
 def edges(ring: Column) -> Column:
@@ -78,6 +86,6 @@ def in_ring(lon: Column, lat: Column, ring_edges: Column) -> Column:
 def in_part(lon: Column, lat: Column, part: Column) -> Column:
     """part: struct<kind, edges array<array<edge>>, points array<vertex>>. In the outer ring and in no hole (a hole's edge is outside); or at a point."""
     outer = F.coalesce(in_ring(lon, lat, F.get(part["edges"], 0)), F.lit(False))
-    holes = F.exists(F.slice(part["edges"], 2, 1_000_000), lambda r: in_ring(lon, lat, r))
+    holes = F.exists(F.slice(part["edges"], F.lit(2), F.greatest(F.size(part["edges"]) - 1, F.lit(0))), lambda r: in_ring(lon, lat, r))
     near = F.exists(part["points"], lambda p: (F.abs(p["lon"] - lon) <= EPSILON) & (F.abs(p["lat"] - lat) <= EPSILON))
     return F.when(part["kind"] == "Polygon", outer & ~holes).otherwise(near)

@@ -1,20 +1,43 @@
-"""Times as Columns. Arithmetic is in whole microseconds; zoneless text is UTC (the session zone must be UTC)."""
+"""Times as Columns. All text is UTC whatever the session's zone: fields are computed from whole microseconds, and zoneless text is read as UTC."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_DAY = 86_400_000_000
+_SECOND = 1_000_000
+
 
 def parse_utc(text: Column, strict: bool = True) -> Column:
-    """ISO text to timestamp. strict: bad text is an error, else null."""
-    return F.to_timestamp(F.trim(text)) if strict else F.try_to_timestamp(F.trim(text))
+    """ISO text to timestamp; without a zone it is UTC, without a time midnight. strict: bad text is an error, else null."""
+    text = F.trim(text)
+    zoned = text.rlike(r"\d[T ].*(?:Z|[+-]\d{2}(?::?\d{2})?)$")
+    full = F.when(zoned, text).when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text, F.lit("Z")))
+    return F.to_timestamp(full) if strict else F.try_to_timestamp(full)
 
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts)
 
 
+def micros_of_ntz(ts: Column) -> Column:
+    """Microseconds of a timestamp without zone, taken as UTC."""
+    return micros(parse_utc(ts.cast("string")))
+
+
+def utc_date(us: Column) -> Column:
+    """The UTC date of microseconds since 1970."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), ((us - F.pmod(us, F.lit(_DAY))) / _DAY).cast("int"))
+
+
+def _clock(us: Column) -> Column:
+    """yyyy-MM-ddTHH:mm:ss of microseconds since 1970."""
+    seconds = (F.pmod(us, F.lit(_DAY)) / _SECOND).cast("int")
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    return F.concat(utc_date(us).cast("string"), F.lit("T"), two(seconds / 3600), F.lit(":"), two(seconds % 3600 / 60), F.lit(":"), two(seconds % 60))
+
+
 def divide_half_even(value: Column, by: Column) -> Column:
     """Whole-number quotient, halves to the even neighbour, for positive by."""
     rest = F.pmod(value, by)
@@ -30,26 +53,31 @@ def midpoint(start: Column, stop: Column) -> Column:
 
 def iso_text(ts: Column, zone: str = "Z") -> Column:
     """ISO text with zone; a fraction (six digits) only if there is one."""
-    whole = F.date_format(ts, f"yyyy-MM-dd'T'HH:mm:ss'{zone}'")
-    return F.when(F.pmod(micros(ts), F.lit(1_000_000)) == 0, whole).otherwise(F.date_format(ts, f"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'{zone}'"))
+    us = micros(ts)
+    part = F.pmod(us, F.lit(_SECOND))
+    fraction = F.when(part == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0")))
+    return F.concat(_clock(us), fraction, F.lit(zone))
 
 
 def millis_text(ts: Column) -> Column:
     """ISO text with milliseconds, cut off, not rounded."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    us = micros(ts)
+    part = (F.pmod(us, F.lit(_SECOND)) / 1000).cast("int")
+    return F.concat(_clock(us), F.lit("."), F.lpad(part.cast("string"), 3, "0"), F.lit("Z"))
 
 
 def time_of_name(name: Column) -> Column:
-    """Time in a file name YYYYMMDDThhmmss[ffffff]Z[_n].geojson; null for other names."""
-    day = F.regexp_extract(name, r"^(\d{8}T\d{6})(\d{0,6})Z(?:_\d+)?(?:\.\w+)?$", 1)
-    part = F.regexp_extract(name, r"^(\d{8}T\d{6})(\d{0,6})Z(?:_\d+)?(?:\.\w+)?$", 2)
-    return F.when(day != "", F.try_to_timestamp(F.concat(day, F.rpad(part, 6, "0")), F.lit("yyyyMMdd'T'HHmmssSSSSSS")))
+    """Time in a file name YYYYMMDDThhmmss[fraction][Z][_n].geojson, six digits of the fraction; null for other names."""
+    pattern = r"^(\d{8}T\d{6})(\d{0,6})\d*Z?(?:_\d+)?(?:\.\w+)?$"
+    day, part = F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
+    return F.when(day != "", F.try_to_timestamp(F.concat(day, F.rpad(part, 6, "0"), F.lit("Z")), F.lit("yyyyMMdd'T'HHmmssSSSSSSX")))
 
 
 def safe_name(time_text: Column, suffix: str = ".geojson") -> Column:
-    """File name of a time: its letters and digits and a suffix; null if nothing is left."""
-    kept = F.regexp_replace(time_text, "[^0-9A-Za-z]", "")
-    return F.when(kept != "", F.concat(kept, F.lit(suffix)))
+    """File name of a time: its letters and digits and a suffix. An error if nothing is left; null of null."""
+    kept = F.regexp_replace(time_text, r"[^\p{L}\p{N}]", "")
+    empty = F.raise_error(F.concat(F.lit("no letter or digit for a file name in: "), time_text)).cast("string")
+    return F.when(kept == "", empty).otherwise(F.concat(kept, F.lit(suffix)))
 
 
 def month_bounds(month: str) -> tuple[str, str]:
@@ -59,4 +87,4 @@ def month_bounds(month: str) -> tuple[str, str]:
         raise ValueError(f"not a month of the form YYYY-MM: {month!r}")
     y, m = int(year), int(number)
     nxt = (y + 1, 1) if m == 12 else (y, m + 1)
-    return f"{y:04}-{m:02}-01 00:00:00", f"{nxt[0]:04}-{nxt[1]:02}-01 00:00:00"
+    return f"{y:04}-{m:02}-01T00:00:00Z", f"{nxt[0]:04}-{nxt[1]:02}-01T00:00:00Z"

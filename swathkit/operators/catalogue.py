@@ -26,21 +26,21 @@ def date_chunks(spark: SparkSession, start: str, end: str, days: int = 1) -> Dat
 def months(spark: SparkSession, year: int, month: int, n: int = 12) -> DataFrame:
     """month: n consecutive keys YYYY-MM."""
     start = F.make_date(F.lit(year), F.lit(month), F.lit(1))
-    return spark.range(1).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.date_format(F.add_months(start, i), "yyyy-MM"))).alias("month"))
+    return spark.range(1).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(F.add_months(start, i).cast("string"), 1, 7))).alias("month"))
 
 
 def clean_listing(raw: DataFrame) -> DataFrame:
-    """dip_filename, product_uri, begin_acquisition trimmed, rows without name dropped; with chunk_start if there. raw: dipFilename, productURI, beginAcquisition."""
+    """dip_filename, product_uri, begin_acquisition trimmed, rows without name dropped; with chunk_start (date) if there. raw: dipFilename, productURI, beginAcquisition."""
     keep = ["chunk_start"] if "chunk_start" in raw.columns else []
     text = lambda c: F.coalesce(F.trim(c), F.lit(""))
     return raw.select(text("dipFilename").alias("dip_filename"), text("productURI").alias("product_uri"), text("beginAcquisition").alias("begin_acquisition"), *keep).filter("dip_filename <> ''")
 
 
-def check_cap(listing: DataFrame, cap: int = QUERY_CAP) -> None:
-    """Raise if a chunk has as many rows as a query can return at most."""
-    full = listing.groupBy("chunk_start").count().filter(F.col("count") >= cap).take(1)
+def check_cap(counts: DataFrame, cap: int = QUERY_CAP, count_col: str = "expected") -> None:
+    """Raise if a chunk (chunk_start, count_col) has as many records as a query can return at most: it has been cut."""
+    full = counts.filter(F.col(count_col) >= cap).orderBy("chunk_start").take(1)
     if full:
-        raise ValueError(f"{full[0]['count']} records for the chunk of {full[0]['chunk_start']}: use shorter chunks")
+        raise ValueError(f"{full[0][count_col]} records for the chunk of {full[0]['chunk_start']}: use shorter chunks")
 
 
 def with_targets(listing: DataFrame, base_url: str, out_dir: str) -> DataFrame:
@@ -52,9 +52,21 @@ def with_targets(listing: DataFrame, base_url: str, out_dir: str) -> DataFrame:
     return rows.withColumn("target_path", F.concat_ws("/", F.lit(out_dir), F.coalesce(F.nullif("acquisition_date", F.lit("")), chunk), name))
 
 
-def reconcile(listing: DataFrame, inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of listing whose target_path isn't in inventory(target_path), counts listed, present, missing per chunk)."""
-    missing = listing.join(inventory.select("target_path").distinct(), "target_path", "left_anti")
-    flagged = listing.join(inventory.select("target_path", F.lit(True).alias("here")).distinct(), "target_path", "left")
+def reconcile(listing: DataFrame, inventory: DataFrame, chunks: DataFrame | None = None, cap: int = QUERY_CAP) -> tuple[DataFrame, DataFrame]:
+    """(rows of listing whose target_path isn't in inventory(target_path); per chunk: expected, listed, present, missing).
+
+    chunks: chunk_start and expected, the number of records that the catalogue says it has. Chunks
+    without a listed row show as well, and an expected number of cap or more is an error, raised
+    before anything is compared. Without chunks the listed rows count as expected.
+    """
+    here = inventory.select("target_path", F.lit(True).alias("here")).distinct()
+    flagged = listing.join(here, "target_path", "left").withColumn("here", F.coalesce("here", F.lit(False)))
     summary = flagged.groupBy("chunk_start").agg(F.count("*").alias("listed"), F.count_if("here").alias("present"))
-    return missing, summary.withColumn("missing", F.col("listed") - F.col("present"))
+    if chunks is None:
+        check_cap(summary, cap, "listed")
+        summary = summary.withColumn("expected", F.col("listed"))
+    else:
+        check_cap(chunks, cap)
+        summary = chunks.select("chunk_start", "expected").join(summary, "chunk_start", "left").fillna(0, ["listed", "present"])
+    missing = flagged.filter(~F.col("here")).select(*listing.columns)
+    return missing, summary.select("chunk_start", "expected", "listed", "present", (F.col("listed") - F.col("present")).alias("missing"))

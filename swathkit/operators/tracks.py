@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swathkit.functions import geometry, times
-from swathkit.operators.rings import normalise_rings
-from swathkit.sources.scratch import materialize
+from swathkit.operators.rings import normalised
 
+_XML = "malformed XML"
 
-def _checked(ok: Column, value: Column, what: str, name: Column, mode: str) -> Column:
-    """mode 'fail': an error that names the file; 'quarantine': null."""
-    if mode not in ("fail", "quarantine"):
-        raise ValueError("mode must be 'fail' or 'quarantine'")
-    bad = F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(name, F.lit("?")))) if mode == "fail" else F.lit(None)
-    return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(bad)
+
+@F.pandas_udf(T.BooleanType())
+def _well_formed(texts: pd.Series) -> pd.Series:
+    """Whether Spark's xpath will take a text: it fails the whole job on one that is not well-formed."""
+
+    def check(text: str | None) -> bool:
+        try:
+            expat.ParserCreate().Parse(text or "", True)
+            return True
+        except expat.ExpatError:
+            return False
+
+    return texts.map(check)
 
 
 def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -23,86 +34,119 @@ def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("__one")).select(*keep, "__one.*")
 
 
+def _split(rows: DataFrame, keep: list[str], mode: str) -> tuple[DataFrame, DataFrame]:
+    """(rows without reason, rejects: keep and reason). mode 'fail': a reason is an error that names the file, and there are no rejects."""
+    if mode not in ("fail", "quarantine"):
+        raise ValueError("mode must be 'fail' or 'quarantine'")
+    named = F.concat(F.coalesce("file_name", F.lit("?")), F.lit(": "), F.col("reason"))
+    stop = F.when(F.col("reason").isNotNull(), F.raise_error(named).cast("string"))
+    good = rows.withColumn("reason", stop) if mode == "fail" else rows
+    rejects = rows.filter("reason is not null").select(*keep, "reason")
+    return good.filter("reason is null").drop("reason"), rejects if mode == "quarantine" else rejects.limit(0)
+
+
 def _numbers(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != ""), lambda t: t.try_cast("double"))
 
 
 def _pairs(numbers: Column) -> Column:
-    """lat lon lat lon ... as vertices."""
-    return F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / 2) - 1), lambda i: F.struct(F.get(numbers, 2 * i + 1).alias("lon"), F.get(numbers, 2 * i).alias("lat")))
+    """lat lon lat lon ... as vertices; null if the numbers aren't pairs."""
+    good = (F.size(numbers) >= 2) & (F.size(numbers) % 2 == 0) & F.forall(numbers, lambda x: x.isNotNull())
+    pair = lambda i: F.struct(F.get(numbers, 2 * i + 1).alias("lon"), F.get(numbers, 2 * i).alias("lat"))
+    return F.when(good, F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(numbers) / 2) - 1, F.lit(0))), pair))
 
 
-def _good(numbers: Column) -> Column:
-    return (F.size(numbers) >= 2) & (F.size(numbers) % 2 == 0) & F.forall(numbers, lambda x: x.isNotNull())
+def _parsed_xml(df: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, ok and xml, null where the XML isn't well-formed."""
+    checked = df.select(*keep, "xml", _well_formed("xml").alias("ok"))
+    return checked.withColumn("xml", F.when(F.col("ok"), F.col("xml")))
 
 
-def extract_points(granules: DataFrame, mode: str = "fail") -> DataFrame:
-    """file_name, pos, latitude, longitude, point_ts, timestamp: the track of each granule (file_name, xml) with interpolated times.
+def extract_points(granules: DataFrame, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
+    """(points, rejects) of granules (file_name, xml; path and granule_group are kept if there).
 
-    The first begin, end and position list count. The step is rounded half-even to microseconds and
-    then multiplied. The elements are found by local name, whatever the namespace. mode='quarantine'
-    leaves out granules that lack an element or hold bad numbers.
+    points: file_name, pos, latitude, longitude, point_ts, timestamp, the track of each granule with
+    interpolated times. The first begin, end and position list count. The step is rounded half-even
+    to microseconds and then multiplied. The elements are found by local name, whatever the
+    namespace. rejects: file_name and reason of the granules that are malformed XML, lack an element
+    or hold bad numbers; mode='fail' makes the first of them an error that names the file.
     """
+    keep = [c for c in ("path", "granule_group", "file_name") if c in granules.columns]
     first = lambda tag: F.get(F.xpath("xml", F.lit(f"//*[local-name()='{tag}']/text()")), 0)
-    rows = _once(granules, ["file_name"], begin=times.parse_utc(first("beginPosition"), mode == "fail"), end=times.parse_utc(first("endPosition"), mode == "fail"), numbers=_numbers(first("posList")))
-    ok = F.col("begin").isNotNull() & F.col("end").isNotNull() & _good(F.col("numbers"))
-    vertices = _checked(ok, F.when(_good(F.col("numbers")), _pairs(F.col("numbers"))), "begin, end or positions are missing or malformed", F.col("file_name"), mode)
-    rows = _once(rows, ["file_name", "begin", "end"], vertices=vertices).filter(F.col("vertices").isNotNull())
+    rows = _parsed_xml(granules, keep)
+    rows = _once(rows, [*keep, "ok"], begin=times.parse_utc(first("beginPosition"), False), end=times.parse_utc(first("endPosition"), False), numbers=_numbers(first("posList")))
+    rows = _once(rows, [*keep, "ok", "begin", "end"], vertices=_pairs(F.col("numbers")))
+    reason = F.when(~F.col("ok"), _XML).when(F.col("begin").isNull(), "no begin time").when(F.col("end").isNull(), "no end time").when(F.col("vertices").isNull(), "positions are missing or not pairs of numbers")
+    rows, rejects = _split(rows.withColumn("reason", reason).drop("ok"), keep, mode)
     gaps = F.greatest(F.size("vertices") - 1, F.lit(1)).cast("long")
-    rows = rows.withColumn("step", F.when(F.size("vertices") == 1, F.lit(0)).otherwise(times.divide_half_even(times.micros(F.col("end")) - times.micros(F.col("begin")), gaps)).cast("long"))
-    rows = rows.select("file_name", "begin", "step", F.posexplode("vertices").alias("pos", "v"))
+    step = times.divide_half_even(times.micros(F.col("end")) - times.micros(F.col("begin")), gaps)
+    rows = rows.withColumn("step", F.when(F.size("vertices") == 1, F.lit(0)).otherwise(step).cast("long"))
+    rows = rows.select(*keep, "begin", "step", F.posexplode("vertices").alias("pos", "v"))
     ts = F.timestamp_micros(times.micros(F.col("begin")) + F.col("step") * F.col("pos"))
-    return rows.select("file_name", "pos", F.col("v.lat").alias("latitude"), F.col("v.lon").alias("longitude"), ts.alias("point_ts"), times.millis_text(ts).alias("timestamp"))
+    points = rows.select(*keep, "pos", F.col("v.lat").alias("latitude"), F.col("v.lon").alias("longitude"), ts.alias("point_ts"), times.millis_text(ts).alias("timestamp"))
+    return points, rejects
 
 
-def version_key(stem: Column) -> tuple[Column, Column]:
-    """(group key: first nine fields of a name split at _, or the whole; version: the tenth field or '')."""
-    fields = F.split(stem, "_", -1)
-    many = F.size(fields) > 9
-    return F.when(F.size(fields) >= 9, F.array_join(F.slice(fields, 1, 9), "_")).otherwise(stem), F.when(many, F.get(fields, 9)).otherwise(F.lit(""))
+def version_key(name: Column) -> tuple[Column, Column]:
+    """(group key: first nine fields of a file name split at _, or the name without its suffix; version: the tenth field or '')."""
+    fields = F.split(name, "_", -1)
+    group = F.when(F.size(fields) >= 9, F.array_join(F.slice(fields, 1, 9), "_")).otherwise(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
+    return group, F.when(F.size(fields) > 9, F.get(fields, 9)).otherwise(F.lit(""))
 
 
 def latest_versions(manifests: DataFrame, scope: str = "day") -> DataFrame:
     """Per day and group key the row of the greatest version, then name, then path (manifests: day, path, file_name, ...). scope='all': over all days."""
-    group, version = version_key(F.regexp_replace("file_name", r"\.[^.]*$", ""))
+    group, version = version_key(F.col("file_name"))
     keys = ["day", "group_key"] if scope == "day" else ["group_key"]
     best = Window.partitionBy(*keys).orderBy(F.desc("version"), F.desc("file_name"), F.asc("path"))
     rows = manifests.withColumn("group_key", group).withColumn("version", version)
     return rows.withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank")
 
 
-def read_manifest(manifests: DataFrame, mode: str = "fail") -> DataFrame:
-    """Adds central_ts, central_time (text), central_lat, central_lon and rings to manifests (file_name, xml).
+def manifest_counts(manifests: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """day, manifests, selected (latest versions): counts per day; of all of days (day) if given, so that those without manifests show."""
+    selected = latest_versions(manifests.select("day", "path", "file_name")).groupBy("day").agg(F.count("*").alias("selected"))
+    counts = manifests.groupBy("day").agg(F.count("*").alias("manifests")).join(selected, "day")
+    if days is None:
+        return counts
+    return days.join(counts, "day", "left").select("day", F.coalesce("manifests", F.lit(0)).alias("manifests"), F.coalesce("selected", F.lit(0)).alias("selected"))
+
+
+def read_manifest(manifests: DataFrame, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
+    """(manifests (file_name, xml, ...) with central_ts, central_time (text), central_lat, central_lon and rings instead of xml; rejects).
 
-    Elements are found by the end of their tag. The centre is over all vertices as given, closing ones included.
+    Elements are found by the end of their tag. The centre is over all vertices as given, closing
+    ones included. rejects and mode are as in extract_points.
     """
+    keep = [c for c in manifests.columns if c != "xml"]
     ending = lambda tag: f"//*[substring(local-name(), string-length(local-name()) - {len(tag) - 1}) = '{tag}']/text()"
     first = lambda tag: F.get(F.filter(F.transform(F.xpath("xml", F.lit(ending(tag))), F.trim), lambda t: t != ""), 0)
     lists = F.transform(F.xpath("xml", F.lit(ending("posList"))), _numbers)
-    keep = manifests.columns
-    rows = _once(manifests, keep, start=times.parse_utc(first("startTime"), mode == "fail"), stop=times.parse_utc(first("stopTime"), mode == "fail"), lists=lists)
-    ok = F.col("start").isNotNull() & F.col("stop").isNotNull() & (F.size("lists") > 0) & F.forall("lists", _good)
-    rings = _checked(ok, F.when(F.forall("lists", _good), F.transform("lists", _pairs)), "times or positions are missing or malformed", F.col("file_name"), mode)
-    rows = _once(rows, [*keep, "start", "stop"], rings=rings).filter(F.col("rings").isNotNull())
+    rows = _parsed_xml(manifests, keep)
+    rows = _once(rows, [*keep, "ok"], start=times.parse_utc(first("startTime"), False), stop=times.parse_utc(first("stopTime"), False), lists=lists)
+    rows = _once(rows, [*keep, "ok", "start", "stop"], rings=F.transform("lists", _pairs))
+    usable = (F.size("rings") > 0) & F.forall("rings", lambda r: r.isNotNull())
+    reason = F.when(~F.col("ok"), _XML).when(F.col("start").isNull(), "no start time").when(F.col("stop").isNull(), "no stop time").when(~F.coalesce(usable, F.lit(False)), "positions are missing or not pairs of numbers")
+    rows, rejects = _split(rows.withColumn("reason", reason).drop("ok"), keep, mode)
     lat, lon = geometry.centre(F.flatten("rings"))
     rows = rows.withColumn("central_ts", times.midpoint(F.col("start"), F.col("stop"))).withColumn("central_time", times.iso_text(F.col("central_ts")))
-    return rows.withColumn("central_lat", lat).withColumn("central_lon", lon).drop("start", "stop")
+    return rows.withColumn("central_lat", lat).withColumn("central_lon", lon).drop("start", "stop"), rejects
 
 
-def footprints(manifests: DataFrame, scope: str = "day", exact: bool = False, mode: str = "fail") -> DataFrame:
-    """day, path, file_name, central_time, central_lat, central_lon, central_ts, polygon_file, rings (cut at the meridians), straddles.
+def footprints(manifests: DataFrame, scope: str = "day", exact: bool = False, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
+    """(footprints, rejects) of manifests (day, path, file_name, xml).
 
-    Takes the latest version of each granule. Equal times get the names x, x_1, x_2 in order of file name and path.
-    Manifests are parsed once, into a scratch table: the rings are cut apart from the other columns and joined to them.
+    footprints: day, path, file_name, central_time, central_lat, central_lon, central_ts, polygon_file,
+    rings (cut at the meridians), straddles. Takes the latest version of each granule. Equal times get
+    the names x, x_1, x_2 in order of file name and path.
     """
-    parsed = read_manifest(latest_versions(manifests, scope), mode).drop("xml")
-    rows = materialize(parsed, "manifests").withColumn("footprint_id", F.col("path"))
-    cut = normalise_rings(rows.select("footprint_id", "rings"), exact)
-    rows = rows.drop("rings").join(cut, "footprint_id")
-    name = times.safe_name(F.col("central_time"), "")
+    parsed, rejects = read_manifest(latest_versions(manifests, scope), mode)
+    rows = _once(parsed, [c for c in parsed.columns if c != "rings"], cut=normalised(F.col("rings"), exact))
     again = F.row_number().over(Window.partitionBy("central_time").orderBy("file_name", "path")) - 1
-    file = F.concat(name, F.when(again > 0, F.concat(F.lit("_"), again.cast("string"))).otherwise(F.lit("")), F.lit(".geojson"))
-    return rows.withColumn("polygon_file", file).select("day", "path", "file_name", "central_time", "central_lat", "central_lon", "central_ts", "polygon_file", "rings", "straddles")
+    suffix = F.when(again > 0, F.concat(F.lit("_"), again.cast("string"))).otherwise(F.lit(""))
+    file = F.concat(times.safe_name(F.col("central_time"), ""), suffix, F.lit(".geojson"))
+    rows = rows.withColumn("polygon_file", file)
+    return rows.select("day", "path", "file_name", "central_time", "central_lat", "central_lon", "central_ts", "polygon_file", "cut.rings", "cut.straddles"), rejects
 
 
 def as_parts(rings: Column) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from swathkit.functions import geojson, times
 from swathkit.operators import catalogue
 
+def _file() -> Column:
+    return F.col("_metadata.file_path")
+
 
 def _name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
@@ -19,74 +22,135 @@ def _folder(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Listing in tab-separated values with header."""
-    return catalogue.clean_listing(spark.read.csv(path, sep="\t", header=True))
+def _there(spark: SparkSession, path: str) -> str | None:
+    """The full form of a path as file listings show it, or None if nothing is there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(found).toUri().toString() if system.exists(found) else None
+
+
+def _tail(base: str) -> str:
+    """A full path without its scheme's slashes, of which listings show one or three."""
+    return "/" + base.partition(":")[2].lstrip("/") if ":" in base else base
+
+
+def read_catalogue(spark: SparkSession, path: str, chunk_start: str | None = None) -> DataFrame:
+    """Listing in tab-separated values with header. Its chunk is given, or named by folders chunk_start=YYYY-MM-DD."""
+    raw = spark.read.csv(path, sep="\t", header=True)
+    if chunk_start is not None:
+        raw = raw.withColumn("chunk_start", F.lit(dt.date.fromisoformat(chunk_start)))
+    return catalogue.clean_listing(raw)
+
 
+def read_inventory(spark: SparkSession, out_dir: str, files: str = "*_MD.XML") -> DataFrame:
+    """target_path (out_dir, day, name) of the files that are there; only names are listed, nothing is read."""
+    base = _there(spark, out_dir)
+    if base is None:
+        return spark.createDataFrame([], "target_path string")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", files).load(out_dir).select("path")
+    inside = F.substring_index("path", _tail(base.rstrip("/")), -1)
+    return listed.select(F.concat(F.lit(out_dir.rstrip("/")), inside).alias("target_path"))
 
-def read_granules(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """path, file_name, granule_group (folder), xml of a file, or of all *.XML of a folder."""
+
+def read_granules(spark: SparkSession, path: str, recursive: bool = False, files: str = "*.XML") -> DataFrame:
+    """path, file_name, granule_group, xml of a file, or of all files of a folder that match a pattern.
+
+    granule_group is the first folder below path, path's own name for files right in it, and the
+    file's name for a single file.
+    """
+    base = _there(spark, path)
+    if base is None:
+        raise FileNotFoundError(path)
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if not path.endswith((".XML", ".xml")):
-        reader = reader.option("pathGlobFilter", "*.XML")
-    file = F.col("_metadata.file_path")
-    return reader.text(path, wholetext=True).select(file.alias("path"), _name(file).alias("file_name"), _folder(file).alias("granule_group"), F.col("value").alias("xml"))
+    single = path.endswith((".XML", ".xml"))
+    rows = (reader if single else reader.option("pathGlobFilter", files)).text(path, wholetext=True)
+    inside = F.regexp_replace(F.substring_index(_file(), _tail(base), -1), "^/", "")
+    group = _name(_file()) if single else F.when(inside.contains("/"), F.substring_index(inside, "/", 1)).otherwise(F.lit(base.rstrip("/").rsplit("/", 1)[-1]))
+    return rows.select(_file().alias("path"), _name(_file()).alias("file_name"), group.alias("granule_group"), F.col("value").alias("xml"))
 
 
-def read_manifests(spark: SparkSession, root: str, start: str, end: str) -> DataFrame:
-    """day, path, file_name, xml of root/YYYY/MM/DD/**/*.manifest for an inclusive range of dates; days that don't exist are skipped."""
+def read_manifests(spark: SparkSession, root: str, start: str, end: str, files: str = "*.manifest") -> tuple[DataFrame, DataFrame]:
+    """(manifests: day, path, file_name, xml of root/YYYY/MM/DD/** for an inclusive range of dates; days: day, and whether it has a folder)."""
     low, high = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
     if low > high:
         raise ValueError("start must not be after end")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-    days = [f"{root.rstrip('/')}/{low + dt.timedelta(n):%Y/%m/%d}" for n in range((high - low).days + 1)]
-    there = [d for d in days if (p := fs_path(d)).getFileSystem(conf).exists(p)]
-    kind = "day date, path string, file_name string, xml string"
-    if not there:
-        return spark.createDataFrame([], kind)
-    files = spark.read.option("pathGlobFilter", "*.manifest").option("recursiveFileLookup", "true").text(there, wholetext=True)
-    file = F.col("_metadata.file_path")
-    inside = F.regexp_extract(file, r".*?/(\d{4}/\d{2}/\d{2})/[^/]*(?:/.*)?$", 1)
-    return files.select(F.to_date(inside, "yyyy/MM/dd").alias("day"), file.alias("path"), _name(file).alias("file_name"), F.col("value").alias("xml"))
+    dates = [low + dt.timedelta(n) for n in range((high - low).days + 1)]
+    there = {d: _there(spark, f"{root.rstrip('/')}/{d:%Y/%m/%d}") for d in dates}
+    days = spark.createDataFrame([(d, p is not None) for d, p in there.items()], "day date, present boolean")
+    folders = [p for p in there.values() if p is not None]
+    if not folders:
+        return spark.createDataFrame([], "day date, path string, file_name string, xml string"), days
+    rows = spark.read.option("pathGlobFilter", files).option("recursiveFileLookup", "true").text(folders, wholetext=True)
+    base = _tail(folders[0].rstrip("/"))[: -len("/YYYY/MM/DD")]
+    day = F.to_date(F.substring(F.substring_index(_file(), base, -1), 2, 10), "yyyy/MM/dd")
+    return rows.select(day.alias("day"), _file().alias("path"), _name(_file()).alias("file_name"), F.col("value").alias("xml")), days
 
 
 def read_points(spark: SparkSession, path: str, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
-    """(points: latitude, longitude, timestamp, point_us; rejects: the rows that don't parse). mode='fail': they are an error instead."""
+    """(points: latitude, longitude, timestamp, point_us, point_id; rejects: the rows that don't parse).
+
+    mode='fail': such a row is an error that shows it. point_id sorts as the rows stand in the files.
+    """
     raw = spark.read.csv(path, header=True, schema="latitude string, longitude string, timestamp string")
-    if mode == "fail":
-        rows = raw.select(F.col("latitude").cast("double"), F.col("longitude").cast("double"), "timestamp", times.micros(times.parse_utc(F.col("timestamp"))).alias("point_us"))
-        absent = rows["latitude"].isNull() | rows["longitude"].isNull() | rows["point_us"].isNull()
-        rows = rows.withColumn("latitude", F.when(absent, F.raise_error(F.lit("a point row lacks a value"))).otherwise(F.col("latitude")))
-        return rows, raw.limit(0)
-    rows = raw.select("*", F.col("latitude").try_cast("double").alias("lat"), F.col("longitude").try_cast("double").alias("lon"), times.micros(times.parse_utc(F.col("timestamp"), strict=False)).alias("point_us"))
+    place = F.struct(_file().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = raw.select("*", F.col("latitude").try_cast("double").alias("lat"), F.col("longitude").try_cast("double").alias("lon"), times.micros(times.parse_utc(F.col("timestamp"), strict=False)).alias("point_us"), place.alias("point_id"))
     good = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("point_us").isNotNull()
-    return rows.filter(good).select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "timestamp", "point_us"), rows.filter(~good).select(*raw.columns)
+    if mode == "quarantine":
+        points = rows.filter(good).select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "timestamp", "point_us", "point_id")
+        return points, rows.filter(~good).select(*raw.columns)
+    shown = F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"})
+    checked = F.when(good, F.col("lat")).otherwise(F.raise_error(F.concat(F.lit("not a point row: "), shown)).cast("double"))
+    points = rows.select(checked.alias("latitude"), F.col("lon").alias("longitude"), "timestamp", "point_us", "point_id")
+    return points, raw.limit(0)
 
 
 def parse_footprints(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(footprints: footprint_us, source_folder, file_name, parts; rejects: files without time or with malformed JSON) of files (path, value)."""
-    rows = files.select("path", _folder(F.col("path")).alias("source_folder"), _name(F.col("path")).alias("file_name"), F.try_parse_json("value").alias("doc"))
+    """(footprints: footprint_us, source_folder, file_name, parts; rejects: path, source_folder, file_name, reason) of documents (path, value; source_folder, file_name and folder_no are taken if there)."""
+    have = files.columns
+    folder = F.col("source_folder") if "source_folder" in have else _folder(F.col("path"))
+    name = F.col("file_name") if "file_name" in have else _name(F.col("path"))
+    number = ["folder_no"] if "folder_no" in have else []
+    rows = files.select("path", folder.alias("source_folder"), name.alias("file_name"), *number, "value", F.try_parse_json("value").alias("doc"))
     rows = rows.withColumn("footprint_us", times.micros(times.time_of_name(F.col("file_name"))))
-    good = F.col("doc").isNotNull() & F.col("footprint_us").isNotNull()
-    return rows.filter(good).select("footprint_us", "source_folder", "file_name", geojson.parts(F.col("doc")).alias("parts")), rows.filter(~good).select("path", "source_folder", "file_name")
-
-
-def read_footprints(spark: SparkSession, folders: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Footprints and rejects of the *.geojson of several folders."""
-    files = spark.read.option("pathGlobFilter", "*.geojson").text(folders, wholetext=True)
-    return parse_footprints(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+    reason = F.when(F.col("footprint_us").isNull(), "no time in the name").when(F.col("doc").isNull(), "malformed JSON")
+    rows = rows.withColumn("reason", reason)
+    keep = ["footprint_us", "source_folder", "file_name", *number]
+    # Behind a generator the parts are computed once, however often what follows refers to them.
+    good = rows.filter("reason is null").select(*keep, F.explode(F.array(geojson.parts(F.col("doc"), F.col("value")))).alias("parts"))
+    return good, rows.filter("reason is not null").select("path", "source_folder", "file_name", "reason")
+
+
+def read_footprints(spark: SparkSession, folders: list[str], lines: bool = False, files: str = "*.geojson") -> tuple[DataFrame, DataFrame]:
+    """Footprints and rejects of several folders: of the *.geojson right in them, or if lines of the features that write_footprints wrote there.
+
+    source_folder is a folder's own name, folder_no its place in the list.
+    """
+    bases = [b for b in (_there(spark, f) for f in folders) if b is not None]
+    if len(bases) < len(folders):
+        raise FileNotFoundError([f for f in folders if _there(spark, f) is None])
+    if lines:
+        rows = spark.read.option("recursiveFileLookup", "true").text(bases)
+    else:
+        rows = spark.read.option("pathGlobFilter", files).text(bases, wholetext=True)
+    number, label = F.lit(None).cast("int"), F.lit(None).cast("string")
+    # The longest folder that holds the file, should one lie in another.
+    for base in sorted(bases, key=len):
+        inside = _file().contains(_tail(base.rstrip("/")) + "/")
+        number, label = F.when(inside, bases.index(base)).otherwise(number), F.when(inside, base.rstrip("/").rsplit("/", 1)[-1]).otherwise(label)
+    name = F.get_json_object("value", "$.id") if lines else _name(_file())
+    return parse_footprints(rows.select(_file().alias("path"), label.alias("source_folder"), name.alias("file_name"), number.alias("folder_no"), "value"))
 
 
 def write_points(points: DataFrame, path: str, crlf: bool = False) -> None:
-    """CSV with latitude, longitude, timestamp, in order of file and place."""
-    out = points.orderBy("file_name", "pos").select("latitude", "longitude", "timestamp")
+    """CSV with latitude, longitude, timestamp, in order of path (or file) and place."""
+    first = "path" if "path" in points.columns else "file_name"
+    out = points.orderBy(first, "pos").select("latitude", "longitude", "timestamp")
     out.write.mode("overwrite").option("header", True).option("lineSep", "\r\n" if crlf else "\n").csv(path)
 
 
 def write_footprints(footprints: DataFrame, path: str) -> None:
-    """One GeoJSON feature per line, in folders by day. Overwrites, so a second run adds nothing."""
-    text = geojson.feature_text(F.col("rings"), F.col("central_time"), F.col("file_name"))
+    """One GeoJSON feature per line, its id the polygon_file, in folders by day. Overwrites, so a second run adds nothing."""
+    text = geojson.feature_text(F.col("rings"), F.col("central_time"), F.col("file_name"), F.col("polygon_file"))
     footprints.select("day", text.alias("value")).write.mode("overwrite").partitionBy("day").text(path)
 
 
@@ -99,7 +163,14 @@ def write_summary(footprints: DataFrame, path: str, crlf: bool = False) -> None:
 
 
 def write_matches(matches: DataFrame, path: str, format: str = "parquet", names: list[str] | None = None) -> None:
-    """Matches in folders by month of the point; other months' folders stay. names: other names for the seven columns."""
-    out = matches.toDF(*names) if names else matches
-    month = F.date_format(F.to_timestamp(out[out.columns[2]]), "yyyy-MM")
-    out.withColumn("month", month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("month").format(format).save(path)
+    """The seven columns of matches in folders by month (UTC) of the point; other months' folders stay. names: other names for the seven.
+
+    Within a month the rows stand in the order of the points, then of the footprints' times, folders
+    (as they were listed) and names.
+    """
+    seven = matches.columns[:7]
+    month = F.substring(times.iso_text(times.parse_utc(F.col("point_timestamp"))), 1, 7)
+    keys = [c for c in ("point_id", "footprint_us", "folder_no", "source_folder", "geojson_filename") if c in matches.columns]
+    ordered = matches.withColumn("month", month).orderBy("month", *(keys if "point_id" in keys else ["point_timestamp", *keys]))
+    out = ordered.select(*[F.col(c).alias(n) for c, n in zip(seven, names or seven)], "month")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("month").format(format).save(path)

@@ -42,18 +42,40 @@ def _granule(n, end="2024-01-01T00:00:10Z"):
 
 
 def test_points(spark):
-    rows = tracks.extract_points(spark.createDataFrame([_granule(4), _granule(7), _granule(1)], "file_name string, xml string")).collect()
+    rows = tracks.extract_points(spark.createDataFrame([_granule(4), _granule(7), _granule(1)], "file_name string, xml string"))[0].collect()
     texts = {n: [r.timestamp[17:-1] for r in sorted(rows, key=lambda r: r.pos) if r.file_name == n] for n in ("g4", "g7", "g1")}
     assert texts["g4"] == ["00.000", "03.333", "06.666", "09.999"]
     assert texts["g7"][-1] == "10.000" and texts["g1"] == ["00.000"]
 
 
 def test_bad_granules(spark):
-    bad = [("odd", _granule(2)[1].replace("1 1", "1")), ("none", "<r/>"), _granule(2)]
+    bad = [("odd", _granule(2)[1].replace("1 1", "1")), ("none", "<r/>"), ("cut", _granule(2)[1][:70]), ("two", "<r/><r/>"), ("amp", "<r>&</r>"), ("null", None), ("empty", ""), _granule(2)]
     df = spark.createDataFrame(bad, "file_name string, xml string")
-    assert {r.file_name for r in tracks.extract_points(df, mode="quarantine").collect()} == {"g2"}
-    with pytest.raises(Exception, match="odd|none"):
-        tracks.extract_points(df).collect()
+    points, rejects = tracks.extract_points(df, mode="quarantine")
+    assert {r.file_name for r in points.collect()} == {"g2"}
+    assert {r.file_name: r.reason for r in rejects.collect()} == {"odd": "positions are missing or not pairs of numbers", "none": "no begin time", **dict.fromkeys(("cut", "two", "amp", "null", "empty"), "malformed XML")}
+    for name in ("odd", "none", "cut", "two"):
+        with pytest.raises(Exception, match=f"{name}: "):
+            tracks.extract_points(df.filter(F.col("file_name") == name))[0].collect()
+    assert tracks.extract_points(df.filter("file_name = 'g2'"))[1].count() == 0
+
+
+def test_bad_manifests(spark):
+    xml = "<x><startTime>2024-08-01T00:00:00Z</startTime><stopTime>2024-08-01T00:00:02Z</stopTime><posList>0 0 0 5 5 5</posList>{}</x>"
+    rows = [("good", xml.format("")), ("second", xml.format("<posList>1 2 3</posList>")), ("open", xml.format("<y>")), ("times", xml.format("").replace("stopTime", "stop"))]
+    df = spark.createDataFrame([("2024-08-01", f"/{n}", n, x) for n, x in rows], "day string, path string, file_name string, xml string")
+    found, rejects = tracks.footprints(df, mode="quarantine")
+    assert [r.file_name for r in found.collect()] == ["good"]
+    assert {r.file_name: r.reason[:9] for r in rejects.collect()} == {"second": "positions", "open": "malformed", "times": "no stop t"}
+    with pytest.raises(Exception, match="open: malformed XML"):
+        tracks.footprints(df.filter("file_name = 'open'"))[0].collect()
+
+
+def test_version_keys(spark):
+    names = [("a.b_1", "a", ""), ("A_B_C_D_E_F_G_H_I.x_7_z.manifest", "A_B_C_D_E_F_G_H_I.x", "7"), ("A_B_C_D_E_F_G_H_I_7.manifest", "A_B_C_D_E_F_G_H_I", "7.manifest"), ("A__C_D_E_F_G_H_I", "A__C_D_E_F_G_H_I", ""), ("x.manifest", "x", "")]
+    group, version = tracks.version_key(F.col("n"))
+    got = spark.createDataFrame([n[:1] for n in names], "n string").select("n", group.alias("g"), version.alias("v")).collect()
+    assert [tuple(r) for r in got] == names
 
 
 def test_times(spark):
@@ -64,7 +86,9 @@ def test_times(spark):
     assert list(row) == ["2024-08-01T23:59:50Z", "2024-08-01T23:59:50.500000Z", "20240801T235950Z.geojson", "20240801T235950500000Z.geojson"]
     names = spark.createDataFrame([("20240801T235950Z_1",), ("20240801T235950500000Z_1.geojson",), ("x",)], "n string").select(times.time_of_name(F.col("n"))).collect()
     assert [r[0] for r in names] == [dt.datetime(2024, 8, 1, 23, 59, 50), dt.datetime(2024, 8, 1, 23, 59, 50, 500000), None]
-    assert times.month_bounds("2024-12") == ("2024-12-01 00:00:00", "2025-01-01 00:00:00")
+    assert times.month_bounds("2024-12") == ("2024-12-01T00:00:00Z", "2025-01-01T00:00:00Z")
+    with pytest.raises(Exception, match="no letter or digit"):
+        spark.range(1).select(times.safe_name(F.lit("-:"))).collect()
     for bad in ("2024-13", "2024", "24-01"):
         with pytest.raises(ValueError):
             times.month_bounds(bad)
@@ -75,10 +99,33 @@ def test_catalogue(spark):
     assert [(r.chunk_start.day, r.chunk_end.day) for r in chunks] == [(1, 3), (4, 6), (7, 9), (10, 10)]
     with pytest.raises(ValueError):
         catalogue.date_chunks(spark, "2024-08-02", "2024-08-01")
-    listing = spark.createDataFrame([("2024-08-01", str(i)) for i in range(3)], "chunk_start string, n string")
-    with pytest.raises(ValueError, match="shorter"):
-        catalogue.check_cap(listing, cap=3)
-    catalogue.check_cap(listing, cap=4)
+    listing = spark.createDataFrame([("2024-08-01", f"out/{i}") for i in range(3)], "chunk_start string, target_path string")
+    expected = spark.createDataFrame([("2024-08-01", 4), ("2024-08-02", 0)], "chunk_start string, expected long")
+    there = spark.createDataFrame([("out/1",), ("out/1",), ("out/9",)], "target_path string")
+    missing, summary = catalogue.reconcile(listing, there, expected)
+    assert sorted(r.target_path for r in missing.collect()) == ["out/0", "out/2"]
+    assert sorted(tuple(r) for r in summary.collect()) == [("2024-08-01", 4, 3, 1, 2), ("2024-08-02", 0, 0, 0, 0)]
+    for chunks, cap in ((expected, 4), (None, 3)):
+        with pytest.raises(ValueError, match="shorter"):
+            catalogue.reconcile(listing, there, chunks, cap)
+
+
+def test_catalogue_files(spark, tmp_path):
+    for day, names in (("2024-08-01", (" a ", "b", " ")), ("2024-08-02", ("c",))):
+        (tmp_path / f"list/chunk_start={day}").mkdir(parents=True)
+        rows = "".join(f"{n}\tu\t{'' if n == 'b' else day + 'T01:02:03Z'}\n" for n in names)
+        (tmp_path / f"list/chunk_start={day}/x.tsv").write_text("dipFilename\tproductURI\tbeginAcquisition\n" + rows)
+    out = str(tmp_path / "out")
+    assert files.read_inventory(spark, out).count() == 0
+    (tmp_path / "out/2024-08-01").mkdir(parents=True)
+    (tmp_path / "out/2024-08-01/b_MD.XML").write_text("x")
+    (tmp_path / "out/2024-08-01/b_MD.XML.tmp").write_text("x")
+    listing = catalogue.with_targets(files.read_catalogue(spark, str(tmp_path / "list")), "http://h", out)
+    missing, summary = catalogue.reconcile(listing, files.read_inventory(spark, out))
+    assert sorted(r.target_path for r in missing.collect()) == [f"{out}/2024-08-01/a_MD.XML", f"{out}/2024-08-02/c_MD.XML"]
+    assert sorted((str(r.chunk_start), r.listed, r.present) for r in summary.collect()) == [("2024-08-01", 2, 1), ("2024-08-02", 1, 0)]
+    one = files.read_catalogue(spark, str(tmp_path / "list/chunk_start=2024-08-02/x.tsv"), chunk_start="2024-08-05").first()
+    assert (one.dip_filename, str(one.chunk_start)) == ("c", "2024-08-05")
 
 
 def test_circular_mean(spark):
@@ -93,6 +140,14 @@ SQUARE = [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]]
 HOLE = [[4, 4], [6, 4], [6, 6], [4, 6], [4, 4]]
 
 
+def _deep(levels):
+    """A point at the bottom of nested collections, beside empty ones."""
+    geometry = {"type": "Point", "coordinates": [3, 5]}
+    for _ in range(levels):
+        geometry = {"type": "GeometryCollection", "geometries": [{"type": "GeometryCollection", "geometries": []}, geometry]}
+    return json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": None}, {"type": "Feature", "geometry": geometry}]})
+
+
 def _footprints(spark, docs):
     rows = [(f"/r/folder/20240101T0{i // 60}{i % 60:02}00Z.geojson", d) for i, d in enumerate(docs)]
     return files.parse_footprints(spark.createDataFrame(rows, "path string, value string"))
@@ -106,6 +161,7 @@ def test_containment(spark):
     docs = [
         _geo("Polygon", [SQUARE]), _geo("Polygon", [SQUARE, HOLE]), _geo("LineString", SQUARE), _geo("Point", [1, 1]), _geo("Polygon", [SQUARE[:2]]), "{bad",
         _geo("MultiPolygon", [[SQUARE], [SQUARE]]), json.dumps({"type": "GeometryCollection", "geometries": [{"type": "MultiPoint", "coordinates": [[5, 5]]}]}),
+        json.dumps({"type": "GeometryCollection", "geometries": [json.loads(_geo("Polygon", [SQUARE]))]}), json.dumps({"type": "Thing", "geometry": json.loads(_geo("Point", [11, 5]))}), _deep(40),
     ]
     found, rejects = _footprints(spark, docs)
     assert rejects.count() == 1
@@ -113,7 +169,7 @@ def test_containment(spark):
     points = _points(spark, [(0, 5, base), (0, 0, base), (5, 5, base), (4, 5, base), (3, 5, base), (1 + 5e-10, 1, base), (11, 5, base)])
     got = {(r.longitude, r.latitude, int(r.geojson_filename[11:13])) for r in colocate(points, found).collect()}
     inside = [(0, 5), (0, 0), (5, 5), (4, 5), (3, 5), (1 + 5e-10, 1)]
-    assert got == {(x, y, k) for k in (0, 6) for x, y in inside} | {(x, y, 1) for x, y in inside if (x, y) not in [(5, 5), (4, 5)]} | {(1 + 5e-10, 1, 3), (5, 5, 7)}
+    assert got == {(x, y, k) for k in (0, 6) for x, y in inside} | {(x, y, 1) for x, y in inside if (x, y) not in [(5, 5), (4, 5)]} | {(1 + 5e-10, 1, 3), (5, 5, 7), (11, 5, 9), (3, 5, 10)}
 
 
 def test_window_and_months(spark):
@@ -137,14 +193,81 @@ def test_files(spark, tmp_path):
     xml = "<x><startTime>2024-08-01T23:58:20Z</startTime><stopTime>2024-08-02T00:01:20Z</stopTime><posList>10 5 10 15 20 15 20 5 10 5</posList></x>"
     for version in ("1", "2"):
         (day / f"A_B_C_D_E_F_G_H_I_{version}_x.manifest").write_text(xml)
-    manifests = files.read_manifests(spark, str(tmp_path / "root"), "2024-07-31", "2024-08-02")
-    row = tracks.footprints(manifests).collect()
+    (tmp_path / "root/2024/08/02").mkdir()
+    manifests, days = files.read_manifests(spark, str(tmp_path / "root"), "2024-07-31", "2024-08-02")
+    assert [tuple(map(str, r)) for r in days.orderBy("day").collect()] == [("2024-07-31", "False"), ("2024-08-01", "True"), ("2024-08-02", "True")]
+    assert [(str(r.day), r.manifests, r.selected) for r in tracks.manifest_counts(manifests, days.select("day")).orderBy("day").collect()] == [("2024-07-31", 0, 0), ("2024-08-01", 2, 1), ("2024-08-02", 0, 0)]
+    found = tracks.footprints(manifests)[0]
+    row = found.collect()
     assert len(row) == 1 and row[0].file_name.endswith("_2_x.manifest") and row[0].central_lat == 14.0 and row[0].polygon_file == "20240801T235950Z.geojson"
-    files.write_summary(tracks.footprints(manifests), str(tmp_path / "summary"))
-    files.write_footprints(tracks.footprints(manifests), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 1
+    files.write_summary(found, str(tmp_path / "summary"))
+    with pytest.raises(ValueError, match="no footprints"):
+        files.write_summary(found.limit(0), str(tmp_path / "none"))
     (tmp_path / "p.csv").write_text("latitude,longitude,timestamp\n1,2,2024-01-01T00:00:00.000Z\nx,2,2024-01-01T00:00:00Z\n")
     good, rejects = files.read_points(spark, str(tmp_path / "p.csv"), mode="quarantine")
     assert good.count() == 1 and rejects.count() == 1
     with pytest.raises(Exception):
         files.read_points(spark, str(tmp_path / "p.csv"))[0].collect()
+
+
+def test_dates_in_the_root(spark, tmp_path):
+    """A root that itself looks like a date: the day is what stands below it."""
+    root = tmp_path / "1999/01/02"
+    for day in ("2024/08/01", "2024/08/02/sub"):
+        (root / day).mkdir(parents=True)
+        (root / day / "m.manifest").write_text("<x/>")
+    found, _ = files.read_manifests(spark, str(root), "2024-08-01", "2024-08-03")
+    assert sorted(str(r.day) for r in found.collect()) == ["2024-08-01", "2024-08-02"]
+
+
+def test_granule_groups(spark, tmp_path):
+    for name in ("base/a.XML", "base/b.xml", "base/sub/c.XML", "base/sub/deep/d.XML"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(_granule(2)[1])
+    base = str(tmp_path / "base")
+    groups = lambda **o: sorted((r.file_name, r.granule_group) for r in tracks.extract_points(files.read_granules(spark, base, **o))[0].filter("pos = 0").collect())
+    assert groups() == [("a.XML", "base")]
+    assert groups(recursive=True) == [("a.XML", "base"), ("c.XML", "sub"), ("d.XML", "sub")]
+    assert files.read_granules(spark, f"{base}/sub/c.XML").first().granule_group == "c.XML"
+    points = tracks.extract_points(files.read_granules(spark, base, recursive=True))[0]
+    files.write_points(points, str(tmp_path / "points"), crlf=True)
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "points").glob("part-*")))
+    assert raw.count(b"\r\n") == raw.count(b"\n") > 6
+    back = files.read_points(spark, str(tmp_path / "points"))[0].orderBy("point_id").collect()
+    assert [(r.latitude, r.timestamp) for r in back] == [(r.latitude, r.timestamp) for r in points.orderBy("path", "pos").collect()]
+
+
+def test_written_footprints_match_again(spark, tmp_path):
+    """Equal times get suffixes, several rings are several parts; what is written is read and matched in the order of the points."""
+    xml = "<x><startTime>2024-08-01T00:00:00Z</startTime><stopTime>2024-08-01T00:00:00Z</stopTime>{}</x>"
+    west, east = "<posList>10 -15 10 -5 20 -5 20 -15</posList>", "<posList>10 5 10 15 20 15 20 5</posList>"
+    rows = [("m1", west), ("m2", west + east), ("m3", east)]
+    manifests = spark.createDataFrame([(dt.date(2024, 8, 1), f"/{n}", n, xml.format(r)) for n, r in rows], "day date, path string, file_name string, xml string")
+    files.write_footprints(tracks.footprints(manifests)[0], str(tmp_path / "f/north"))
+    files.write_footprints(tracks.footprints(manifests.filter("file_name = 'm3'"))[0], str(tmp_path / "f/east"))
+    found, rejects = files.read_footprints(spark, [str(tmp_path / "f/north"), str(tmp_path / "f/east")], lines=True)
+    assert rejects.count() == 0
+    (tmp_path / "p.csv").write_text("latitude,longitude,timestamp\n15,10,2024-08-01T01:00:00\n15,-10,2024-07-31T23:00:00.5+00:00\n15,0,2024-08-01T00:00:00Z\n15,10,2024-08-01T01:00:00\n")
+    points = files.read_points(spark, str(tmp_path / "p.csv"))[0]
+    files.write_matches(colocate(points, found), str(tmp_path / "m"), "csv")
+    lines = [line for p in sorted((tmp_path / "m").rglob("part-*")) for line in p.read_text().splitlines() if not line.startswith("latitude")]
+    names = ["20240801T000000Z_1.geojson", "20240801T000000Z_2.geojson"]
+    east_of = [("15.0,10.0", "north", names[0]), ("15.0,10.0", "north", names[1]), ("15.0,10.0", "east", "20240801T000000Z.geojson")]
+    want = [("15.0,-10.0", "north", "20240801T000000Z.geojson"), ("15.0,-10.0", "north", names[0]), *east_of, *east_of]
+    assert [(",".join(x.split(",")[:2]), x.split(",")[3], x.split(",")[4]) for x in lines] == want
+    assert sorted(p.name for p in (tmp_path / "m").glob("month=*")) == ["month=2024-07", "month=2024-08"]
+
+
+def test_point_rows_in_error_are_shown(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("latitude,longitude,timestamp\n1,2,\n")
+    with pytest.raises(Exception, match="not a point row.*longitude"):
+        files.read_points(spark, str(tmp_path / "p.csv"))[0].collect()
+
+
+def test_all_holes_count(spark):
+    """A point in the last of many holes is outside."""
+    holes = [[[i, 1], [i + 0.5, 1], [i + 0.5, 2], [i, 2], [i, 1]] for i in range(1, 9)]
+    found, _ = _footprints(spark, [_geo("Polygon", [SQUARE, *holes])])
+    at = found.first().footprint_us
+    got = colocate(_points(spark, [(8.2, 1.5, at), (8.7, 1.5, at)]), found).collect()
+    assert [r.longitude for r in got] == [8.7]
