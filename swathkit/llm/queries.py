@@ -84,10 +84,10 @@ QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_byte_bpe, op3_toxicit
 
 ORACLES = {
     "op4_url_filter": """
-        WITH p AS (SELECT page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host,
+        WITH p AS (SELECT page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:\\[]+)', 1) AS host,
                           DATE '2024-01-01' + CAST(page_id * 7919 % 365 AS INTEGER) AS fetch_date FROM pages),
         k AS (SELECT page_id, host, fetch_date, array_to_string(l[i:], '.') AS key
-              FROM (SELECT *, unnest(range(1, len(l))) AS i FROM (SELECT *, string_split(host, '.') AS l FROM p))),
+              FROM (SELECT *, unnest(range(1, CASE WHEN host[1] = '[' OR regexp_matches(host, '^[0-9]{1,3}(\\.[0-9]{1,3}){3}$') THEN 2 ELSE len(l) END)) AS i FROM (SELECT *, string_split(host, '.') AS l FROM p))),
         e AS (SELECT key, j, CAST('0x' || substr(md5(key || '#' || j), 1, 7) AS BIGINT) AS h FROM (SELECT DISTINCT key FROM k), (SELECT unnest(range(0, 4)) AS j)),
         d AS (SELECT key, DATE '2024-01-01' + CAST(h % 365 AS INTEGER) AS since, min((h // 365) % 3) AS a FROM e GROUP BY 1, 2),
         v AS (SELECT key, since, a, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM d),

@@ -20,26 +20,32 @@ ACTIONS = ("block", "allow", "remove")
 
 
 def host_of(url: Column) -> Column:
-    """Host of a URL in lower case, without user and port; empty if there is none."""
-    return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    """Host of a URL in lower case, without user and port; an IPv6 address keeps its brackets. Empty if there is none."""
+    return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)", 1)
 
 
 def suffixes(host: Column, least_labels: int = 2) -> Column:
-    """The host and its parent domains of at least so many labels, longest first."""
+    """The host and its parent domains of at least so many labels, longest first. An IP address has no parents."""
     labels = F.split(host, r"\.")
     count = F.size(labels) - F.lit(least_labels) + 1
     every = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.when(count >= 1, every).otherwise(F.array().cast("array<string>"))
+    address = host.startswith("[") | host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    return F.when(address, F.array(host)).when(count >= 1, every).otherwise(F.array().cast("array<string>"))
+
+
+def _date(column: str) -> Column:
+    """A date, timestamp or text as date; null of text that is none."""
+    return F.col(f"`{column}`").try_cast("date")
 
 
 def intervals(entries: DataFrame, key_col: str = "key", action_col: str = "action", date_col: str = "since") -> DataFrame:
     """key, action, since, until (null: still valid; exclusive) of block and allow entries.
 
-    Entries without key or date and unknown actions are left out. A key's entries are first reduced
+    Entries without key or date (or with text that is no date) and unknown actions are left out. A key's entries are first reduced
     to one per date, so that its window holds no more rows than there are dates.
     """
     order = F.array_position(F.array(*map(F.lit, ACTIONS)), F.lower(F.col(action_col)))
-    rows = entries.select(F.lower(F.col(key_col)).alias("key"), F.col(date_col).cast("date").alias("since"), order.alias("rank"))
+    rows = entries.select(F.lower(F.col(key_col)).alias("key"), _date(date_col).alias("since"), order.alias("rank"))
     rows = rows.filter("key is not null and since is not null and rank > 0").groupBy("key", "since").agg(F.min("rank").alias("rank"))
     rows = rows.withColumn("until", F.lead("since").over(Window.partitionBy("key").orderBy("since")))
     return rows.filter(F.col("rank") < len(ACTIONS)).select("key", F.element_at(F.array(*map(F.lit, ACTIONS)), F.col("rank").cast("int")).alias("action"), "since", "until")
@@ -48,21 +54,23 @@ def intervals(entries: DataFrame, key_col: str = "key", action_col: str = "actio
 def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetch_date") -> DataFrame:
     """page_id, host, fetch_date, list_key, list_action, listed_since, blocked: one row per row of captures.
 
-    A capture without list key, host or fetch time has null list columns and isn't blocked. Repeated
+    A capture without list key, host or fetch time (text that is no date counts as none) has null list columns and isn't blocked. Repeated
     captures and repeated entries are fine; other columns are not read; empty tables give no rows or
     no blocks.
     """
-    rows = captures.select(F.col(id_col).alias("page_id"), host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), F.col(time_col).cast("date").alias("fetch_date"))
+    rows = captures.select(F.col(id_col).alias("page_id"), host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), _date(time_col).alias("fetch_date"))
     low, high = rows.agg(F.min("fetch_date"), F.max("fetch_date")).first()
     valid = intervals(entries)
     # Only months that captures have: the number of rows of an interval is bounded by the captures' range.
     start = F.greatest(F.col("since"), F.lit(low).cast("date"))
     stop = F.least(F.coalesce(F.date_sub("until", 1), F.lit(high).cast("date")), F.lit(high).cast("date"))
     months = F.sequence(F.trunc(start, "month"), F.trunc(stop, "month"), F.expr("interval 1 month"))
-    valid = valid.filter(start <= stop).select(F.col("key").alias("list_key"), F.col("action").alias("list_action"), F.col("since").alias("listed_since"), "until", F.explode(months).alias("list_month"))
+    named = [F.col("key").alias("list_key"), F.col("action").alias("list_action"), F.col("since").alias("listed_since"), "until"]
+    valid = valid.filter(start <= stop).select(*named, F.explode(months).alias("list_month"))
     asked = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("month", F.trunc("fetch_date", "month"))
     asked = asked.select("row", "page_id", "host", "fetch_date", "month", F.explode_outer(suffixes(F.col("host"))).alias("key"))
-    holds = (F.col("key") == F.col("list_key")) & (F.col("month") == F.col("list_month")) & (F.col("fetch_date") >= F.col("listed_since")) & (F.col("until").isNull() | (F.col("fetch_date") < F.col("until")))
+    in_force = (F.col("fetch_date") >= F.col("listed_since")) & (F.col("until").isNull() | (F.col("fetch_date") < F.col("until")))
+    holds = (F.col("key") == F.col("list_key")) & (F.col("month") == F.col("list_month")) & in_force
     joined = asked.join(valid, holds, "left")
     found = F.max(F.when(F.col("list_key").isNotNull(), F.struct(F.length("list_key").alias("n"), "list_key", "list_action", "listed_since")))
     best = joined.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("fetch_date").alias("fetch_date"), found.alias("found"))
