@@ -7,24 +7,26 @@ the share `threshold` of an item misses fewer than k of its shingles, hence meet
 search loses nothing, however long the document, which a banded MinHash of the document would.
 Candidates are then verified on the shingles themselves.
 
-Items of up to `broadcast_bytes` of text (measured, not assumed) go to every task and documents are
-neither shuffled nor collected. Beyond it sketches and document shingles meet in a join.
+Items go to every task in blocks of a measured size, a scan of the documents for each block; documents
+are neither shuffled nor collected, and no shingle is too frequent for a task.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathkit.llm.shared import ALNUM, Words, binary_list, mix, slices
+from swathkit.llm.shared import ALNUM, Words, binary_list, materialize, mix, slices
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _SLICE = 1 << 18
+BLOCK_BYTES = 16 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 OUT = "doc_id long, item_id long, item_shingles long, shared_shingles long, containment double"
 
@@ -143,13 +145,17 @@ def _drop(find, text_at: int):
     return run
 
 
-def _small(items: DataFrame, broadcast_bytes: int) -> tuple[list, list[bytes]] | None:
-    """Ids and texts of the items, if they are small enough for every task."""
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    if total > broadcast_bytes:
-        return None
-    rows = items.collect()
-    return [r[0] for r in rows], [(r[1] or "").encode() for r in rows]
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of the items (item_id, text), in blocks of about so many bytes (measured first), each small enough for every task."""
+    count, total = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()
+    n = max(1, min(count, -(-total // max(1, block_bytes))))
+    if n > 1:
+        # By text: repeats of an item are together. Written once, as each block reads it.
+        items = materialize(items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n))), "items")
+    for k in range(n):
+        rows = (items.filter(F.col("block") == k) if n > 1 else items).select("item_id", "text").collect()
+        if rows or not k:
+            yield [r[0] for r in rows], [(r[1] or "").encode() for r in rows]
 
 
 def _check(threshold: float) -> None:
@@ -157,7 +163,7 @@ def _check(threshold: float) -> None:
         raise ValueError("threshold must lie in (0, 1]")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = 16 << 20) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, item_shingles, shared_shingles, containment: every pair with containment of at least threshold.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case. Shingles
@@ -168,58 +174,19 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, w
     _check(threshold)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    small = _small(items, broadcast_bytes)
-    if small is not None:
-        return docs.mapInArrow(_scan(_finder(*small, words, threshold)), OUT)
-    return _contained_by_join(docs, items, threshold, words)
+    found = [docs.mapInArrow(_scan(_finder(*block, words, threshold)), OUT) for block in _blocks(items, block_bytes)]
+    return reduce(DataFrame.unionByName, found)
 
 
-def _contained_by_join(docs: DataFrame, items: DataFrame, threshold: float, words: int) -> DataFrame:
-    docs = docs.withColumn("doc_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("of")))
-    items = items.withColumn("item_key", F.struct(F.col("item_id").alias("id"), F.xxhash64("text").alias("of")))
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns, filtered where they are scanned.
 
-    def sketched(batches):
-        for batch in batches:
-            keys = batch.column(0)
-            found = list(_sketches([], binary_list(batch.column(1)), words, threshold))
-            at = np.concatenate([np.full(len(s), i) for i, s in found]) if found else np.zeros(0, np.int64)
-            values = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(values.view(np.int64))], names=["item_key", "hash"])
-
-    def shingled(batches):
-        for batch in batches:
-            keys, bodies = batch.column(0), binary_list(batch.column(1))
-            for low, high in slices(bodies, _SLICE):
-                owner, found = shingle_hashes(bodies[low:high], words)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(low + owner)), pa.array(found.view(np.int64))], names=["doc_key", "hash"])
-
-    def verify(batches):
-        for batch in batches:
-            bodies, texts = binary_list(batch.column(1)), binary_list(batch.column(3))
-            rows: list[tuple] = []
-            for doc, body, item, text in zip(batch.column(0).to_pylist(), bodies, batch.column(2).to_pylist(), texts):
-                rows += _verified(doc, body, [(item, shingles(text, words))], words, threshold)
-            yield _batch(rows)
-
-    left = items.select("item_key", "text").dropDuplicates(["item_key"]).mapInArrow(sketched, "item_key struct<id:long,of:long>, hash long")
-    right = docs.select("doc_key", "text").mapInArrow(shingled, "doc_key struct<id:long,of:long>, hash long")
-    pairs = right.join(left, "hash").select("doc_key", "item_key").distinct()
-    return pairs.join(docs, "doc_key").withColumnRenamed("text", "body").join(items, "item_key").select("doc_id", "body", "item_id", "text").mapInArrow(verify, OUT)
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns. Each row is judged by its own text: ids may be null or repeat.
-
-    Items of up to broadcast_bytes: the rows are filtered where they are scanned. Beyond, rows that hold
-    an item go by a 64-bit hash of id and text; rows of equal hash go together.
+    Each row is judged by its own text: ids may be null or repeat, and equal rows stay or go together.
+    Null and empty texts stay. Of many blocks of items, each filters what the one before has left.
     """
     _check(threshold)
     items = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    small = _small(items, broadcast_bytes)
-    if small is not None:
-        text_at = [c.lower() for c in docs.columns].index(text_col.lower())
-        return docs.mapInArrow(_drop(_finder(*small, words, threshold), text_at), docs.schema)
-    key = F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col))
-    keyed = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
-    found = _contained_by_join(keyed, items, threshold, words).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, key == F.col("__found"), "left_anti")
+    text_at = [c.lower() for c in docs.columns].index(text_col.lower())
+    for k, block in enumerate(_blocks(items, block_bytes)):
+        docs = (materialize(docs, "clean") if k else docs).mapInArrow(_drop(_finder(*block, words, threshold), text_at), docs.schema)
+    return docs
