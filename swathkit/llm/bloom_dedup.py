@@ -1,12 +1,13 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
-Pass one sets, for every row, two slots of a bit array of fixed size and keeps the slots that were
-set by more than one row. Pass two looks every row up: a row whose slots are not both taken twice
-has no equal and passes straight through; the others, possible repeats, are shuffled by their hash.
-A full filter only sends more rows to the shuffle; it never changes the result.
-
-The filter is a table of 64-bit words. It has at most 2**filter_bits / 64 rows of 16 bytes whatever
-the input (16 MB at the default of 26), so it may be broadcast.
+Pass one sets two bits for every row, in one 64-bit word of a filter, and keeps the bits that were
+set by more than one row. What a task has set travels as arrays of 16-bit numbers, one for each block
+of words, not as rows. Pass two looks every row up: a row whose bits are not both taken twice has no
+equal and passes straight through; the others, possible repeats, are shuffled by their hash. A full
+filter only sends more rows to the shuffle; it never changes the result.
+
+The filter has about 16 bits for each row, up to 2**MAX_BITS bits: a table of 2**MAX_BITS / 64 rows of
+16 bytes at most, so it may be broadcast.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathkit.llm.shared import lower_ascii, materialize
+from swathkit.llm.shared import fresh, lower_ascii, materialize, text_keys
 
-FILTER_BITS = 26
+MIN_BITS, MAX_BITS = 16, 26
+#: Rows of two longs and an id that may be broadcast: some 50 MB.
+SMALL = 1_000_000
 
 
 def text_digest(text: Column) -> Column:
@@ -24,33 +27,54 @@ def text_digest(text: Column) -> Column:
     return F.sha2(lower_ascii(F.coalesce(text, F.lit(""))).cast("binary"), 256)
 
 
-def _slots(digest: Column, filter_bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(1 << filter_bits)) for k in (1, 2)]
+def _place(keys: list[Column], bits: int) -> tuple[Column, list[Column]]:
+    """The word of a key, and two bits of it."""
+    word = F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(1 << (bits - 6)))
+    other = F.xxhash64(F.lit(2), *keys)
+    return word, [F.pmod(other, F.lit(64)).cast("int"), F.pmod(F.shiftright(other, 8), F.lit(64)).cast("int")]
+
+
+def filter_words(df: DataFrame, keys: list[Column], bits: int, times: int) -> DataFrame:
+    """word, bits: the words of a filter of the keys of df, with the bits that at least `times` (1 or 2) rows set."""
+    word, spots = _place(keys, bits)
+    low = (F.pmod(word, F.lit(1024)) * 64).cast("int")
+    slots = df.select(F.shiftright(word, 10).alias("block"), F.explode(F.array_distinct(F.array(*[low + s for s in spots]))).alias("slot"))
+    # One row for each task and block, however many rows of df there are.
+    blocks = slots.groupBy("block").agg(F.sort_array(F.collect_list((F.col("slot") - 32768).cast("short"))).alias("slots"))
+    again = F.filter("slots", lambda s, i: (i > 0) & (s == F.get("slots", F.greatest(i - 1, F.lit(0))))) if times == 2 else F.col("slots")
+    marked = blocks.select("block", F.explode(F.array_distinct(again)).alias("slot")).withColumn("slot", F.col("slot").cast("int") + 32768)
+    marked = marked.select((F.col("block") * 1024 + F.shiftright("slot", 6)).alias("word"), F.expr("shiftleft(1L, slot & 63)").alias("bit"))
+    return marked.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def split_by(df: DataFrame, keys: list[Column], words: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is not in the filter for certain, rows whose key may be), both with df's columns."""
+    word, held, at = fresh(df, "word", "held", "at")
+    place, spots = _place(keys, bits)
+    looked = df.withColumns({at: place}).join(F.broadcast(words.select(F.col("word").alias(word), F.col("bits").alias(held))), F.col(at) == F.col(word), "left")
+    both = [F.coalesce(F.getbit(F.col(held), s), F.lit(0)) == 1 for s in spots]
+    taken = both[0] & both[1]
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return looked.filter(~taken).select(*names), looked.filter(taken).select(*names)
+
 
+def filter_bits(rows: int, bits: int | None = None) -> int:
+    """Bits of a filter for so many rows, or those given."""
+    bits = bits or min(MAX_BITS, max(MIN_BITS, (16 * max(rows, 1) - 1).bit_length()))
+    if not MIN_BITS <= bits <= 28:
+        raise ValueError(f"the filter's bits must lie in {MIN_BITS} to 28: it is broadcast")
+    return bits
 
-def split_repeats(df: DataFrame, digest: str, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """(rows whose digest occurs once for certain, rows whose digest may repeat), both with df's columns.
 
-    df is read twice, so a costly digest is best materialised before. The digest isn't null.
+def split_repeats(df: DataFrame, keys: list[Column], bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key occurs once for certain, rows whose key may repeat), both with df's columns.
+
+    df is read three times, so a costly key is best materialised before. Keys aren't null.
     """
-    if not 10 <= filter_bits <= 28:
-        raise ValueError("filter_bits must lie in 10 to 28: the filter is broadcast")
-    slots = df.select(F.explode(F.array_distinct(F.array(*_slots(F.col(digest), filter_bits)))).alias("slot"))
-    words = slots.groupBy("slot").count().filter("count > 1").groupBy(F.shiftright("slot", 6).alias("word"))
-    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    looked = df
-    taken = F.lit(True)
-    for k, slot in enumerate(_slots(F.col(digest), filter_bits)):
-        word, bits = f"__word{k}", f"__bits{k}"
-        side = F.broadcast(words.select(F.col("word").alias(word), F.col("bits").alias(bits)))
-        looked = looked.withColumn(f"__slot{k}", slot)
-        looked = looked.join(side, F.shiftright(f"__slot{k}", 6) == F.col(word), "left")
-        taken = taken & (F.coalesce(F.expr(f"getbit({bits}, cast(__slot{k} & 63 as int))"), F.lit(0)) == 1)
-    names = [F.col(f"`{c}`") for c in df.columns]
-    return looked.filter(~taken).select(*names), looked.filter(taken).select(*names)
+    return split_by(df, keys, materialize(filter_words(df, keys, bits, 2), "filter"), bits)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS, hot_groups: int = 1000) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, hot_groups: int = 1000) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs.
 
     Texts are equal if identical after lower-casing A-Z. Of equal texts the row with the largest id
@@ -60,23 +84,54 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, of which there are fewer than hot_groups, are broadcast, so their rows are never in one task.
     """
     digests = materialize(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256")), "digests")
-    once, maybe = split_repeats(digests, "text_sha256", filter_bits)
+    count = digests.count()
+    once, maybe = split_repeats(digests, [F.col("text_sha256")], filter_bits(count, bits))
     groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = materialize(groups, "groups")
-    is_hot = F.col("group_size") * hot_groups > digests.count()
+    is_hot = F.col("group_size") * hot_groups > count
     hot = F.broadcast(groups.filter(is_hot))
     cold = maybe.join(hot, "text_sha256", "left_anti").join(groups.filter(~is_hot), "text_sha256")
     many = maybe.join(hot, "text_sha256").unionByName(cold).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return once.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256").unionByName(many)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, small: int = SMALL) -> DataFrame:
     """The rows of docs that stay, with all their columns. Of rows that repeat id and text one stays.
 
-    Only possible repeats are shuffled. Of one id with equal texts but other columns that differ, any one row stays.
+    Texts are compared by two 64-bit hashes, which are written once; texts themselves are shuffled
+    only where they repeat beyond `small` groups or repeat with their id. Null and empty texts, ties
+    and empty tables are as in exact_groups. Of one id with equal texts but other columns that differ,
+    any one row stays.
     """
-    hashed = docs.withColumn("__digest", text_digest(F.col(text_col)))
-    once, maybe = split_repeats(hashed, "__digest", filter_bits)
-    best = maybe.groupBy("__digest").agg(F.max(id_col).alias("__keep"))
-    winners = maybe.join(best, (maybe["__digest"] == best["__digest"]) & F.col(id_col).eqNullSafe(F.col("__keep"))).drop(best["__digest"], "__keep")
-    return once.unionByName(winners.dropDuplicates(["__digest"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = text_keys(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))))
+    hashes = materialize(docs.select(F.col(id_col).alias("id"), *[k.alias(f"key{i}") for i, k in enumerate(keys)]), "hashes")
+    own = [F.col("key0"), F.col("key1")]
+    width = filter_bits(hashes.count(), bits)
+    _, maybe = split_repeats(hashes, own, width)
+    of_id = maybe.groupBy("key0", "key1", "id").agg(F.count("*").alias("same"))
+    # A null id is the least.
+    best = of_id.groupBy("key0", "key1").agg(F.max(F.struct("id", "same")).alias("top"), F.sum("same").alias("n"))
+    best = best.filter("n > 1").select("key0", "key1", F.col("top.id").alias("keep"), (F.col("top.same") > 1).alias("twice"))
+    best = materialize(best, "repeats")
+    names = fresh(docs, "key0", "key1", "keep", "twice", "a", "b")
+    key0, key1, keep, twice, a, b = names
+    groups = best.toDF(key0, key1, keep, twice)
+    # Each hash once per row, in columns of their own.
+    rows = docs.withColumns({a: keys[0], b: keys[1]})
+    equal = (F.col(a) == F.col(key0)) & (F.col(b) == F.col(key1))
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    few = best.count() <= small
+    if few:
+        looked = rows.join(F.broadcast(groups), equal, "left")
+    else:
+        words = materialize(filter_words(best, own, MAX_BITS, 1), "filter")
+        alone, some = split_by(rows, [F.col(a), F.col(b)], words, MAX_BITS)
+        looked = some.join(groups, equal, "left")
+    unique = F.col(key0).isNull()
+    wins = F.col(f"`{id_col}`").eqNullSafe(F.col(keep))
+    stay = looked.filter(unique | (wins & ~F.col(twice))).select(*out)
+    if not few:
+        stay = alone.select(*out).unionByName(stay)
+    if best.filter("twice").isEmpty():
+        return stay
+    return stay.unionByName(looked.filter(wins & F.col(twice)).dropDuplicates([a, b]).select(*out))
