@@ -26,8 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swathkit.llm.bloom_dedup import MAX_BITS, SMALL, filter_words, split_by
 from swathkit.llm.components import components
-from swathkit.llm.shared import binary_list, materialize, text_keys
+from swathkit.llm.shared import binary_list, fresh, materialize, text_keys
 
 _CHUNK = 1 << 22
 
@@ -104,13 +105,25 @@ def links(fps: DataFrame, bucket_limit: int = 64) -> DataFrame:
     return pairs.unionByName(stars)
 
 
+#: A fingerprint of more than this share of all rows is hot; there are fewer than its inverse.
+_HOT = 1000
+
+
 def _least(rows: DataFrame, value: Column, bucket_limit: int) -> DataFrame:
-    """fp, least: the least value of the rows of each fingerprint's component."""
-    heads = materialize(rows.groupBy("fp").agg(F.min(value).alias("head")), "heads")
+    """fp, least, hot: the least value of the rows of each fingerprint's component, and whether very many rows have this fingerprint."""
+    heads = materialize(rows.groupBy("fp").agg(F.min(value).alias("head"), F.count("*").alias("n")), "heads")
+    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     linked = components(links(heads.select("fp"), bucket_limit))
     label = heads.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = label.groupBy("component").agg(F.min("head").alias("least"))
-    return label.join(least, "component").select("fp", "least")
+    return materialize(label.join(least, "component").select("fp", "least", (F.col("n") * _HOT > total).alias("hot")), "labels")
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with least by their fp. The few hot fingerprints are broadcast: their rows stay where they are."""
+    hot = F.broadcast(label.filter("hot").drop("hot"))
+    rest = rows.join(hot.select("fp"), "fp", "left_anti").join(label.filter("not hot").drop("hot"), "fp")
+    return rows.join(hot, "fp").unionByName(rest)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bucket_limit: int = 64) -> DataFrame:
@@ -121,30 +134,42 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are not read; an empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
-    label = _least(rows, F.col("doc_id"), bucket_limit).withColumnRenamed("least", "component_id")
+    label = _least(rows, F.col("doc_id"), bucket_limit)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(label, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return _labelled(rows, label).select("doc_id", hexed.alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bucket_limit: int = 64) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, bucket_limit: int = 64, small: int = SMALL) -> DataFrame:
     """One row of docs for each group, with all its columns: that of the smallest id, a null id after all others.
 
     Ids may be null or repeat: rows are told apart by id and two hashes of the text, and by those the
-    first of an id is chosen. Of rows that repeat id and text, one stays at most.
+    first of an id is chosen. Of rows that repeat id and text, one stays at most. Null and empty texts
+    are one group; an empty table gives no rows.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words_per_shingle, keyed=True), "fingerprints")
     key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key0", "key1")
     label = _least(rows, key, bucket_limit)
     # Without nulls at the top, structs compare field by field, null equal to null.
-    counted = rows.join(label, "fp").groupBy("doc_id", "key0", "key1", (key == F.col("least")).alias("__first")).agg(F.count("*").alias("n"))
-    marked = materialize(counted.filter("not __first or n > 1").select(F.col("doc_id").alias("__id"), "__first", F.col("key0").alias("__key0"), F.col("key1").alias("__key1")), "marked")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    for i, k in enumerate(text_keys(F.col(text_col))):
-        same = same & (k == F.col(f"__key{i}"))
-    kept = docs.join(marked, same, "left_anti")
-    again = marked.filter("__first")
-    if again.isEmpty():
+    counted = _labelled(rows, label).groupBy("doc_id", "key0", "key1", (key == F.col("least")).alias("first")).agg(F.count("*").alias("n"))
+    names = fresh(docs, "id", "first", "key0", "key1", "a", "b", "row")
+    other, first, key0, key1, a, b, row = names
+    marked = materialize(counted.filter("not first or n > 1").select("key0", "key1", F.col("doc_id").alias("other"), "first"), "marked")
+    texts = text_keys(F.col(text_col))
+    keyed = docs.withColumns({a: texts[0], b: texts[1], row: F.col(f"`{id_col}`").cast("long")})
+    same = F.col(row).eqNullSafe(F.col(other)) & (F.col(a) == F.col(key0)) & (F.col(b) == F.col(key1))
+    out = [F.col(f"`{c}`") for c in docs.columns]
+    gone = marked.select(F.col("key0").alias(key0), F.col("key1").alias(key1), F.col("other").alias(other), F.col("first").alias(first))
+    # Texts are shuffled only beyond `small` marked rows, and then those that may be marked only.
+    if marked.count() <= small:
+        kept, gone = keyed.join(F.broadcast(gone), same, "left_anti").select(*out), F.broadcast(gone)
+        maybe = keyed
+    else:
+        own = [F.col("key0"), F.col("key1")]
+        words = materialize(filter_words(marked, own, MAX_BITS, 1), "filter")
+        rest, maybe = split_by(keyed, [F.col(a), F.col(b)], words, MAX_BITS)
+        kept = rest.select(*out).unionByName(maybe.join(gone, same, "left_anti").select(*out))
+    if marked.filter("first").isEmpty():
         return kept
     # One of each of the first rows that repeat id and text.
-    some = docs.join(again, same, "inner").dropDuplicates(["__id", "__key0", "__key1"]).drop("__id", "__first", "__key0", "__key1")
-    return kept.unionByName(some)
+    again = maybe.join(gone.filter(F.col(first)), same, "inner").dropDuplicates([other, key0, key1]).select(*out)
+    return kept.unionByName(again)
