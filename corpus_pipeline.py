@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from swathkit.llm import bloom_dedup, byte_bpe, decontaminate, queries, simhash_dedup, toxicity
 from swathkit.llm.shared import materialize
+from swathkit.sources.scratch import recorded, remove
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Of the scratch tables, those of a stage go once its result is written, and results once the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    before: list[str] = []
+    for name, stage in STAGES:
+        with recorded() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        remove(spark, [*before, *made[:-1]])
+        before = made[-1:]
+    return docs
