@@ -27,7 +27,7 @@ _PAD = 0xFFFF
 _NONE = np.int64(1 << 40)
 _LONG = 2048
 _BLOCK = 1 << 20
-_CACHED = 600_000
+_CACHED = 250_000
 #: The split pattern of the 50k rank files (fixed value), and the same for texts of white space, printable ASCII and U+00A1 to U+00FF.
 _USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r "
