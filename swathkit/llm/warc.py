@@ -14,6 +14,7 @@ at the same place.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathkit.llm.bloom_dedup import split_repeats
+from swathkit.llm.bloom_dedup import filter_bits, split_repeats
 from swathkit.llm.shared import materialize, scratch_path
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -40,12 +41,23 @@ class Record:
     headers: dict[str, str] = field(default_factory=dict)
     block: bytes = b""
     reason: str = ""  # of a gap
+    verified: bool = False  # by its block digest
 
     def payload(self) -> bytes:
         """The block, without the HTTP header of a response."""
         return self.block.partition(_END)[2] if self.headers.get("content-type", "").startswith("application/http") else self.block
 
 
+def _agrees(block: bytes, digest: str) -> bool | None:
+    """Whether a block has the digest of its header, in hexadecimal or base32; None without a digest or of an unknown kind."""
+    kind, _, value = digest.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    raw = hashlib.new(kind, block).digest()
+    return value.strip().lower() == raw.hex() or value.strip().upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
 def parse_record(data: bytes, at: int) -> Record | str:
     """The record that begins at a place, or what is wrong with it."""
     version = _VERSION.match(data, at)
@@ -71,10 +83,10 @@ def parse_record(data: bytes, at: int) -> Record | str:
     if data[high : high + len(_END)] != _END:
         return "length does not meet the record's end"
     block = data[low:high]
-    kind, _, digest = headers.get("warc-block-digest", "").partition(":")
-    if kind == "sha256" and hashlib.sha256(block).hexdigest() != digest:
+    checked = _agrees(block, headers.get("warc-block-digest", ""))
+    if checked is False:
         return "block digest differs"
-    return Record(at, high + len(_END), headers, block)
+    return Record(at, high + len(_END), headers, block, verified=bool(checked))
 
 
 def _plain(data: bytes) -> Iterator[Record]:
@@ -141,7 +153,7 @@ def _gzipped(data: bytes) -> Iterator[Record]:
                 end = nxt
             nxt += 1
         for record in inner:
-            yield Record(at, end, record.headers, record.block, record.reason)
+            yield Record(at, end, record.headers, record.block, record.reason, record.verified)
         at = end
         here = later if later is not None and nxt - 1 == at else look(at) if at < len(data) else None
 
@@ -151,11 +163,13 @@ def salvage(data: bytes) -> Iterator[Record]:
     return _gzipped(data) if data.startswith(_MEMBER) or (not data.startswith(b"WARC/") and _MEMBER in data and not _VERSION.search(data)) else _plain(data)
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 100, date: str = "2024-01-01T00:00:00Z", torn: Column | None = None) -> None:
     """Write one record per row of pages to a folder of plain WARC files of about 16 MB.
 
     A null payload is empty. Rows that repeat id and payload are each stored. A null id never is what
-    others refer to. Line ends in URLs are left out; a null URL has no target header.
+    others refer to. Line ends in URLs are left out; a null URL has no target header. Before the rows
+    for which torn (a condition on the id) holds, the first half of their record is left as well, as by
+    a writer that broke off there and began anew: what a reader must skip.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(url_col), r"[\r\n]", "").alias("url"), payload.alias("payload"))
@@ -165,7 +179,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     # By id and digest, not by digest alone: a payload with very many copies is spread evenly.
     revisits = digests.join(groups, "digest").filter("id > refers_to").select(F.col("id").alias("other"), F.col("digest").alias("same"), "refers_to").distinct()
     # Only payloads that may repeat are shuffled; the others pass straight to the writer.
-    once, maybe = split_repeats(rows, "digest")
+    once, maybe = split_repeats(rows, [F.col("digest")], filter_bits(digests.count()))
     maybe = maybe.join(revisits, (F.col("id") == F.col("other")) & (F.col("digest") == F.col("same")), "left").drop("other", "same")
     rows = once.withColumn("refers_to", F.lit(None).cast("long")).unionByName(maybe)
     revisit = F.col("refers_to").isNotNull()
@@ -191,6 +205,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     )
     count, size = digests.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     per_file = max(1, int(FILE_BYTES * count / max(1, size + 600 * count)))
+    if torn is not None:
+        rows = rows.withColumn("record", record)
+        half = F.substring(F.col("record"), F.lit(1), (F.length("record") / 2).cast("int"))
+        record = F.when(F.coalesce(torn, F.lit(False)), F.concat(half, F.col("record"))).otherwise(F.col("record"))
     rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -199,11 +217,11 @@ def _id_of(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-_READ = "file string, start long, end long, reason string, record_type string, record_id long, refers_to long, target_uri string, payload_bytes long, payload_digest string, payload binary"
+_READ = "file string, start long, end long, reason string, record_type string, record_id long, refers_to long, target_uri string, payload_bytes long, payload_digest string, verified boolean, payload binary"
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True, files: str = "*") -> DataFrame:
-    """Records and gaps of all archives below a path whose file names match `files`: file, start, end, reason (null for records), record_type, record_id, refers_to, target_uri, payload_bytes, payload_digest, payload.
+    """Records and gaps of all archives below a path whose file names match `files`: file, start, end, reason (null for records), record_type, record_id, refers_to, target_uri, payload_bytes, payload_digest, verified (by a block digest of a known kind), payload.
 
     Names that begin with a dot or underscore are left out by Spark. Places are bytes of the file, of a
     record's member if it is compressed. The digest of a stored
@@ -217,13 +235,13 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True, files:
                 rows: list[tuple] = []
                 for r in salvage(data.as_py() or b""):
                     if r.reason:
-                        rows.append((name, r.start, r.end, r.reason, *[None] * 7))
+                        rows.append((name, r.start, r.end, r.reason, *[None] * 8))
                     else:
                         h, body = r.headers, r.payload()
                         revisit = h.get("warc-type") == "revisit"
                         size = int(h["x-payload-length"]) if revisit and h.get("x-payload-length", "").isdecimal() else len(body)
                         digest = h.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(body).hexdigest()
-                        rows.append((name, r.start, r.end, None, h.get("warc-type"), _id_of(h.get("warc-record-id")), _id_of(h.get("warc-refers-to")), h.get("warc-target-uri"), size, digest, body if with_payload else None))
+                        rows.append((name, r.start, r.end, None, h.get("warc-type"), _id_of(h.get("warc-record-id")), _id_of(h.get("warc-refers-to")), h.get("warc-target-uri"), size, digest, r.verified, body if with_payload else None))
                     if len(rows) >= 500:
                         yield _rows(rows)
                         rows = []
@@ -234,15 +252,20 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True, files:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary())
     columns = list(zip(*rows)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in _READ.split(", ")])
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from archives written to the shared folder. A gap is an error there."""
+def round_trip(pages: DataFrame, torn_every: int = 97) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from archives written to the shared folder.
+
+    The archives are damaged: before each page whose id is divisible by torn_every there is a torn copy
+    of its record. So the reader has to salvage what follows; every record comes back once, or the
+    reader has failed, which is an error where it shows (an unverified record).
+    """
     path = scratch_path(pages.sparkSession, "warc")
-    write_warc(pages, path)
-    found = read_warc(pages.sparkSession, path, with_payload=False)
-    checked = F.when(F.col("reason").isNull(), F.col("record_id")).otherwise(F.raise_error(F.concat(F.lit("damaged archive: "), F.col("reason"))).cast("long"))
+    write_warc(pages, path, torn=F.pmod(F.col("id"), F.lit(torn_every)) == 0)
+    found = read_warc(pages.sparkSession, path, with_payload=False).filter("reason is null")
+    checked = F.when(F.col("verified"), F.col("record_id")).otherwise(F.raise_error(F.lit("a record without digest")).cast("long"))
     return found.select(checked.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
