@@ -9,9 +9,10 @@ P = pytest.importorskip("public_tokenizers")
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 _ALL = ["None", "None", "1", "1", "1", "2", "3", "4", "5", "-6"]
 #: The ids that stay. Among near copies that depends on the fingerprints, tested elsewhere.
-KEPT = {"toxicity": _ALL, "exact": ["None", "1", "1", "2", "3", "4", "5", "-6"], "benchmark": [i for i in _ALL if i != "4"]}
+_DISTINCT = ["None", "1", "1", "2", "3", "4", "5", "-6"]
+KEPT = {"toxicity": _ALL, "exact": _DISTINCT, "exact by shuffle": _DISTINCT, "benchmark": [i for i in _ALL if i != "4"]}
 #: Beside the columns of documents, names that operators use inside.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, component long, node long, part int, value long, score double, digest string, word string, tf long, row long, __digest string, place long, gram long, n long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, component long, node long, part int, value long, score double, digest string, word string, tf long, row long, __digest string, place long, gram long, n long, __key0 string, __keep string, __gone string, __found string, __word string, __at long, __a string, __first string, __row string"
 _MODEL = lambda spark, docs: toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (4, 7)], "doc_id long, toxic int"))
 _ITEMS = lambda spark: spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (2, None), (3, "")], "item_id long, text string")
 TABLES = {
@@ -26,14 +27,18 @@ TABLES = {
 STAGES = {
     "toxicity": lambda spark, docs: toxicity.keep_clean(docs, _MODEL(spark, docs)),
     "exact": lambda spark, docs: bloom_dedup.exact_dedup(docs),
+    "exact by shuffle": lambda spark, docs: bloom_dedup.exact_dedup(docs, small=0),
     "near": lambda spark, docs: simhash_dedup.keep_first(docs),
+    "near by shuffle": lambda spark, docs: simhash_dedup.keep_first(docs, small=0),
     "benchmark": lambda spark, docs: decontaminate.drop_contaminated(docs, _ITEMS(spark)),
 }
 
 
 def _table(spark, rows):
     rest = len(SCHEMA.split(", ")) - 2
-    return spark.createDataFrame([(i, t, *[None] * rest) for i, t in rows], SCHEMA)
+    made = spark.createDataFrame([(i, t, *[None] * rest) for i, t in rows], SCHEMA)
+    # Values of their own, by which a column that is overwritten on the way shows.
+    return made.withColumns({c: F.concat(F.lit(f"{c} of "), F.coalesce("text", F.lit("?"))) for c, kind in made.dtypes if kind == "string" and c != "text"})
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +61,9 @@ def test_one_row_per_row(spark, odd, name):
 def test_stages_keep_columns(spark, odd, name):
     got = STAGES[name](spark, odd)
     assert got.columns == odd.columns
-    kept = sorted(str(r.doc_id) for r in got.collect())
+    rows = got.collect()
+    assert all(r[c] == f"{c} of {'?' if r.text is None else r.text}" for r in rows for c, kind in odd.dtypes if kind == "string" and c != "text")
+    kept = sorted(str(r.doc_id) for r in rows)
     assert set(kept) <= {str(r.doc_id) for r in odd.collect()}
     assert kept == sorted(KEPT.get(name, kept))
     assert STAGES[name](spark, odd.limit(0)).count() == 0
@@ -67,26 +74,27 @@ def test_near_copies_of_the_long_text_go(spark, odd):
     assert -6 in kept and 5 not in kept
 
 
-def test_near_copies_are_told_apart_by_row(spark):
+@pytest.mark.parametrize("small", [1000, 0])
+def test_near_copies_are_told_apart_by_row(spark, small):
     """Null and repeated ids: only the copies go, one row of each group stays, its other columns with it."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
     rows = [(None, None), (2, ""), (None, a), (None, b), (None, b), (7, c), (7, d), (3, d), (7, c), (None, c)]
-    kept = simhash_dedup.keep_first(_table(spark, rows).withColumn("lang", F.substring("text", 1, 1)))
+    kept = simhash_dedup.keep_first(_table(spark, rows).withColumn("lang", F.substring("text", 1, 1)), small=small)
     assert sorted((str(r.doc_id), r.text, r.lang) for r in kept.collect()) == sorted([("2", "", ""), ("None", a, "a"), ("None", b, "b"), ("7", c, "c"), ("3", d, "d")])
-    assert kept.columns == SCHEMA.replace(" string", "").replace(" long", "").replace(" int", "").replace(" double", "").split(", ")
+    assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 @pytest.mark.parametrize("limit", [1 << 24, 0])
 def test_contaminated_rows_are_told_apart_by_row(spark, limit):
     item = "one two three four five six"
     rows = [(None, item), (None, "clean"), (4, item), (4, "clean as well"), (5, None), (5, "so " + item), (None, None)]
-    kept = decontaminate.drop_contaminated(_table(spark, rows), _ITEMS(spark), broadcast_bytes=limit)
+    kept = decontaminate.drop_contaminated(_table(spark, rows), _ITEMS(spark), block_bytes=limit)
     assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("4", "clean as well"), ("5", "None"), ("None", "None"), ("None", "clean")]
 
 
 def test_items_with_nulls_and_repeats(spark, odd):
     for limit in (1 << 24, 0):
-        got = sorted((r.doc_id, str(r.item_id)) for r in decontaminate.contained_items(odd, _ITEMS(spark), broadcast_bytes=limit).collect())
+        got = sorted((r.doc_id, str(r.item_id)) for r in decontaminate.contained_items(odd, _ITEMS(spark), block_bytes=limit).collect())
         assert got == [(4, "1"), (4, "1"), (4, "None")]
 
 
