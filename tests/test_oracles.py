@@ -39,7 +39,7 @@ def test_every_query_has_sql():
     assert set(colocation.QUERIES) == set(colocation.ORACLES)
 
 
-@pytest.mark.parametrize("name", ["colocate_month", "colocate_from_files", "footprint_midpoint_centre", "points_from_xml", "filename_time", "granule_files", "manifest_tree", "month_keys", "date_chunks"])
+@pytest.mark.parametrize("name", ["colocate_month", "footprint_midpoint_centre", "points_from_xml", "filename_time", "granule_files", "manifest_tree"])
 def test_times_are_utc_in_any_session(spark, duck, name):
     """A zone whose days begin hours later, with a gap in spring."""
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
