@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathkit.llm import bloom_dedup, byte_bpe, context_mixing, decontaminate, hilbert_shards, simhash_dedup, suffix_dedup, toxicity, url_filter, warc
+from swathkit.llm import bloom_dedup, byte_bpe, context_mixing, decontaminate, hilbert_shards, importance, secret_scan, simhash_dedup, spelling_variants, suffix_dedup, toxicity, url_filter, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_RANKS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +81,19 @@ def op10_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_byte_bpe, op3_toxicity, op4_url_filter, op5_suffix_dedup, op6_decontaminate, op7_simhash_dedup, op8_warc, op9_context_mixing, op10_bloom_dedup)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(_table(spark, sf_dir, "documents"), WORD_RANKS)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_byte_bpe, op3_toxicity, op4_url_filter, op5_suffix_dedup, op6_decontaminate, op7_simhash_dedup, op8_warc, op9_context_mixing, op10_bloom_dedup, op11_secret_scan, op12_spelling_variants, op13_importance_resampling)}
 
 ORACLES = {
     "op4_url_filter": """
