@@ -95,6 +95,17 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_byte_bpe, op3_toxicity, op4_url_filter, op5_suffix_dedup, op6_decontaminate, op7_simhash_dedup, op8_warc, op9_context_mixing, op10_bloom_dedup, op11_secret_scan, op12_spelling_variants, op13_importance_resampling)}
 
+#: CRC-32 in SQL: a table of 256 steps (t.tbl), and the fold over the bytes of a text.
+_CRC_TABLE = """
+        t AS (SELECT list(v ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i)))"""
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _crc(text: str) -> str:
+    each = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {each}), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])))"
+
+
 ORACLES = {
     "op4_url_filter": """
         WITH p AS (SELECT page_id, regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:\\[]+)', 1) AS host,
@@ -129,4 +140,34 @@ ORACLES = {
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""",
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        o AS (SELECT id, run, count(*) AS c FROM (SELECT doc_id AS id, unnest(regexp_extract_all({_LOWERED}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+        h AS (SELECT run, c, {_crc("(id || ':' || run)")} AS h FROM o, t),
+        w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h)
+              WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+        v AS (SELECT word, n, unnest(list_distinct(list_transform(range(0, length(word) + 1), lambda i: CASE WHEN i = 0 THEN word ELSE word[:i - 1] || word[i + 1:] END))) AS part FROM w),
+        p AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS m FROM v a JOIN v b ON a.part = b.part AND a.word <> b.word),
+        q AS (SELECT * FROM p WHERE abs(length(word) - length(near)) = 1
+              OR (length(word) = length(near) AND len(list_filter(range(1, length(word) + 1), lambda i: word[i] <> near[i])) = 1)),
+        g AS (SELECT word, count(*) AS n_near, max(m) AS top FROM q GROUP BY word),
+        b AS (SELECT q.word, g.n_near, min(near) FILTER (WHERE m = top) AS best, any_value(top) AS top FROM q JOIN g USING (word) GROUP BY q.word, g.n_near),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n THEN best END AS form, CASE WHEN top >= 5 * n THEN top END AS form_n FROM w LEFT JOIN b USING (word)),
+        z AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT z.word, f.word, f.form FROM z JOIN f ON f.word = z.next)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z USING (word) WHERE z.next IS NULL""",
+    "op13_importance_resampling": f"""
+        WITH {_CRC_TABLE},
+        w AS (SELECT 0 AS kind, doc_id AS id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+              UNION ALL SELECT 1, NULL, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+        f AS (SELECT kind, id, feature, count(*) AS c FROM (SELECT kind, id, unnest(w) AS feature FROM w
+              UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w) GROUP BY ALL),
+        b AS MATERIALIZED (SELECT feature, {_crc("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM f), t),
+        n AS (SELECT kind, id, bucket, sum(c) AS c FROM f JOIN b USING (feature) GROUP BY ALL),
+        k AS (SELECT bucket, coalesce(sum(c) FILTER (WHERE kind = 0), 0)::DOUBLE AS s, coalesce(sum(c) FILTER (WHERE kind = 1), 0)::DOUBLE AS t FROM n GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM k) + 10000) / ((s + 1) * ((SELECT sum(t) FROM k) + 10000)))) AS gain FROM k),
+        d AS (SELECT id, sum(c * gain) AS total FROM n JOIN g USING (bucket) WHERE kind = 0 GROUP BY id),
+        x AS (SELECT id AS doc_id, coalesce(len(w), 0) AS words, greatest(2 * words - 1, 0) AS n_features, coalesce(floor(total / n_features), 0)::BIGINT AS weight,
+              weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN d USING (id) WHERE kind = 0),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)""",
 }
