@@ -60,8 +60,11 @@ def close_ring(ring: Column) -> Column:
 
 def edges(ring: Column) -> Column:
     """array<struct<x1,y1,x2,y2>> of a ring, the closing edge included; empty below three vertices."""
-    core = open_ring(ring)
-    made = F.transform(core, lambda v, i: F.struct(v["lon"].alias("x1"), v["lat"].alias("y1"), F.get(core, (i + 1) % F.size(core))["lon"].alias("x2"), F.get(core, (i + 1) % F.size(core))["lat"].alias("y2")))
+
+    def edge(v: Column, w: Column) -> Column:
+        return F.struct(v["lon"].alias("x1"), v["lat"].alias("y1"), w["lon"].alias("x2"), w["lat"].alias("y2"))
+
+    made = let(open_ring(ring), lambda core: F.transform(core, lambda v, i: edge(v, F.get(core, (i + 1) % F.size(core)))))
     return F.when(F.size(ring) >= 3, made).otherwise(F.slice(made, 1, 0))
 
 
@@ -83,9 +86,55 @@ def in_ring(lon: Column, lat: Column, ring_edges: Column) -> Column:
     return F.exists(ring_edges, touches) | odd
 
 
+#: Edges that a band of latitude holds about, and how often an edge may stand in bands on the average.
+_PER_BAND, _COPIES = 8, 3
+#: Far above rounding, and above EPSILON: what may touch a band stands in it.
+_MARGIN = 1e-8
+_NAN = float("nan")
+
+
+def banded(ring_edges: Column) -> Column:
+    """struct<low, step, starts, edges>: the edges in bands of latitude, for edges_at.
+
+    An edge stands in each band that it reaches. The bands are as many as the edges fill without being
+    copied more than a few times. Every band begins with an edge of NaN, which nothing touches or
+    crosses, so `starts` has a place for each.
+    """
+    low_of, high_of = (lambda e: F.least(e["y1"], e["y2"])), (lambda e: F.greatest(e["y1"], e["y2"]))
+    none = F.lit(_NAN)
+
+    def entries(r: Column) -> Column:
+        band = lambda y: F.greatest(F.least(F.floor((y - r["low"]) / r["step"]), r["n"] - 1), F.lit(0)).cast("int")
+        entry = lambda b, x1, y1, x2, y2: F.struct(b.alias("b"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+        reached = lambda e: F.transform(F.sequence(band(low_of(e) - _MARGIN), band(high_of(e) + _MARGIN)), lambda b: entry(b, e["x1"], e["y1"], e["x2"], e["y2"]))
+        blank = F.transform(F.sequence(F.lit(0), r["n"].cast("int") - 1), lambda b: entry(b, none, none, none, none))
+        return F.array_sort(F.concat(blank, F.flatten(F.transform(ring_edges, reached))))
+
+    def indexed(r: Column, sorted_: Column) -> Column:
+        opens = lambda x, i: F.when((i == 0) | (F.get(sorted_, F.greatest(i - 1, F.lit(0)))["b"] != x["b"]), i)
+        starts = F.filter(F.transform(sorted_, opens), lambda i: i.isNotNull())
+        return F.struct(r["low"].alias("low"), r["step"].alias("step"), starts.alias("starts"), sorted_.alias("edges"))
+
+    low, high = F.array_min(F.transform(ring_edges, low_of)), F.array_max(F.transform(ring_edges, high_of))
+    size, span = F.size(ring_edges), high - low
+    n = F.floor(F.least(size / _PER_BAND, _COPIES * size * span / F.greatest(_sum(ring_edges, lambda e: high_of(e) - low_of(e)), F.lit(_MARGIN))))
+    n = F.when(span > 1e-3, F.greatest(n, F.lit(1))).otherwise(F.lit(1)).cast("long")
+    head = let(n, lambda k: F.struct(low.alias("low"), (F.greatest(span, F.lit(1e-3)) / k).alias("step"), k.alias("n")))
+    return F.when(size > 0, let(head, lambda r: let(entries(r), lambda e: indexed(r, e))))
+
+
+def edges_at(lat: Column, bands: Column) -> Column:
+    """The edges of a banded ring that a point of this latitude can touch or cross."""
+    starts, n = bands["starts"], F.size(bands["starts"])
+    band = F.greatest(F.least(F.floor((lat - bands["low"]) / bands["step"]), n - 1), F.lit(0)).cast("int")
+    found = let(band, lambda b: F.slice(bands["edges"], F.get(starts, b) + 1, F.coalesce(F.get(starts, b + 1), F.size(bands["edges"])) - F.get(starts, b)))
+    return F.when(n > 1, found).otherwise(bands["edges"])
+
+
 def in_part(lon: Column, lat: Column, part: Column) -> Column:
-    """part: struct<kind, edges array<array<edge>>, points array<vertex>>. In the outer ring and in no hole (a hole's edge is outside); or at a point."""
-    outer = F.coalesce(in_ring(lon, lat, F.get(part["edges"], 0)), F.lit(False))
-    holes = F.exists(F.slice(part["edges"], F.lit(2), F.greatest(F.size(part["edges"]) - 1, F.lit(0))), lambda r: in_ring(lon, lat, r))
+    """part: struct<kind, x0, x1, y0, y1, rings array<banded>, points array<vertex>>. In the outer ring and in no hole (a hole's edge is outside); or at a point."""
+    in_box = lon.between(part["x0"] - _MARGIN, part["x1"] + _MARGIN) & lat.between(part["y0"] - _MARGIN, part["y1"] + _MARGIN)
+    within = lambda r: F.coalesce(in_ring(lon, lat, edges_at(lat, r)), F.lit(False))
+    holes = F.exists(F.slice(part["rings"], F.lit(2), F.greatest(F.size(part["rings"]) - 1, F.lit(0))), within)
     near = F.exists(part["points"], lambda p: (F.abs(p["lon"] - lon) <= EPSILON) & (F.abs(p["lat"] - lat) <= EPSILON))
-    return F.when(part["kind"] == "Polygon", outer & ~holes).otherwise(near)
+    return in_box & F.when(part["kind"] == "Polygon", within(F.get(part["rings"], 0)) & ~holes).otherwise(near)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,3 +90,9 @@ def month_bounds(month: str) -> tuple[str, str]:
     y, m = int(year), int(number)
     nxt = (y + 1, 1) if m == 12 else (y, m + 1)
     return f"{y:04}-{m:02}-01T00:00:00Z", f"{nxt[0]:04}-{nxt[1]:02}-01T00:00:00Z"
+
+
+def month_micros(month: str) -> tuple[int, int]:
+    """The bounds of a month as microseconds since 1970."""
+    low, high = (dt.datetime.fromisoformat(t) - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) for t in month_bounds(month))
+    return low // dt.timedelta(microseconds=1), high // dt.timedelta(microseconds=1)

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathkit.functions import geojson, times
+from swathkit.functions.geometry import let
 from swathkit.operators import catalogue
 
+
 def _file() -> Column:
     return F.col("_metadata.file_path")
 
@@ -115,8 +117,9 @@ def parse_footprints(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = F.when(F.col("footprint_us").isNull(), "no time in the name").when(F.col("doc").isNull(), "malformed JSON")
     rows = rows.withColumn("reason", reason)
     keep = ["footprint_us", "source_folder", "file_name", *number]
-    # Behind a generator the parts are computed once, however often what follows refers to them.
-    good = rows.filter("reason is null").select(*keep, F.explode(F.array(geojson.parts(F.col("doc"), F.col("value")))).alias("parts"))
+    # Behind a generator the parts are computed once, however often what follows refers to them; within a lambda they don't outgrow generated code.
+    parts = let(F.struct("doc", "value"), lambda d: geojson.parts(d["doc"], d["value"]))
+    good = rows.filter("reason is null").select(*keep, F.explode(F.array(parts)).alias("parts"))
     return good, rows.filter("reason is not null").select("path", "source_folder", "file_name", "reason")
 
 

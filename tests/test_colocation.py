@@ -1,12 +1,15 @@
 import datetime as dt
 import json
+import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from swathkit.functions import geometry, times
 from swathkit.operators import catalogue, rings, tracks
-from swathkit.operators.colocate import HOUR, colocate
+from swathkit.operators.colocate import HOUR, colocate, deal, keyed_points, prepare_footprints
 from swathkit.sources import files
 
 RINGS = "footprint_id string, rings array<array<struct<lon:double,lat:double>>>"
@@ -271,3 +274,82 @@ def test_all_holes_count(spark):
     at = found.first().footprint_us
     got = colocate(_points(spark, [(8.2, 1.5, at), (8.7, 1.5, at)]), found).collect()
     assert [r.longitude for r in got] == [8.7]
+
+
+def _pairs(matches):
+    return Counter((r.longitude, r.latitude, r.point_timestamp, r.geojson_filename) for r in matches.collect())
+
+
+def _crowd(spark):
+    """Points of which most are in one cell near a pole, a third of all in one place, some equal throughout; footprints that crowd there too."""
+    rng = random.Random(3)
+    base = 1_704_067_200_000_000
+    places = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(300)] + [(rng.uniform(40, 50), rng.uniform(80, 89)) for _ in range(1200)] + [(45.5, 84.5)] * 700 + [(45.0, 85.0)] * 100
+    points = _points(spark, [(x, y, base + (rng.randrange(10**10) if k < 2000 else 0)) for k, (x, y) in enumerate(places)])
+    box = lambda x, y, w: [[x - w, y - w], [x + w, y - w], [x + w, y + w], [x - w, y + w], [x - w, y - w]]
+    docs = [_geo("Polygon", [box(rng.uniform(40, 50), rng.uniform(80, 89), rng.uniform(0.2, 2))]) for _ in range(250)] + [_geo("Polygon", [box(rng.uniform(-170, 170), rng.uniform(-80, 80), 6)]) for _ in range(40)]
+    docs += [_geo("MultiPolygon", [[box(44, 84, 2)], [box(46, 85, 2)], [box(-100, 10, 3)]]), _geo("Polygon", [box(0, 0, 90)]), _geo("MultiPolygon", [[box(0, 0, 179)], [box(45, 85, 1)]])]
+    return points, _footprints(spark, docs)[0]
+
+
+def test_crowded_cells_are_dealt_evenly(spark):
+    points, found = _crowd(spark)
+    whole = _pairs(colocate(points, found))
+    assert sum(whole.values()) > 10_000
+    for hot_rows in (50, 400):
+        assert _pairs(colocate(points, found, hot_rows=hot_rows)) == whole
+    fp = prepare_footprints(found, 4 * HOUR, 10.0, 20).cache()
+    levels = sorted(r[0] for r in fp.select("level").distinct().collect())
+    assert levels == [0, 1, 2]
+    pt, dealt, keys = deal(keyed_points(points, 4 * HOUR, 10.0, levels), fp, 10.0, 50)
+    for rows, least in ((pt, 60), (dealt, 10)):
+        spread = [r["n"] for r in rows.groupBy(*keys).agg(F.count("*").alias("n")).collect()]
+        assert max(spread) <= 4 * 50 and len(spread) > least
+    assert pt.filter("times = 100").count() >= 1
+    # What a task of the join reads, with as many tasks as keys allow.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = sorted(r["n"] for r in pt.repartition(16, *keys).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) == 16 and tasks[-1] <= 4 * tasks[8]
+
+
+def test_parts_are_stored_once_a_cell(spark):
+    """A footprint of 400 parts: rows for its cells, each with its own parts only; a point in several parts matches once."""
+    square = lambda k: [[[0.4 * k, 0], [0.4 * k + 0.5, 0], [0.4 * k + 0.5, 1], [0.4 * k, 1], [0.4 * k, 0]]]
+    found, _ = _footprints(spark, [_geo("MultiPolygon", [square(k) for k in range(400)])])
+    rows = prepare_footprints(found, 4 * HOUR, 10.0, 64).collect()
+    assert len(rows) <= 2 * 2 * 18 and sum(len(r.parts) for r in rows) < 2 * 2 * 440
+    at = found.first().footprint_us
+    inside = [(0.45, 0.5), (81.2, 0.5), (9.99, 0.2), (10.0, 0.0), (159.6, 1.0), (160.2, 0.5)]
+    assert _pairs(colocate(_points(spark, [(x, y, at) for x, y in inside]), found)) == {(x, y, str(at), found.first().file_name): 1 for x, y in inside[:5]}
+
+
+def _even_odd(ring, x, y):
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("shape", ["round", "star", "comb"])
+def test_rings_of_many_vertices(spark, shape):
+    """Edges looked up by band of latitude give what all edges give, and are few."""
+    n = 4000
+    if shape == "comb":
+        ring = [(-20 + 40 * k / n, (-1) ** k * 15.0 + 1) for k in range(n)] + [(20, -30), (-20, -30)]
+    else:
+        radius = lambda k: 20 if shape == "round" or k % 2 else 4
+        ring = [(radius(k) * math.cos(2 * math.pi * k / n) + 2, radius(k) * math.sin(2 * math.pi * k / n) + 1) for k in range(n)]
+    found, _ = _footprints(spark, [_geo("Polygon", [[list(v) for v in ring]])])
+    at = found.first().footprint_us
+    rng = random.Random(1)
+    points = [(rng.uniform(-25, 25), rng.uniform(-25, 25)) for _ in range(400)] + ring[::97]
+    got = {(r.longitude, r.latitude) for r in colocate(_points(spark, [(x, y, at) for x, y in points]), found, cell_deg=30.0).collect()}
+    want = {(x, y) for x, y in points[:400] if _even_odd(ring, x, y)} | set(ring[::97])
+    assert got == want and 0 < len(want) < 440
+    one = spark.createDataFrame([([(float(x), float(y)) for x, y in ring],)], "r array<struct<lon:double,lat:double>>").select(geometry.banded(geometry.edges(F.col("r"))).alias("b"))
+    sizes = one.select(F.size("b.edges").alias("all"), F.size("b.starts").alias("bands"), F.size(geometry.edges_at(F.lit(3.0), F.col("b"))).alias("few")).first()
+    assert sizes["all"] < 5 * n and (shape != "round" or (sizes["bands"] > 300 and sizes["few"] < 40))
