@@ -58,83 +58,77 @@ def close_ring(ring: Column) -> Column:
     return let(ring, lambda r: F.when(ends(r), F.concat(r, F.slice(r, 1, 1))).otherwise(r))
 
 
-def edges(ring: Column) -> Column:
-    """array<struct<x1,y1,x2,y2>> of a ring, the closing edge included; empty below three vertices."""
-
-    def edge(v: Column, w: Column) -> Column:
-        return F.struct(v["lon"].alias("x1"), v["lat"].alias("y1"), w["lon"].alias("x2"), w["lat"].alias("y2"))
-
-    made = let(open_ring(ring), lambda core: F.transform(core, lambda v, i: edge(v, F.get(core, (i + 1) % F.size(core)))))
-    return F.when(F.size(ring) >= 3, made).otherwise(F.slice(made, 1, 0))
+# What follows is SQL text made of SQL text: nested lambdas of Columns take seconds to build, one call to the JVM for each node.
 
+#: Edges that a band of latitude holds about, and how often an edge may stand in bands on the average.
+_PER_BAND, _COPIES = 8, 3
+#: Far above rounding, and above EPSILON: what may touch a band stands in it.
+MARGIN = 1e-8
 
-def in_ring(lon: Column, lat: Column, ring_edges: Column) -> Column:
-    """Even-odd rule; points on an edge, or within EPSILON of one along the parallel, are inside."""
-
-    def crosses(e: Column) -> Column:
-        return (e["y1"] > lat) != (e["y2"] > lat)
-
-    def at(e: Column) -> Column:
-        return (e["x2"] - e["x1"]) * (lat - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
-
-    def touches(e: Column) -> Column:
-        box = lon.between(F.least(e["x1"], e["x2"]) - EPSILON, F.greatest(e["x1"], e["x2"]) + EPSILON) & lat.between(F.least(e["y1"], e["y2"]) - EPSILON, F.greatest(e["y1"], e["y2"]) + EPSILON)
-        on = box & (F.abs((e["x2"] - e["x1"]) * (lat - e["y1"]) - (lon - e["x1"]) * (e["y2"] - e["y1"])) <= EPSILON)
-        return on | F.when(crosses(e), F.abs(at(e) - lon) <= EPSILON).otherwise(False)
 
-    odd = F.size(F.filter(ring_edges, lambda e: F.when(crosses(e), lon < at(e)).otherwise(False))) % 2 == 1
-    return F.exists(ring_edges, touches) | odd
+def let_sql(value: str, name: str, body: str) -> str:
+    """body, in which name stands for value, computed once per row."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-#: Edges that a band of latitude holds about, and how often an edge may stand in bands on the average.
-_PER_BAND, _COPIES = 8, 3
-#: Far above rounding, and above EPSILON: what may touch a band stands in it.
-_MARGIN = 1e-8
-_NAN = float("nan")
+def edges_sql(ring: str) -> str:
+    """array<struct<x1,y1,x2,y2>> of a ring, the closing edge included; empty below three vertices."""
+    core = "if(size(r) > 1 and get(r, 0) = get(r, size(r) - 1), slice(r, 1, greatest(size(r) - 1, 0)), r)"
+    edge = "get(transform(array(get(core, (i + 1) % size(core))), w -> struct(v.lon as x1, v.lat as y1, w.lon as x2, w.lat as y2)), 0)"
+    return let_sql(f"filter({ring}, v -> size({ring}) >= 3)", "r", let_sql(core, "core", f"transform(core, (v, i) -> {edge})"))
 
 
-def banded(ring_edges: Column) -> Column:
-    """struct<low, step, starts, edges>: the edges in bands of latitude, for edges_at.
+def banded_sql(edges: str) -> str:
+    """struct<low, step, starts, edges>: the edges in bands of latitude, for edges_at_sql; null if there are none.
 
     An edge stands in each band that it reaches. The bands are as many as the edges fill without being
     copied more than a few times. Every band begins with an edge of NaN, which nothing touches or
     crosses, so `starts` has a place for each.
     """
-    low_of, high_of = (lambda e: F.least(e["y1"], e["y2"])), (lambda e: F.greatest(e["y1"], e["y2"]))
-    none = F.lit(_NAN)
-
-    def entries(r: Column) -> Column:
-        band = lambda y: F.greatest(F.least(F.floor((y - r["low"]) / r["step"]), r["n"] - 1), F.lit(0)).cast("int")
-        entry = lambda b, x1, y1, x2, y2: F.struct(b.alias("b"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-        reached = lambda e: F.transform(F.sequence(band(low_of(e) - _MARGIN), band(high_of(e) + _MARGIN)), lambda b: entry(b, e["x1"], e["y1"], e["x2"], e["y2"]))
-        blank = F.transform(F.sequence(F.lit(0), r["n"].cast("int") - 1), lambda b: entry(b, none, none, none, none))
-        return F.array_sort(F.concat(blank, F.flatten(F.transform(ring_edges, reached))))
-
-    def indexed(r: Column, sorted_: Column) -> Column:
-        opens = lambda x, i: F.when((i == 0) | (F.get(sorted_, F.greatest(i - 1, F.lit(0)))["b"] != x["b"]), i)
-        starts = F.filter(F.transform(sorted_, opens), lambda i: i.isNotNull())
-        return F.struct(r["low"].alias("low"), r["step"].alias("step"), starts.alias("starts"), sorted_.alias("edges"))
-
-    low, high = F.array_min(F.transform(ring_edges, low_of)), F.array_max(F.transform(ring_edges, high_of))
-    size, span = F.size(ring_edges), high - low
-    n = F.floor(F.least(size / _PER_BAND, _COPIES * size * span / F.greatest(_sum(ring_edges, lambda e: high_of(e) - low_of(e)), F.lit(_MARGIN))))
-    n = F.when(span > 1e-3, F.greatest(n, F.lit(1))).otherwise(F.lit(1)).cast("long")
-    head = let(n, lambda k: F.struct(low.alias("low"), (F.greatest(span, F.lit(1e-3)) / k).alias("step"), k.alias("n")))
-    return F.when(size > 0, let(head, lambda r: let(entries(r), lambda e: indexed(r, e))))
-
-
-def edges_at(lat: Column, bands: Column) -> Column:
+    low, high = f"array_min(transform({edges}, e -> least(e.y1, e.y2)))", f"array_max(transform({edges}, e -> greatest(e.y1, e.y2)))"
+    reach = f"aggregate({edges}, 0D, (s, e) -> s + abs(e.y2 - e.y1))"
+    ends = let_sql(f"struct({low} as low, {high} as high, {reach} as reach)", "h", f"""struct(h.low as low, greatest(h.high - h.low, 1e-3D) as span,
+        if(h.high - h.low > 1e-3D, greatest(1, cast(floor(least(size({edges}) / {_PER_BAND}D, {_COPIES} * size({edges}) * (h.high - h.low) / greatest(h.reach, 1e-8D))) as int)), 1) as n)""")
+    band = lambda y: f"cast(greatest(0, least(k.n - 1, floor(({y} - k.low) * k.n / k.span))) as int)"
+    nan = "cast('NaN' as double)"
+    blank = f"transform(sequence(0, k.n - 1), b -> struct(b as b, {nan} as x1, {nan} as y1, {nan} as x2, {nan} as y2))"
+    reached = f"transform(sequence({band(f'least(e.y1, e.y2) - {MARGIN}D')}, {band(f'greatest(e.y1, e.y2) + {MARGIN}D')}), b -> struct(b as b, e.x1 as x1, e.y1 as y1, e.x2 as x2, e.y2 as y2))"
+    placed = f"array_sort(concat({blank}, flatten(transform({edges}, e -> {reached}))))"
+    starts = "filter(transform(s, (e, i) -> if(i = 0 or get(s, greatest(i - 1, 0)).b <> e.b, i, null)), i -> i is not null)"
+    bare = "transform(s, e -> struct(e.x1 as x1, e.y1 as y1, e.x2 as x2, e.y2 as y2))"
+    made = let_sql(placed, "s", f"struct(k.low as low, k.span / k.n as step, {starts} as starts, {bare} as edges)")
+    return f"if(size({edges}) > 0, {let_sql(ends, 'k', made)}, null)"
+
+
+def one_band_sql(edges: str) -> str:
+    """The edges of a small ring in the form of banded_sql, all in one band."""
+    return f"if(size({edges}) > 0, struct({edges}[0].y1 as low, 1D as step, array(0) as starts, {edges} as edges), null)"
+
+
+def edges_at_sql(lat: str, bands: str) -> str:
     """The edges of a banded ring that a point of this latitude can touch or cross."""
-    starts, n = bands["starts"], F.size(bands["starts"])
-    band = F.greatest(F.least(F.floor((lat - bands["low"]) / bands["step"]), n - 1), F.lit(0)).cast("int")
-    found = let(band, lambda b: F.slice(bands["edges"], F.get(starts, b) + 1, F.coalesce(F.get(starts, b + 1), F.size(bands["edges"])) - F.get(starts, b)))
-    return F.when(n > 1, found).otherwise(bands["edges"])
+    band = f"cast(greatest(0, least(size({bands}.starts) - 1, floor(({lat} - {bands}.low) / {bands}.step))) as int)"
+    stretch = f"slice({bands}.edges, get({bands}.starts, b) + 1, coalesce(get({bands}.starts, b + 1), size({bands}.edges)) - get({bands}.starts, b))"
+    return f"if(size({bands}.starts) > 1, {let_sql(band, 'b', stretch)}, {bands}.edges)"
+
+
+def in_ring_sql(lon: str, lat: str, edges: str) -> str:
+    """Even-odd rule; points on an edge, or within EPSILON of one along the parallel, are inside."""
+    eps = f"{EPSILON}D"
+    crosses = f"((e.y1 > {lat}) <> (e.y2 > {lat}))"
+    at = f"((e.x2 - e.x1) * ({lat} - e.y1) / (e.y2 - e.y1) + e.x1)"
+    box = f"{lon} between least(e.x1, e.x2) - {eps} and greatest(e.x1, e.x2) + {eps} and {lat} between least(e.y1, e.y2) - {eps} and greatest(e.y1, e.y2) + {eps}"
+    on = f"({box} and abs((e.x2 - e.x1) * ({lat} - e.y1) - ({lon} - e.x1) * (e.y2 - e.y1)) <= {eps})"
+    touches = f"({on} or if({crosses}, abs({at} - {lon}) <= {eps}, false))"
+    odd = f"size(filter(e0, e -> if({crosses}, {lon} < {at}, false))) % 2 = 1"
+    return let_sql(edges, "e0", f"(exists(e0, e -> {touches}) or {odd})")
 
 
-def in_part(lon: Column, lat: Column, part: Column) -> Column:
+def in_part_sql(lon: str, lat: str, part: str) -> str:
     """part: struct<kind, x0, x1, y0, y1, rings array<banded>, points array<vertex>>. In the outer ring and in no hole (a hole's edge is outside); or at a point."""
-    in_box = lon.between(part["x0"] - _MARGIN, part["x1"] + _MARGIN) & lat.between(part["y0"] - _MARGIN, part["y1"] + _MARGIN)
-    within = lambda r: F.coalesce(in_ring(lon, lat, edges_at(lat, r)), F.lit(False))
-    holes = F.exists(F.slice(part["rings"], F.lit(2), F.greatest(F.size(part["rings"]) - 1, F.lit(0))), within)
-    near = F.exists(part["points"], lambda p: (F.abs(p["lon"] - lon) <= EPSILON) & (F.abs(p["lat"] - lat) <= EPSILON))
-    return in_box & F.when(part["kind"] == "Polygon", within(F.get(part["rings"], 0)) & ~holes).otherwise(near)
+    box = f"{lon} between {part}.x0 - {MARGIN}D and {part}.x1 + {MARGIN}D and {lat} between {part}.y0 - {MARGIN}D and {part}.y1 + {MARGIN}D"
+    within = f"coalesce({in_ring_sql(lon, lat, edges_at_sql(lat, 'r'))}, false)"
+    rings = f"exists({{0}}, r -> {within})"
+    holes = rings.format(f"slice({part}.rings, 2, greatest(size({part}.rings) - 1, 0))")
+    near = f"exists({part}.points, v -> abs(v.lon - {lon}) <= {EPSILON}D and abs(v.lat - {lat}) <= {EPSILON}D)"
+    return f"({box} and if({part}.kind = 'Polygon', {rings.format(f'slice({part}.rings, 1, 1)')} and not {holes}, {near}))"

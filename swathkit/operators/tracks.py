@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from xml.parsers import expat
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from swathkit.functions import geometry, times
+from swathkit.functions.xml import first_and_lists
 from swathkit.operators.rings import normalised
 
 _XML = "malformed XML"
-
-
-@F.pandas_udf(T.BooleanType())
-def _well_formed(texts: pd.Series) -> pd.Series:
-    """Whether Spark's xpath will take a text: it fails the whole job on one that is not well-formed."""
-
-    def check(text: str | None) -> bool:
-        try:
-            expat.ParserCreate().Parse(text or "", True)
-            return True
-        except expat.ExpatError:
-            return False
-
-    return texts.map(check)
+_POSITIONS = "positions are missing or not pairs of numbers"
 
 
 def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -45,21 +29,11 @@ def _split(rows: DataFrame, keep: list[str], mode: str) -> tuple[DataFrame, Data
     return good.filter("reason is null").drop("reason"), rejects if mode == "quarantine" else rejects.limit(0)
 
 
-def _numbers(text: Column) -> Column:
-    return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != ""), lambda t: t.try_cast("double"))
-
-
 def _pairs(numbers: Column) -> Column:
     """lat lon lat lon ... as vertices; null if the numbers aren't pairs."""
-    good = (F.size(numbers) >= 2) & (F.size(numbers) % 2 == 0) & F.forall(numbers, lambda x: x.isNotNull())
-    pair = lambda i: F.struct(F.get(numbers, 2 * i + 1).alias("lon"), F.get(numbers, 2 * i).alias("lat"))
-    return F.when(good, F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(numbers) / 2) - 1, F.lit(0))), pair))
-
-
-def _parsed_xml(df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, ok and xml, null where the XML isn't well-formed."""
-    checked = df.select(*keep, "xml", _well_formed("xml").alias("ok"))
-    return checked.withColumn("xml", F.when(F.col("ok"), F.col("xml")))
+    vertex = lambda i: F.struct(F.get(numbers, 2 * i + 1).alias("lon"), F.get(numbers, 2 * i).alias("lat"))
+    whole = (F.size(numbers) >= 2) & (F.size(numbers) % 2 == 0)
+    return F.when(whole, F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(numbers) / 2) - 1, F.lit(0))), vertex))
 
 
 def extract_points(granules: DataFrame, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
@@ -68,16 +42,16 @@ def extract_points(granules: DataFrame, mode: str = "fail") -> tuple[DataFrame,
     points: file_name, pos, latitude, longitude, point_ts, timestamp, the track of each granule with
     interpolated times. The first begin, end and position list count. The step is rounded half-even
     to microseconds and then multiplied. The elements are found by local name, whatever the
-    namespace. rejects: file_name and reason of the granules that are malformed XML, lack an element
-    or hold bad numbers; mode='fail' makes the first of them an error that names the file.
+    namespace, in one parse of the document. rejects: file_name and reason of the granules that are
+    malformed XML, lack an element or hold bad numbers; mode='fail' makes the first of them an error
+    that names the file.
     """
     keep = [c for c in ("path", "granule_group", "file_name") if c in granules.columns]
-    first = lambda tag: F.get(F.xpath("xml", F.lit(f"//*[local-name()='{tag}']/text()")), 0)
-    rows = _parsed_xml(granules, keep)
-    rows = _once(rows, [*keep, "ok"], begin=times.parse_utc(first("beginPosition"), False), end=times.parse_utc(first("endPosition"), False), numbers=_numbers(first("posList")))
-    rows = _once(rows, [*keep, "ok", "begin", "end"], vertices=_pairs(F.col("numbers")))
-    reason = F.when(~F.col("ok"), _XML).when(F.col("begin").isNull(), "no begin time").when(F.col("end").isNull(), "no end time").when(F.col("vertices").isNull(), "positions are missing or not pairs of numbers")
-    rows, rejects = _split(rows.withColumn("reason", reason).drop("ok"), keep, mode)
+    read = granules.select(*keep, first_and_lists(("beginPosition", "endPosition"), "posList")(F.col("xml")).alias("x"))
+    begin, end = (times.parse_utc(F.get("x.first", i), False) for i in (0, 1))
+    rows = _once(read, [*keep, "x"], begin=begin, end=end, vertices=_pairs(F.get("x.lists", 0)))
+    reason = F.when(~F.col("x.ok"), _XML).when(F.col("begin").isNull(), "no begin time").when(F.col("end").isNull(), "no end time").when(F.col("vertices").isNull(), _POSITIONS)
+    rows, rejects = _split(rows.withColumn("reason", reason).drop("x"), keep, mode)
     gaps = F.greatest(F.size("vertices") - 1, F.lit(1)).cast("long")
     step = times.divide_half_even(times.micros(F.col("end")) - times.micros(F.col("begin")), gaps)
     rows = rows.withColumn("step", F.when(F.size("vertices") == 1, F.lit(0)).otherwise(step).cast("long"))
@@ -119,15 +93,12 @@ def read_manifest(manifests: DataFrame, mode: str = "fail") -> tuple[DataFrame,
     ones included. rejects and mode are as in extract_points.
     """
     keep = [c for c in manifests.columns if c != "xml"]
-    ending = lambda tag: f"//*[substring(local-name(), string-length(local-name()) - {len(tag) - 1}) = '{tag}']/text()"
-    first = lambda tag: F.get(F.filter(F.transform(F.xpath("xml", F.lit(ending(tag))), F.trim), lambda t: t != ""), 0)
-    lists = F.transform(F.xpath("xml", F.lit(ending("posList"))), _numbers)
-    rows = _parsed_xml(manifests, keep)
-    rows = _once(rows, [*keep, "ok"], start=times.parse_utc(first("startTime"), False), stop=times.parse_utc(first("stopTime"), False), lists=lists)
-    rows = _once(rows, [*keep, "ok", "start", "stop"], rings=F.transform("lists", _pairs))
+    read = manifests.select(*keep, first_and_lists(("startTime", "stopTime"), "posList", by_end=True)(F.col("xml")).alias("x"))
+    start, stop = (times.parse_utc(F.get("x.first", i), False) for i in (0, 1))
+    rows = _once(read, [*keep, "x"], start=start, stop=stop, rings=F.transform("x.lists", _pairs))
     usable = (F.size("rings") > 0) & F.forall("rings", lambda r: r.isNotNull())
-    reason = F.when(~F.col("ok"), _XML).when(F.col("start").isNull(), "no start time").when(F.col("stop").isNull(), "no stop time").when(~F.coalesce(usable, F.lit(False)), "positions are missing or not pairs of numbers")
-    rows, rejects = _split(rows.withColumn("reason", reason).drop("ok"), keep, mode)
+    reason = F.when(~F.col("x.ok"), _XML).when(F.col("start").isNull(), "no start time").when(F.col("stop").isNull(), "no stop time").when(~F.coalesce(usable, F.lit(False)), _POSITIONS)
+    rows, rejects = _split(rows.withColumn("reason", reason).drop("x"), keep, mode)
     lat, lon = geometry.centre(F.flatten("rings"))
     rows = rows.withColumn("central_ts", times.midpoint(F.col("start"), F.col("stop"))).withColumn("central_time", times.iso_text(F.col("central_ts")))
     return rows.withColumn("central_lat", lat).withColumn("central_lon", lon).drop("start", "stop"), rejects
