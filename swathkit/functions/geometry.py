@@ -59,6 +59,7 @@ def close_ring(ring: Column) -> Column:
 
 
 # What follows is SQL text made of SQL text: nested lambdas of Columns take seconds to build, one call to the JVM for each node.
+# Lambda variables have one letter, or are core and e0; arguments that are names must be others, but for the r and p of callers.
 
 #: Edges that a band of latitude holds about, and how often an edge may stand in bands on the average.
 _PER_BAND, _COPIES = 8, 3

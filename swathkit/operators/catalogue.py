@@ -23,6 +23,19 @@ def date_chunks(spark: SparkSession, start: str, end: str, days: int = 1) -> Dat
     return rows.select("chunk_start", "chunk_end", label.alias("label"))
 
 
+def chunk_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks: the columns of requests and chunk_start, chunk_end; rejects: the columns of requests and reason) of many ranges at once.
+
+    requests: start and end (dates, inclusive), days (in a chunk), and any other columns.
+    """
+    reason = F.when(F.col("start").isNull() | F.col("end").isNull() | F.col("days").isNull(), "no start, end or days").when(F.col("start") > F.col("end"), "start after end").when(F.col("days") < 1, "days below 1")
+    rows = requests.withColumn("reason", reason)
+    good = rows.filter("reason is null").drop("reason")
+    starts = F.expr("transform(sequence(0, cast(floor(datediff(end, start) / days) as int)), k -> date_add(start, cast(k * days as int)))")
+    chunks = good.withColumn("chunk_start", F.explode(starts)).withColumn("chunk_end", F.expr("least(date_add(chunk_start, cast(days - 1 as int)), end)"))
+    return chunks, rows.filter("reason is not null")
+
+
 def months(spark: SparkSession, year: int, month: int, n: int = 12) -> DataFrame:
     """month: n consecutive keys YYYY-MM."""
     start = F.make_date(F.lit(year), F.lit(month), F.lit(1))
@@ -36,9 +49,14 @@ def clean_listing(raw: DataFrame) -> DataFrame:
     return raw.select(text("dipFilename").alias("dip_filename"), text("productURI").alias("product_uri"), text("beginAcquisition").alias("begin_acquisition"), *keep).filter("dip_filename <> ''")
 
 
+def over_cap(counts: DataFrame, cap: int = QUERY_CAP, count_col: str = "expected") -> DataFrame:
+    """Chunks with as many records as a query can return at most, or more: they have been cut, and need shorter chunks."""
+    return counts.filter(F.col(count_col) >= cap)
+
+
 def check_cap(counts: DataFrame, cap: int = QUERY_CAP, count_col: str = "expected") -> None:
     """Raise if a chunk (chunk_start, count_col) has as many records as a query can return at most: it has been cut."""
-    full = counts.filter(F.col(count_col) >= cap).orderBy("chunk_start").take(1)
+    full = over_cap(counts, cap, count_col).orderBy("chunk_start").take(1)
     if full:
         raise ValueError(f"{full[0][count_col]} records for the chunk of {full[0]['chunk_start']}: use shorter chunks")
 

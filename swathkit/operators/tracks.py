@@ -104,20 +104,29 @@ def read_manifest(manifests: DataFrame, mode: str = "fail") -> tuple[DataFrame,
     return rows.withColumn("central_lat", lat).withColumn("central_lon", lon).drop("start", "stop"), rejects
 
 
+def nameless_footprints(manifests: DataFrame, scope: str = "day", exact: bool = False, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
+    """What footprints gives, without polygon_file."""
+    parsed, rejects = read_manifest(latest_versions(manifests, scope), mode)
+    rows = _once(parsed, [c for c in parsed.columns if c != "rings"], cut=normalised(F.col("rings"), exact))
+    return rows.select("day", "path", "file_name", "central_time", "central_lat", "central_lon", "central_ts", "cut.rings", "cut.straddles"), rejects
+
+
+def with_names(footprints: DataFrame) -> DataFrame:
+    """Adds polygon_file: equal times get the names x, x_1, x_2 in order of file name and path."""
+    again = F.row_number().over(Window.partitionBy("central_time").orderBy("file_name", "path")) - 1
+    suffix = F.when(again > 0, F.concat(F.lit("_"), again.cast("string"))).otherwise(F.lit(""))
+    return footprints.withColumn("polygon_file", F.concat(times.safe_name(F.col("central_time"), ""), suffix, F.lit(".geojson")))
+
+
 def footprints(manifests: DataFrame, scope: str = "day", exact: bool = False, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
     """(footprints, rejects) of manifests (day, path, file_name, xml).
 
     footprints: day, path, file_name, central_time, central_lat, central_lon, central_ts, polygon_file,
-    rings (cut at the meridians), straddles. Takes the latest version of each granule. Equal times get
-    the names x, x_1, x_2 in order of file name and path.
+    rings (cut at the meridians), straddles. Takes the latest version of each granule.
     """
-    parsed, rejects = read_manifest(latest_versions(manifests, scope), mode)
-    rows = _once(parsed, [c for c in parsed.columns if c != "rings"], cut=normalised(F.col("rings"), exact))
-    again = F.row_number().over(Window.partitionBy("central_time").orderBy("file_name", "path")) - 1
-    suffix = F.when(again > 0, F.concat(F.lit("_"), again.cast("string"))).otherwise(F.lit(""))
-    file = F.concat(times.safe_name(F.col("central_time"), ""), suffix, F.lit(".geojson"))
-    rows = rows.withColumn("polygon_file", file)
-    return rows.select("day", "path", "file_name", "central_time", "central_lat", "central_lon", "central_ts", "polygon_file", "cut.rings", "cut.straddles"), rejects
+    rows, rejects = nameless_footprints(manifests, scope, exact, mode)
+    columns = ["day", "path", "file_name", "central_time", "central_lat", "central_lon", "central_ts", "polygon_file", "rings", "straddles"]
+    return with_names(rows).select(*columns), rejects
 
 
 def as_parts(rings: Column) -> Column:

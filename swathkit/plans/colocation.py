@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swathkit.functions import geojson, geometry, times
-from swathkit.operators import catalogue, rings, tracks
-from swathkit.operators.colocate import colocate, match_totals
-from swathkit.sources import files
+from swathkit.operators import catalogue, refresh, rings, tracks
+from swathkit.operators.colocate import HOUR, colocate, match_totals
+from swathkit.sources import files, inventory, tables
 from swathkit.sources.scratch import scratch_path
 
 
@@ -226,10 +226,27 @@ def _by_dates(spark: SparkSession, path: str) -> tuple[str, str]:
     return days[0], days[-1]
 
 
+def _grouped(events: DataFrame) -> DataFrame:
+    """A row for each hundred events: their number, first and last time, and the day of the first."""
+    rows = events.groupBy(F.expr(f"event_id div {_A_FILE}").alias("g")).agg(F.min("us").alias("low"), F.max("us").alias("high"), F.count("*").alias("n"))
+    return rows.withColumn("day", times.utc_date(F.col("low")))
+
+
+def _grouped_manifests(events: DataFrame, versions: int = 1) -> DataFrame:
+    """Manifests of the groups of events, as rectangles over the meridian of 0; versions of each, the later ones of other shape."""
+    rows = _grouped(events).withColumn("version", F.explode(F.sequence(F.lit(1), F.lit(versions))))
+    x, y, high = F.col("g") % 9 - 4, F.col("g") * 2713 % 160 - 80, F.lit(4) + F.col("version")
+    corners = F.concat_ws(" ", *[c.cast("string") for dy, dx in ((-1, -6), (-1, 6), (1, 6), (1, -6)) for c in (y + dy * high, x + dx)])
+    time = lambda c: times.iso_text(F.timestamp_micros(c))
+    text = F.concat(F.lit('<x xmlns:s="u"><s:startTime>'), time("low"), F.lit("</s:startTime><s:stopTime>"), time("high"), F.lit("</s:stopTime><s:posList>"), corners, F.lit("</s:posList></x>"))
+    name = F.concat(F.lit("A_B_C_D_E_F_G_H_"), F.col("g").cast("string"), F.lit("_"), F.col("version").cast("string"), F.lit("_x.manifest"))
+    return rows.select("g", "version", "day", name.alias("file_name"), text.alias("xml"))
+
+
 def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests in a tree of dates, one for every hundred events, read for a range that begins and ends with a missing day."""
     path = scratch_path(spark, "manifests")
-    rows = _manifests(_events(spark, sf_dir).filter(f"event_id % {_A_FILE} = 0"))
+    rows = _grouped_manifests(_events(spark, sf_dir))
     rows.select("day", F.col("xml").alias("value")).write.partitionBy("day").option("maxRecordsPerFile", 1).text(path)
     low, high = (dt.date.fromisoformat(d) for d in _by_dates(spark, path))
     manifests, days = files.read_manifests(spark, path, str(low - dt.timedelta(1)), str(high + dt.timedelta(1)), files="part-*")
@@ -238,14 +255,102 @@ def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("day").cast("string").alias("day"), "present", "central_time", F.round("central_lat", 6).alias("central_lat"))
 
 
+def _write_tree(rows: DataFrame, root: str, between: str = "/") -> None:
+    """Documents (day, file_name, xml) as files YYYY/MM/DD/<name>; between stands between the parts of the date."""
+    spark = rows.sparkSession
+    written = scratch_path(spark, "tree")
+    rows.select("day", "file_name", F.col("xml").alias("value")).write.partitionBy("day", "file_name").text(written)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(path(f"{written}/day=*/file_name=*/part-*")):
+        name, day = (p.getName().partition("=")[2] for p in (found.getPath().getParent(), found.getPath().getParent().getParent()))
+        target = path(f"{root}/{day.replace('-', between)}/{name}")
+        system.mkdirs(target.getParent())
+        system.rename(found.getPath(), target)
+
+
+def late_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints kept by day: a first run without the second versions of one group in seven, a second run once they have come. The rows of all days, and whether the second run computed their day."""
+    path = scratch_path(spark, "late")
+    rows = _grouped_manifests(_events(spark, sf_dir), 2)
+    is_late = (F.col("version") == 2) & (F.col("g") % 7 == 0)
+    low, high = map(str, rows.agg(F.min("day"), F.max("day")).first())
+    _write_tree(rows.filter("version = 1"), f"{path}/root")
+    refresh.refresh_footprints(spark, f"{path}/root", low, high, f"{path}/table")
+    _write_tree(rows.filter(is_late), f"{path}/root")
+    again = refresh.refresh_footprints(spark, f"{path}/root", low, high, f"{path}/table")
+    found = refresh.kept_footprints(spark, f"{path}/table").withColumn("again", F.col("day").isin(again) if again else F.lit(False))
+    return found.select(F.col("day").cast("string").alias("day"), "file_name", "central_time", F.round("central_lat", 6).alias("central_lat"), F.size("rings").alias("n_rings"), "polygon_file", "again")
+
+
+def colocate_geojson_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints of several rings, a file for each, in two folders of <time>.geojson files, and all points."""
+    events, path = _events(spark, sf_dir), scratch_path(spark, "exchange")
+    rows = _grouped_manifests(events)
+    for k, name in enumerate("ab"):
+        manifests = rows.filter(F.col("g") % 2 == k).withColumn("path", F.concat(F.lit("/m/"), "file_name"))
+        files.export_geojson(tracks.footprints(manifests, exact=True)[0], f"{path}/{name}")
+    found, _ = files.read_footprints(spark, [f"{path}/a", f"{path}/b"])
+    return colocate(points(events), found).drop("folder_no", "footprint_us")
+
+
+def colocate_month_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and footprints as tables by month, of which a job for January reads its own folders."""
+    events, path = _events(spark, sf_dir).withColumn("us", F.col("us") + _LATER), scratch_path(spark, "tables")
+    place = points(events).withColumn("point_id", F.col("point_us"))
+    tables.write_points_table(place, f"{path}/points")
+    shapes = footprint_table(events)
+    for name in "ab":
+        some = shapes.filter(F.col("source_folder") == name)
+        rings = some.select(F.timestamp_micros("footprint_us").alias("central_ts"), F.col("file_name").alias("polygon_file"), F.col("parts")[0]["rings"].alias("rings"))
+        tables.write_footprints_table(rings, f"{path}/{name}")
+    at = tables.read_points_table(spark, f"{path}/points", "2024-01")
+    found = tables.read_footprints_table(spark, [f"{path}/a", f"{path}/b"], "2024-01", 4 * HOUR)
+    return colocate(at, found).drop("point_id", "folder_no", "footprint_us")
+
+
+def point_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as CSV, a third of them without latitude, with text for longitude or without time; what the reader rejects, equal rows counted."""
+    path = scratch_path(spark, "points")
+    way = F.col("event_id") % 9
+    rows = _events(spark, sf_dir).select(
+        F.when(way == 1, "").otherwise((F.col("event_id") % 90).cast("string")).alias("latitude"),
+        F.when(way == 4, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise((F.col("event_id") % 180).cast("string")).alias("longitude"),
+        F.when(way == 7, "").otherwise(times.millis_text(F.timestamp_micros("us"))).alias("timestamp"),
+    )
+    rows.write.option("header", True).option("emptyValue", "").csv(path)
+    _, rejects = files.read_points(spark, path, mode="quarantine")
+    return rejects.groupBy("latitude", "longitude", "timestamp").agg(F.count("*").alias("n"))
+
+
+def catalogue_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days whose listing reaches a cap that a query can return: the mean of all days."""
+    events = _events(spark, sf_dir)
+    counts = events.groupBy(times.utc_date(F.col("us")).alias("chunk_start")).agg(F.count("*").alias("expected"))
+    cap = counts.agg(F.floor(F.avg("expected"))).first()[0]
+    return catalogue.over_cap(counts, cap).select(F.col("chunk_start").cast("string").alias("chunk_start"), "expected")
+
+
+def chunk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for a range of dates from each event, some backwards or with chunks of no days: its chunks, or why there are none."""
+    day = times.utc_date(F.col("us"))
+    requests = _events(spark, sf_dir).select("event_id", day.alias("start"), F.date_add(day, (F.col("event_id") % 12 - 2).cast("int")).alias("end"), (F.col("event_id") % 5).alias("days"))
+    chunks, rejects = catalogue.chunk_requests(requests)
+    found = chunks.groupBy("event_id").agg(F.count("*").alias("n"), F.max("chunk_start").cast("string").alias("last"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(rejects.select("event_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("last"), "reason"))
+
+
+def _chain_manifests(events: DataFrame) -> DataFrame:
+    """Manifests east of the meridian of 0, with times in steps of ten minutes: many are equal, and their files get suffixes."""
+    return _manifests(events, F.col("event_id") * 31337 % 160 + 10, F.col("us") - F.col("us") % 600_000_000)
+
+
 def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[DataFrame]]:
-    """Points and the footprints of two folders of manifests. Times in steps of ten minutes: many are equal, and their files get suffixes."""
+    """Points and the footprints of two folders of manifests."""
     events = _events(spark, sf_dir)
     place = points(events.withColumn("us", F.col("us") - F.col("us") % 1000)).withColumn("file_name", F.lit("track")).withColumn("pos", F.col("point_us"))
     rows = events.filter("event_id % 5 = 1")
-    x, start = F.col("event_id") * 31337 % 160 + 10, F.col("us") - F.col("us") % 600_000_000
-    folders = [tracks.footprints(_manifests(rows.filter(f"event_id % 2 = {k}"), x, start))[0] for k in (0, 1)]
-    return place, folders
+    return place, [tracks.footprints(_chain_manifests(rows.filter(f"event_id % 2 = {k}")))[0] for k in (0, 1)]
 
 
 def _matches_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,16 +387,18 @@ def matches_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def footprint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary as it stands in the CSV files, with the lines of the same day numbered."""
     path = scratch_path(spark, "summary")
-    files.write_summary(_chain(spark, sf_dir)[1][0], path)
+    files.write_summary(tracks.footprints(_chain_manifests(_events(spark, sf_dir)))[0], path)
     rows = _lines(spark, path, "central_time string, central_lat double, central_lon double, filename string, polygon_file string")
     nth = F.row_number().over(Window.partitionBy(F.substring("central_time", 1, 10)).orderBy("place"))
     return rows.select("central_time", F.round("central_lat", 6).alias("central_lat"), F.round("central_lon", 6).alias("central_lon"), "filename", "polygon_file", nth.alias("nth"))
 
 
 def circular_mean_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean longitudes of bands of latitude, on the side of the meridian of 180 degrees and on the other."""
     lon, lat = _point_place(F.col("event_id"))
-    rows = _events(spark, sf_dir).select(lon.alias("longitude"), F.floor((lat + 90) / 7).cast("int").alias("band")).filter((F.col("longitude") > 100) | (F.col("longitude") < -150))
-    return rows.groupBy("band").agg(F.round(geometry.circular_mean(F.col("longitude")), 6).alias("mean_lon"), F.count("*").alias("n"))
+    rows = _events(spark, sf_dir).select(lon.alias("longitude"), F.floor((lat + 90) / 7).cast("int").alias("band"))
+    rows = rows.withColumn("far", (F.col("longitude") > 100) | (F.col("longitude") < -150))
+    return rows.groupBy("band", "far").agg(F.round(geometry.circular_mean(F.col("longitude")), 6).alias("mean_lon"), F.count("*").alias("n"))
 
 
 def latest_version_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,8 +477,8 @@ def date_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     low, high = map(str, _ends(events))
     found = catalogue.date_chunks(spark, low, high, 3)
-    days = events.select(times.utc_date(F.col("us")).alias("day"))
-    joined = days.join(F.broadcast(found), F.col("day").between(F.col("chunk_start"), F.col("chunk_end")))
+    start = F.to_date(F.lit(low))
+    joined = events.select(F.date_add(start, (F.datediff(times.utc_date(F.col("us")), start) / 3).cast("int") * 3).alias("chunk_start")).join(found, "chunk_start")
     return joined.groupBy("chunk_start", "chunk_end", "label").agg(F.count("*").alias("n")).select(F.col("chunk_start").cast("string").alias("chunk_start"), F.col("chunk_end").cast("string").alias("chunk_end"), "label", "n")
 
 
@@ -408,25 +515,30 @@ def catalogue_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalogue_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings of each day as TSV files, files on disk for some of them, and what the catalogue expects: what is missing per day, with two days that list nothing."""
-    path = scratch_path(spark, "catalogue")
-    events = _events(spark, sf_dir)
-    first = events.filter(f"event_id % {_A_FILE} = 0").withColumn("chunk_start", times.utc_date(F.col("us")))
-    name = F.concat(F.lit(" D"), F.col("event_id").cast("string"))
-    raw = first.select(name.alias("dipFilename"), F.lit("u").alias("productURI"), times.iso_text(F.timestamp_micros("us")).alias("beginAcquisition"), "chunk_start")
+    """Listings of each day as TSV files, a granule for every hundred events; files on disk, of which an inventory is kept; what the catalogue expects.
+
+    What is missing per day, with two days that list nothing, and whether the second update of the
+    inventory, after files of every fourth day had come, listed the day.
+    """
+    path, events = scratch_path(spark, "catalogue"), _events(spark, sf_dir)
+    first = _grouped(events).withColumnRenamed("day", "chunk_start")
+    name = F.concat(F.lit(" D"), F.col("g").cast("string"))
+    raw = first.select(name.alias("dipFilename"), F.lit("u").alias("productURI"), times.iso_text(F.timestamp_micros("low")).alias("beginAcquisition"), "chunk_start")
     raw.write.partitionBy("chunk_start").option("sep", "\t").option("header", True).csv(f"{path}/listing")
     listing = catalogue.with_targets(files.read_catalogue(spark, f"{path}/listing"), "http://host/meta", f"{path}/out")
-    stored = first.filter("event_id % 300 = 0").select(F.col("chunk_start").cast("string").alias("day"), F.concat(F.col("event_id").cast("string"), F.lit("_MD.XML")).alias("name"), F.lit("x").alias("value"))
-    stored.write.partitionBy("day", "name").text(f"{path}/out")
-    inventory = files.read_inventory(spark, f"{path}/out", "part-*")
-    # The sink names files itself: here the folders carry what stands in their place.
-    target = F.regexp_replace("target_path", r"/day=([^/]*)/name=([^/]*)/.*$", "/$1/D$2")
+    stored = first.filter("g % 3 = 0").select(F.col("chunk_start").alias("day"), F.concat(F.lit("D"), F.col("g").cast("string"), F.lit("_MD.XML")).alias("file_name"), F.lit("x").alias("xml"))
+    late = F.datediff("day", F.lit("2024-01-01").cast("date")) % 4 == 0
+    _write_tree(stored.filter(~late), f"{path}/out", "-")
+    inventory.update_inventory(spark, f"{path}/out", f"{path}/inventory", settle_ms=0)
+    _write_tree(stored.filter(late), f"{path}/out", "-")
+    again = inventory.update_inventory(spark, f"{path}/out", f"{path}/inventory", settle_ms=0)
     low, high = _ends(events)
     chunks = catalogue.date_chunks(spark, str(low - dt.timedelta(1)), str(high + dt.timedelta(1)))
     expected = first.groupBy("chunk_start").agg((F.count("*") + 1).alias("expected"))
     chunks = chunks.join(expected, "chunk_start", "left").fillna(0, ["expected"])
-    _, summary = catalogue.reconcile(listing, inventory.select(target.alias("target_path")), chunks, cap=1 << 40)
-    return summary.withColumn("chunk_start", F.col("chunk_start").cast("string"))
+    _, summary = catalogue.reconcile(listing, inventory.kept_inventory(spark, f"{path}/out", f"{path}/inventory"), chunks, cap=1 << 40)
+    day = F.col("chunk_start").cast("string")
+    return summary.withColumn("chunk_start", day).withColumn("listed_again", day.isin(again) if again else F.lit(False))
 
 
 QUERIES = {
@@ -435,6 +547,7 @@ QUERIES = {
         colocate_interval_pip, colocate_wide, colocate_month, colocate_multi_folder, colocate_shapes, colocate_from_files, matches_in_order, geojson_rejects, points_from_xml, granule_files, granule_rejects,
         granules_kept, footprint_midpoint_centre, footprints_job, footprint_summary, manifest_days, manifest_tree, circular_mean_by_group, latest_version_per_group, unwrap_longitudes, split_rings,
         normalise_rings, clean_rings, geojson_export, geojson_flatten, filename_time, date_chunks, month_keys, catalogue_missing, catalogue_reconcile, catalogue_job,
+        colocate_month_tables, colocate_geojson_folder, late_manifests, point_rejects, catalogue_capped, chunk_requests,
     )
 }
 
@@ -472,6 +585,7 @@ _LATEST = f"SELECT *, {_NAMED} AS file_name FROM ({_MANIFEST}) QUALIFY row_numbe
 _HALF = "{0} + {1} // 2 + CASE WHEN {1} % 2 = 1 AND ({1} // 2) % 2 = 1 THEN 1 ELSE 0 END"
 _SAFE = "regexp_replace({0}, '[^0-9A-Za-z]', '', 'g')"
 _MANIFEST_RING = "unnest([" + ", ".join(f"{{'i': {i}, 'x': (event_id * 31337) % 340 - 170 + ({a}), 'y': (event_id * 2713) % 160 - 80 + ({b})}}" for i, (a, b) in enumerate(_CORNERS)) + "])"
+_GROUPS = f"SELECT event_id // {_A_FILE} AS g, epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high, min(ts)::DATE AS day, count(*) AS n FROM events GROUP BY 1"
 _LISTING = """
     WITH l AS (SELECT 'D' || event_id AS dip, event_id, ts::DATE AS chunk_start FROM events WHERE event_id % 10 <> 3),
     t AS (SELECT *, 'out/' || chunk_start || '/' || dip || '_MD.XML' AS target_path FROM l)"""
@@ -480,9 +594,11 @@ _CHAIN = f"""
     e AS ({_MANIFEST} WHERE event_id % 5 = 1),
     v AS (SELECT *, {_NAMED} AS file_name, us - us % 600000000 AS start_us, (event_id % 11) * 1000001 AS d FROM e QUALIFY row_number() OVER (PARTITION BY event_id % 2, day, group_key ORDER BY version DESC, path) = 1),
     w AS (SELECT *, {_HALF.format("start_us", "d")} AS mid FROM v),
-    s AS (SELECT event_id AS fid, mid AS fp_us, ((event_id * 31337) % 160 + 10)::DOUBLE AS cx, ((event_id * 2713) % 160 - 80)::DOUBLE AS cy, file_name, {_FOLDER_OF.format("event_id")} AS folder, {_TIME.format("mid")} AS central_time,
+    s AS (SELECT event_id AS fid, mid AS fp_us, ((event_id * 31337) % 160 + 10)::DOUBLE AS cx, ((event_id * 2713) % 160 - 80)::DOUBLE AS cy, file_name, day, {_FOLDER_OF.format("event_id")} AS folder, {_TIME.format("mid")} AS central_time,
           row_number() OVER (PARTITION BY event_id % 2, mid ORDER BY file_name, path) - 1 AS k FROM w),
     z AS (SELECT *, {_SAFE.format("central_time")} || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.geojson' AS polygon_file FROM s)"""
+# The same of all events, in one folder.
+_CHAIN_ALL = _CHAIN.replace(" WHERE event_id % 5 = 1", "").replace("event_id % 2, ", "")
 _CHAIN_MATCH = f"WITH {_CHAIN}, {_near(1, 'SELECT fid, fp_us, cx, cy FROM z', _POINTS.replace('epoch_us(ts)', 'epoch_us(ts) - epoch_us(ts) % 1000'))}"
 
 
@@ -551,10 +667,10 @@ ORACLES = {
         SELECT strftime(make_timestamp(pt_us), '%Y-%m') AS month, {_MILLIS.format("pt_us")} AS point_time, lat, lon, row_number() OVER (PARTITION BY pt_us, lat, lon ORDER BY z.fp_us, folder DESC, polygon_file)::INTEGER AS nth,
                folder, polygon_file AS file, {_OFFSET.format("z.fp_us")} AS footprint_time, (z.fp_us - pt_us) / 1e6 AS seconds, true AS in_order FROM n JOIN p USING (pid) JOIN z USING (fid)""",
     "footprint_summary": f"""
-        WITH {_CHAIN}, c AS (SELECT fid, unnest([{", ".join(f"{{'x': cx + ({a}), 'y': cy + ({b})}}" for a, b in _CORNERS)}]) AS v FROM z),
+        WITH {_CHAIN_ALL}, c AS (SELECT fid, unnest([{", ".join(f"{{'x': cx + ({a}), 'y': cy + ({b})}}" for a, b in _CORNERS)}]) AS v FROM z),
         g AS (SELECT fid, avg(v.y) AS lat, degrees(atan2(sum(sin(radians(v.x))), sum(cos(radians(v.x))))) AS lon FROM c GROUP BY fid)
-        SELECT central_time, round(lat, 6) AS central_lat, round(lon, 6) AS central_lon, file_name AS filename, polygon_file, row_number() OVER (PARTITION BY central_time[:10] ORDER BY central_time, file_name)::INTEGER AS nth
-        FROM z JOIN g USING (fid) WHERE fid % 2 = 0""",
+        SELECT central_time, round(lat, 6) AS central_lat, round(lon, 6) AS central_lon, file_name AS filename, polygon_file, row_number() OVER (PARTITION BY central_time[:10] ORDER BY central_time, day, file_name)::INTEGER AS nth
+        FROM z JOIN g USING (fid)""",
     "geojson_rejects": f"""
         SELECT '/f/' || folder || '/' || name AS path, folder AS source_folder, name AS file_name, 'malformed JSON' AS reason
         FROM (SELECT {_FOLDER_OF.format("event_id")} AS folder, {_SAFE.format(_TIME.format("epoch_us(ts)"))} || '_' || event_id || '.geojson' AS name FROM events WHERE (event_id // 5) % 9 = 8)""",
@@ -590,13 +706,35 @@ ORACLES = {
         a AS (SELECT day, count(*) AS manifests FROM ({_MANIFEST}) GROUP BY day), b AS (SELECT day, count(*) AS selected FROM ({_LATEST}) GROUP BY day)
         SELECT day::VARCHAR AS day, coalesce(manifests, 0) AS manifests, coalesce(selected, 0) AS selected FROM d LEFT JOIN a USING (day) LEFT JOIN b USING (day)""",
     "manifest_tree": f"""
-        WITH e AS ({_MANIFEST} WHERE event_id % {_A_FILE} = 0), t AS (SELECT day, {_HALF.format("us", "((event_id % 11) * 1000001)")} AS mid, ((event_id * 2713) % 160 - 80) + {sum(b for _, b in _CORNERS) / 4} AS lat FROM e),
+        WITH e AS ({_GROUPS}), t AS (SELECT day, {_HALF.format("low", "(high - low)")} AS mid, (g * 2713) % 160 - 80 AS lat FROM e),
         d AS (SELECT unnest(generate_series((SELECT min(day) FROM e) - INTERVAL 1 DAY, (SELECT max(day) FROM e) + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day)
         SELECT day::VARCHAR AS day, mid IS NOT NULL AS present, CASE WHEN mid IS NOT NULL THEN {_TIME.format("mid")} END AS central_time, round(lat, 6)::DOUBLE AS central_lat FROM d LEFT JOIN t USING (day)""",
+    "late_manifests": f"""
+        WITH e AS ({_GROUPS}), v AS (SELECT *, CASE WHEN g % 7 = 0 THEN 2 ELSE 1 END AS version, {_HALF.format("low", "(high - low)")} AS mid FROM e),
+        n AS (SELECT *, 'A_B_C_D_E_F_G_H_' || g || '_' || version || '_x.manifest' AS file_name, {_TIME.format("mid")} AS central_time FROM v),
+        k AS (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY file_name) - 1 AS k, bool_or(version = 2) OVER (PARTITION BY day) AS again FROM n)
+        SELECT day::VARCHAR AS day, file_name, central_time, ((g * 2713) % 160 - 80)::DOUBLE AS central_lat, 2 AS n_rings, {_SAFE.format("central_time")} || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.geojson' AS polygon_file, again FROM k""",
+    "colocate_geojson_folder": f"""
+        WITH p AS ({_POINTS}), e AS ({_GROUPS}), f AS (SELECT *, {_HALF.format("low", "(high - low)")} AS fp_us, g % 9 - 4 AS cx, (g * 2713) % 160 - 80 AS cy, 'A_B_C_D_E_F_G_H_' || g || '_1_x.manifest' AS manifest FROM e),
+        n AS (SELECT *, {_TIME.format("fp_us")} AS central_time, row_number() OVER (PARTITION BY g % 2, fp_us ORDER BY manifest) - 1 AS k FROM f)
+        SELECT lat AS latitude, lon AS longitude, {_MILLIS.format("pt_us")} AS point_timestamp, {_FOLDER_OF.format("g")} AS source_folder, {_SAFE.format("central_time")} || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.geojson' AS geojson_filename,
+               {_OFFSET.format("fp_us")} AS footprint_timestamp, (fp_us - pt_us) / 1e6 AS time_diff_seconds
+        FROM p JOIN n ON fp_us BETWEEN pt_us - 14400000000 AND pt_us + 14400000000 AND abs(lon - cx) <= 6 + 1e-9 AND abs(lat - cy) <= 5 + 1e-9""",
+    "point_rejects": f"""
+        SELECT latitude, longitude, "timestamp", count(*) AS n FROM (
+            SELECT CASE WHEN event_id % 9 <> 1 THEN (event_id % 90)::VARCHAR END AS latitude, CASE WHEN event_id % 9 = 4 THEN 'x' || event_id ELSE (event_id % 180)::VARCHAR END AS longitude,
+                   CASE WHEN event_id % 9 <> 7 THEN {_MILLIS.format("epoch_us(ts)")} END AS "timestamp" FROM events WHERE event_id % 9 IN (1, 4, 7)) GROUP BY ALL""",
+    "catalogue_capped": """
+        WITH c AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1)
+        SELECT day::VARCHAR AS chunk_start, n AS expected FROM c WHERE n >= (SELECT floor(avg(n)) FROM c)""",
+    "chunk_requests": """
+        WITH r AS (SELECT event_id, ts::DATE AS a, (event_id % 12 - 2)::INTEGER AS more, (event_id % 5)::INTEGER AS days FROM events),
+        s AS (SELECT *, CASE WHEN more < 0 THEN 'start after end' WHEN days < 1 THEN 'days below 1' END AS reason FROM r)
+        SELECT event_id, CASE WHEN reason IS NULL THEN more // days + 1 ELSE 0 END::BIGINT AS n, CASE WHEN reason IS NULL THEN (a + (more // days) * days)::VARCHAR END AS last, reason FROM s""",
     "circular_mean_by_group": """
         WITH p AS (SELECT ((event_id * 7919) % 3600) * 0.1e0 - 180 AS lon, ((event_id * 104729) % 1800) * 0.1e0 - 90 AS lat FROM events),
-        g AS (SELECT floor((lat + 90) / 7)::INTEGER AS band, degrees(atan2(sum(sin(radians(lon))), sum(cos(radians(lon))))) AS m, count(*) AS n FROM p WHERE lon > 100 OR lon < -150 GROUP BY 1)
-        SELECT band, round(CASE WHEN m <= -180 THEN m + 360 ELSE m END, 6) AS mean_lon, n FROM g""",
+        g AS (SELECT floor((lat + 90) / 7)::INTEGER AS band, lon > 100 OR lon < -150 AS far, degrees(atan2(sum(sin(radians(lon))), sum(cos(radians(lon))))) AS m, count(*) AS n FROM p GROUP BY 1, 2)
+        SELECT band, far, round(CASE WHEN m <= -180 THEN m + 360 ELSE m END, 6) AS mean_lon, n FROM g""",
     "latest_version_per_group": f"SELECT day::VARCHAR AS day, group_key, version, file_name, path FROM ({_LATEST})",
     "unwrap_longitudes": """
         WITH v AS (SELECT user_id AS ring_id, event_id AS pos, ((event_id * 104729) % 179 - 89)::DOUBLE AS lat, ((event_id * 7919) % 359 - 179)::DOUBLE AS lon FROM events),
@@ -628,6 +766,8 @@ ORACLES = {
     "catalogue_reconcile": _LISTING + " SELECT chunk_start::VARCHAR AS chunk_start, count(*) AS expected, count(*) AS listed, count(*) FILTER (WHERE event_id % 3 = 0) AS present, count(*) FILTER (WHERE event_id % 3 <> 0) AS missing FROM t GROUP BY 1",
     "catalogue_job": f"""
         WITH d AS (SELECT unnest(generate_series(min(ts::DATE) - INTERVAL 1 DAY, max(ts::DATE) + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM events),
-        c AS (SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (WHERE event_id % 300 = 0) AS p FROM events WHERE event_id % {_A_FILE} = 0 GROUP BY 1)
-        SELECT day::VARCHAR AS chunk_start, coalesce(n + 1, 0) AS expected, coalesce(n, 0) AS listed, coalesce(p, 0) AS present, coalesce(n - p, 0) AS missing FROM d LEFT JOIN c USING (day)""",
+        c AS (SELECT day, count(*) AS n, count(*) FILTER (WHERE g % 3 = 0) AS p FROM ({_GROUPS}) GROUP BY 1)
+        SELECT day::VARCHAR AS chunk_start, coalesce(n + 1, 0) AS expected, coalesce(n, 0) AS listed, coalesce(p, 0) AS present, coalesce(n - p, 0) AS missing,
+               coalesce(p, 0) > 0 AND date_diff('day', DATE '2024-01-01', day) % 4 = 0 AS listed_again FROM d LEFT JOIN c USING (day)""",
+    "colocate_month_tables": f"WITH {_near(1, _SHAPES.replace('epoch_us(ts)', f'epoch_us(ts) + {_LATER}'), _POINTS.replace('epoch_us(ts)', f'epoch_us(ts) + {_LATER}'))}{_MATCH}{_ALL} WHERE make_timestamp(pt_us) < TIMESTAMP '2024-02-01'",
 }

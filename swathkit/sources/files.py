@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from swathkit.functions import geojson, times
 from swathkit.functions.geometry import let
 from swathkit.operators import catalogue
+from swathkit.sources.scratch import remove, scratch_path
 
 
 def _file() -> Column:
@@ -31,6 +32,11 @@ def _there(spark: SparkSession, path: str) -> str | None:
     return system.makeQualified(found).toUri().toString() if system.exists(found) else None
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(found).isFile()
+
+
 def _tail(base: str) -> str:
     """A full path without its scheme's slashes, of which listings show one or three."""
     return "/" + base.partition(":")[2].lstrip("/") if ":" in base else base
@@ -55,7 +61,7 @@ def read_inventory(spark: SparkSession, out_dir: str, files: str = "*_MD.XML") -
 
 
 def read_granules(spark: SparkSession, path: str, recursive: bool = False, files: str = "*.XML") -> DataFrame:
-    """path, file_name, granule_group, xml of a file, or of all files of a folder that match a pattern.
+    """path, file_name, granule_group, xml of a file of any name, or of all files of a folder that match a pattern.
 
     granule_group is the first folder below path, path's own name for files right in it, and the
     file's name for a single file.
@@ -64,7 +70,7 @@ def read_granules(spark: SparkSession, path: str, recursive: bool = False, files
     if base is None:
         raise FileNotFoundError(path)
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    single = path.endswith((".XML", ".xml"))
+    single = _is_file(spark, path)
     rows = (reader if single else reader.option("pathGlobFilter", files)).text(path, wholetext=True)
     inside = F.regexp_replace(F.substring_index(_file(), _tail(base), -1), "^/", "")
     group = _name(_file()) if single else F.when(inside.contains("/"), F.substring_index(inside, "/", 1)).otherwise(F.lit(base.rstrip("/").rsplit("/", 1)[-1]))
@@ -73,19 +79,44 @@ def read_granules(spark: SparkSession, path: str, recursive: bool = False, files
 
 def read_manifests(spark: SparkSession, root: str, start: str, end: str, files: str = "*.manifest") -> tuple[DataFrame, DataFrame]:
     """(manifests: day, path, file_name, xml of root/YYYY/MM/DD/** for an inclusive range of dates; days: day, and whether it has a folder)."""
+    return read_manifest_days(spark, root, dates_between(start, end), files)
+
+
+def dates_between(start: str, end: str) -> list[dt.date]:
+    """An inclusive range of dates."""
     low, high = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
     if low > high:
         raise ValueError("start must not be after end")
-    dates = [low + dt.timedelta(n) for n in range((high - low).days + 1)]
+    return [low + dt.timedelta(n) for n in range((high - low).days + 1)]
+
+
+def read_manifest_days(spark: SparkSession, root: str, dates: list[dt.date], files: str = "*.manifest") -> tuple[DataFrame, DataFrame]:
+    """What read_manifests gives, for some dates."""
+    rows, days = _manifest_files(spark, root, dates, lambda reader, folders: reader.text(folders, wholetext=True), files)
+    if rows is None:
+        return spark.createDataFrame([], "day date, path string, file_name string, xml string"), days
+    return rows.select("day", _file().alias("path"), _name(_file()).alias("file_name"), F.col("value").alias("xml")), days
+
+
+def list_manifests(spark: SparkSession, root: str, dates: list[dt.date], files: str = "*.manifest") -> DataFrame:
+    """day, path, size, modified of the manifests of some dates; nothing of them is read."""
+    rows, _ = _manifest_files(spark, root, dates, lambda reader, folders: reader.format("binaryFile").load(folders), files)
+    if rows is None:
+        return spark.createDataFrame([], "day date, path string, size long, modified timestamp")
+    return rows.select("day", "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def _manifest_files(spark: SparkSession, root: str, dates: list[dt.date], load, files: str) -> tuple[DataFrame | None, DataFrame]:
+    """(rows that load gives of the folders by date that are there, with their day; days: which are there)."""
     there = {d: _there(spark, f"{root.rstrip('/')}/{d:%Y/%m/%d}") for d in dates}
     days = spark.createDataFrame([(d, p is not None) for d, p in there.items()], "day date, present boolean")
     folders = [p for p in there.values() if p is not None]
     if not folders:
-        return spark.createDataFrame([], "day date, path string, file_name string, xml string"), days
-    rows = spark.read.option("pathGlobFilter", files).option("recursiveFileLookup", "true").text(folders, wholetext=True)
+        return None, days
+    rows = load(spark.read.option("pathGlobFilter", files).option("recursiveFileLookup", "true"), folders)
     base = _tail(folders[0].rstrip("/"))[: -len("/YYYY/MM/DD")]
     day = F.to_date(F.substring(F.substring_index(_file(), base, -1), 2, 10), "yyyy/MM/dd")
-    return rows.select(day.alias("day"), _file().alias("path"), _name(_file()).alias("file_name"), F.col("value").alias("xml")), days
+    return rows.withColumn("day", day), days
 
 
 def read_points(spark: SparkSession, path: str, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
@@ -157,6 +188,25 @@ def write_footprints(footprints: DataFrame, path: str) -> None:
     footprints.select("day", text.alias("value")).write.mode("overwrite").partitionBy("day").text(path)
 
 
+def export_geojson(footprints: DataFrame, folder: str) -> None:
+    """Each footprint as a file of its own, named by polygon_file, right in a folder: the form that other tools exchange.
+
+    The features are written by the tasks, the files named afterwards, a rename for each; names must not repeat.
+    """
+    spark = footprints.sparkSession
+    text = geojson.feature_text(F.col("rings"), F.col("central_time"), F.col("file_name"))
+    written = scratch_path(spark, "geojson")
+    footprints.select("polygon_file", text.alias("value")).write.partitionBy("polygon_file").text(written)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(folder))
+    for found in system.globStatus(path(f"{written}/polygon_file=*/part-*")):
+        name = found.getPath().getParent().getName().partition("=")[2]
+        if not system.rename(found.getPath(), path(f"{folder}/{name}")):
+            raise FileExistsError(f"{folder}/{name}")
+    remove(spark, [written])
+
+
 def write_summary(footprints: DataFrame, path: str, crlf: bool = False) -> None:
     """CSV with central_time, central_lat, central_lon, filename, polygon_file, in order of the time's text; an error if there are none."""
     if footprints.isEmpty():

@@ -1,16 +1,18 @@
 import datetime as dt
 import json
 import math
+import os
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from swathkit.functions import geometry, times
-from swathkit.operators import catalogue, rings, tracks
+from swathkit.operators import catalogue, refresh, rings, tracks
 from swathkit.operators.colocate import HOUR, by_bucket, colocate, deal, keyed_points, prepare_footprints
-from swathkit.sources import files
+from swathkit.sources import files, inventory, tables
 
 RINGS = "footprint_id string, rings array<array<struct<lon:double,lat:double>>>"
 CASES = {
@@ -350,6 +352,125 @@ def test_rings_of_many_vertices(spark, shape):
     got = {(r.longitude, r.latitude) for r in colocate(_points(spark, [(x, y, at) for x, y in points]), found, cell_deg=30.0).collect()}
     want = {(x, y) for x, y in points[:400] if _even_odd(ring, x, y)} | set(ring[::97])
     assert got == want and 0 < len(want) < 440
-    one = spark.createDataFrame([([(float(x), float(y)) for x, y in ring],)], "r array<struct<lon:double,lat:double>>").selectExpr(f"{geometry.edges_sql('r')} as e").selectExpr(f"{geometry.banded_sql('e')} as b")
-    sizes = one.selectExpr("size(b.edges) as n_all", "size(b.starts) as bands", f"size({geometry.edges_at_sql('3D', 'b')}) as few").first()
+    one = spark.createDataFrame([([(float(x), float(y)) for x, y in ring],)], "r array<struct<lon:double,lat:double>>").selectExpr(f"{geometry.edges_sql('r')} as ring_edges").selectExpr(f"{geometry.banded_sql('ring_edges')} as bands")
+    sizes = one.selectExpr("size(bands.edges) as n_all", "size(bands.starts) as bands", f"size({geometry.edges_at_sql('3D', 'bands')}) as few").first()
     assert sizes["n_all"] < 5 * n and (shape != "round" or (sizes["bands"] > 300 and sizes["few"] < 40))
+
+
+def test_xml_in_one_parse(spark):
+    """Names with and without namespaces, text cut by comments, children and entities, elements without text, prefixes that stand for nothing."""
+    from swathkit.functions.xml import read_elements
+
+    one = lambda text, by_end=False: read_elements(text, ("beginPosition", "endPosition"), "posList", by_end)
+    doc = '<g:r xmlns:g="u"><g:beginPosition>a<!-- x -->b&amp;<![CDATA[<]]></g:beginPosition><endPosition>c<i>d</i>e</endPosition><endPosition>f</endPosition><g:posList> 1 2\n3 4 </g:posList><g:posList>5 x</g:posList></g:r>'
+    assert one(doc) == (True, ["ab&<", "c"], [[1.0, 2.0, 3.0, 4.0]])
+    assert one("<r><beginPosition/><beginPosition>b</beginPosition><thePosList>1</thePosList></r>") == (True, ["", None], [])
+    ending = read_elements("<r><aTime/><bTime>t</bTime><xposList>1 2</xposList><posList>3 y</posList><posList/></r>", ("Time", "none"), "posList", True)
+    assert ending == (True, ["t", None], [[1.0, 2.0], None])
+    for bad in ("<g:r/>", "<r>", "", None, "<r/><r/>", "<r>&</r>"):
+        assert one(bad)[0] is False
+
+
+def test_single_files_of_any_name(spark, tmp_path):
+    for name in ("meta.txt", "m.XML", "n.xml", "plain"):
+        (tmp_path / name).write_text(_granule(2)[1])
+        rows = files.read_granules(spark, str(tmp_path / name)).collect()
+        assert [(r.file_name, r.granule_group) for r in rows] == [(name, name)]
+    assert [r.file_name for r in files.read_granules(spark, str(tmp_path)).collect()] == ["m.XML"]
+    with pytest.raises(FileNotFoundError):
+        files.read_granules(spark, str(tmp_path / "none"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_by_month_are_pruned(spark, tmp_path):
+    """A month's footprints come from its folder and its neighbours', filters reach the scan, and a month written again leaves the others."""
+    us = lambda text: int(dt.datetime.fromisoformat(text + "+00:00").timestamp()) * 1_000_000
+    times_ = ["2024-01-15T00:00:00", "2024-01-31T23:00:00", "2024-02-01T01:00:00", "2024-02-20T00:00:00", "2024-02-29T21:00:00", "2024-03-01T03:00:00", "2024-03-01T05:00:00", "2024-05-01T00:00:00"]
+    ring = "array(array(named_struct('lon', x - 1, 'lat', -1D), named_struct('lon', x + 1, 'lat', -1D), named_struct('lon', x + 1, 'lat', 1D), named_struct('lon', x - 1, 'lat', 1D)))"
+    rows = spark.createDataFrame([(us(t), f"{k}.geojson", float(10 * k)) for k, t in enumerate(times_)], "us long, polygon_file string, x double")
+    made = rows.selectExpr("timestamp_micros(us) as central_ts", "polygon_file", f"{ring} as rings")
+    folder = str(tmp_path / "north")
+    tables.write_footprints_table(made, folder)
+    found = tables.read_footprints_table(spark, [folder], "2024-02", 4 * HOUR)
+    assert sorted(r.file_name for r in found.collect()) == [f"{k}.geojson" for k in (1, 2, 3, 4, 5)]
+    assert {f.split("month=")[1][:7] for f in found.inputFiles()} >= {"2024-02"}
+    plan = _plan(found)
+    assert "PartitionFilters: [month#" in plan and "IN (2024-01,2024-02,2024-03)" in plan and "GreaterThanOrEqual(footprint_us" in plan
+    boxed = tables.read_footprints_table(spark, [folder], box=(9.5, 21, 0, 5))
+    assert sorted(r.file_name for r in boxed.collect()) == ["1.geojson", "2.geojson"] and "GreaterThanOrEqual(x1,9.5)" in _plan(boxed)
+    points = spark.createDataFrame([(0.0, float(10 * k), t, us(t), k) for k, t in enumerate(times_)], "latitude double, longitude double, timestamp string, point_us long, point_id long")
+    tables.write_points_table(points, str(tmp_path / "points"))
+    at = tables.read_points_table(spark, str(tmp_path / "points"), "2024-02")
+    assert sorted(r.point_id for r in at.collect()) == [2, 3, 4] and re.search(r"PartitionFilters: \[[^]]*month#\d+ = 2024-02", _plan(at)) and "GreaterThanOrEqual(point_us" in _plan(at)
+    assert sorted(r.geojson_filename for r in colocate(at, found).collect()) == ["2.geojson", "3.geojson", "4.geojson"]
+    tables.write_points_table(points.filter("point_id = 3").withColumn("latitude", F.lit(9.0)), str(tmp_path / "points"))
+    assert {(r.point_id, r.latitude) for r in tables.read_points_table(spark, str(tmp_path / "points")).collect()} == {(k, 0.0) for k in (0, 1, 5, 6, 7)} | {(3, 9.0)}
+
+
+def test_inventory_lists_changed_days_only(spark, tmp_path):
+    out, table = tmp_path / "out", str(tmp_path / "kept")
+    update = lambda: inventory.update_inventory(spark, str(out), table)
+    have = lambda: sorted(r.target_path.removeprefix(str(out)) for r in inventory.kept_inventory(spark, str(out), table).collect())
+
+    def put(day, *names, old=True):
+        (out / day).mkdir(parents=True, exist_ok=True)
+        for name in names:
+            (out / day / name).write_text("x")
+        if old:
+            os.utime(out / day, (1_700_000_000 + len(list((out / day).iterdir())),) * 2)
+
+    assert update() == [] and have() == []
+    put("2024-08-01", "a_MD.XML", "b_MD.XML", "c.tmp")
+    put("2024-08-02", "d_MD.XML")
+    assert update() == ["2024-08-01", "2024-08-02"]
+    assert have() == ["/2024-08-01/a_MD.XML", "/2024-08-01/b_MD.XML", "/2024-08-02/d_MD.XML"]
+    assert update() == []
+    put("2024-08-02", "e_MD.XML")
+    put("2024-08-03", "f_MD.XML", old=False)
+    assert update() == ["2024-08-02", "2024-08-03"]
+    # A folder that changed just now is listed once more; one that is gone leaves the inventory.
+    (out / "2024-08-01/a_MD.XML").unlink()
+    (out / "2024-08-01/b_MD.XML").unlink()
+    (out / "2024-08-01/c.tmp").unlink()
+    (out / "2024-08-01").rmdir()
+    assert update() == ["2024-08-03", "2024-08-01"]
+    assert have() == ["/2024-08-02/d_MD.XML", "/2024-08-02/e_MD.XML", "/2024-08-03/f_MD.XML"]
+
+
+def test_late_manifests_change_their_day_only(spark, tmp_path):
+    xml = "<x><startTime>{0}T00:00:00Z</startTime><stopTime>{0}T00:00:02Z</stopTime><posList>0 {1} 0 5 5 5</posList></x>"
+
+    def put(day, name, east=1):
+        at = tmp_path / "root" / day.replace("-", "/") / "sub"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / name).write_text(xml.format(day, east))
+
+    name = "A_B_C_D_E_F_G_H_I_{}_x.manifest".format
+    root, table = str(tmp_path / "root"), str(tmp_path / "table")
+    run = lambda: [str(d) for d in refresh.refresh_footprints(spark, root, "2024-08-01", "2024-08-04", table)]
+    whole = lambda: tracks.footprints(files.read_manifests(spark, root, "2024-08-01", "2024-08-04")[0])[0]
+    rows = lambda df: sorted(map(repr, df.select("day", "path", "file_name", "central_time", "central_lat", "polygon_file", "rings", "straddles").collect()))
+    for day in ("2024-08-01", "2024-08-02", "2024-08-04"):
+        put(day, name(1))
+    assert run() == ["2024-08-01", "2024-08-02", "2024-08-04"] and rows(refresh.kept_footprints(spark, table)) == rows(whole())
+    assert run() == []
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "table/footprints/day=2024-08-01").glob("*.parquet")}
+    put("2024-08-02", name(2), 2)
+    put("2024-08-03", name(1))
+    assert run() == ["2024-08-02", "2024-08-03"] and rows(refresh.kept_footprints(spark, table)) == rows(whole())
+    (tmp_path / "root/2024/08/04/sub" / name(1)).unlink()
+    assert run() == ["2024-08-04"] and rows(refresh.kept_footprints(spark, table)) == rows(whole())
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "table/footprints/day=2024-08-01").glob("*.parquet")}
+
+
+def test_requests_and_caps(spark):
+    day = lambda n: dt.date(2024, 8, n)
+    rows = [("a", day(1), day(10), 3), ("b", day(1), day(1), 9), ("c", day(2), day(1), 1), ("d", day(1), day(2), 0), ("e", None, day(1), 1)]
+    chunks, rejects = catalogue.chunk_requests(spark.createDataFrame(rows, "k string, start date, end date, days long"))
+    assert sorted((r.k, r.chunk_start.day, r.chunk_end.day) for r in chunks.collect()) == [("a", 1, 3), ("a", 4, 6), ("a", 7, 9), ("a", 10, 10), ("b", 1, 1)]
+    assert sorted((r.k, r.reason) for r in rejects.collect()) == [("c", "start after end"), ("d", "days below 1"), ("e", "no start, end or days")]
+    counts = spark.createDataFrame([("x", 9_999), ("y", 10_000)], "chunk_start string, expected long")
+    assert [r.chunk_start for r in catalogue.over_cap(counts).collect()] == ["y"]
