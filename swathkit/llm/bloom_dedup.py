@@ -1,8 +1,8 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame functions only.
 
 Pass one sets two bits for every row, in one 64-bit word of a filter, and keeps the bits that were
-set by more than one row. What a task has set travels as arrays of 16-bit numbers, one for each block
-of words, not as rows. Pass two looks every row up: a row whose bits are not both taken twice has no
+set by more than one row. Bits are counted in each task before they travel, so a text that half of all
+rows have is one count for each task. Pass two looks every row up: a row whose bits are not both taken twice has no
 equal and passes straight through; the others, possible repeats, are shuffled by their hash. A full
 filter only sends more rows to the shuffle; it never changes the result.
 
@@ -37,13 +37,9 @@ def _place(keys: list[Column], bits: int) -> tuple[Column, list[Column]]:
 def filter_words(df: DataFrame, keys: list[Column], bits: int, times: int) -> DataFrame:
     """word, bits: the words of a filter of the keys of df, with the bits that at least `times` (1 or 2) rows set."""
     word, spots = _place(keys, bits)
-    low = (F.pmod(word, F.lit(1024)) * 64).cast("int")
-    slots = df.select(F.shiftright(word, 10).alias("block"), F.explode(F.array_distinct(F.array(*[low + s for s in spots]))).alias("slot"))
-    # One row for each task and block, however many rows of df there are.
-    blocks = slots.groupBy("block").agg(F.sort_array(F.collect_list((F.col("slot") - 32768).cast("short"))).alias("slots"))
-    again = F.filter("slots", lambda s, i: (i > 0) & (s == F.get("slots", F.greatest(i - 1, F.lit(0))))) if times == 2 else F.col("slots")
-    marked = blocks.select("block", F.explode(F.array_distinct(again)).alias("slot")).withColumn("slot", F.col("slot").cast("int") + 32768)
-    marked = marked.select((F.col("block") * 1024 + F.shiftright("slot", 6)).alias("word"), F.expr("shiftleft(1L, slot & 63)").alias("bit"))
+    set_ = df.select(F.explode(F.array_distinct(F.array(*[word * 64 + s for s in spots]))).alias("at"))
+    counted = set_.groupBy("at").agg(F.count("*").alias("n")).filter(F.col("n") >= times)
+    marked = counted.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
     return marked.groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 

@@ -1,8 +1,9 @@
 """Dated URL lists as validity intervals, joined as of each capture's fetch time. DataFrame functions only.
 
 A list entry says what holds for a host or domain from its date on: block, allow or remove. The
-entries of a key become intervals from one date to the next. A capture asks for its host and all
-parent domains, and the longest key with a valid interval decides.
+entries of a key become intervals from one date to the next. A capture asks for its host and those
+parent domains that have as many labels as some key of the list, and the longest key with a valid
+interval decides.
 
 The join is an equi-join on key and calendar month with the exact dates as a residual: an interval
 stands in every month it touches (within the months that captures have), a capture in one. So a key
@@ -12,6 +13,8 @@ only, and can be split further by the adaptive skew join; and no capture meets a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +27,16 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)", 1)
 
 
-def suffixes(host: Column, least_labels: int = 2) -> Column:
-    """The host and its parent domains of at least so many labels, longest first. An IP address has no parents."""
-    labels = F.split(host, r"\.")
-    count = F.size(labels) - F.lit(least_labels) + 1
-    every = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def suffixes(host: Column, least_labels: int = 2, sizes: Sequence[int] | None = None) -> Column:
+    """The host and its parent domains of at least so many labels, longest first; of `sizes` labels only, if given. An IP address has no parents."""
+    count = F.size(F.split(host, r"\."))
+    if sizes is None:
+        wanted = F.when(count >= least_labels, F.sequence(count, F.least(F.lit(least_labels), count), F.lit(-1)))
+    else:
+        wanted = F.filter(F.array(*map(F.lit, sorted((n for n in set(sizes) if n >= least_labels), reverse=True))).cast("array<int>"), lambda n: n <= count)
+    every = F.transform(F.coalesce(wanted, F.array().cast("array<int>")), lambda n: F.call_function("substring_index", host, F.lit("."), -n))
     address = host.startswith("[") | host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    return F.when(address, F.array(host)).when(count >= 1, every).otherwise(F.array().cast("array<string>"))
+    return F.when(address, F.array(host)).otherwise(every)
 
 
 def _date(column: str) -> Column:
@@ -61,6 +67,8 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     rows = captures.select(F.col(id_col).alias("page_id"), host_of(F.coalesce(F.col(url_col), F.lit(""))).alias("host"), _date(time_col).alias("fetch_date"))
     low, high = rows.agg(F.min("fetch_date"), F.max("fetch_date")).first()
     valid = intervals(entries)
+    # Numbers of labels that keys have: as many as the longest key has labels, at most.
+    sizes = [r[0] for r in entries.select(F.size(F.split("key", r"\."))).distinct().collect() if r[0] is not None]
     # Only months that captures have: the number of rows of an interval is bounded by the captures' range.
     start = F.greatest(F.col("since"), F.lit(low).cast("date"))
     stop = F.least(F.coalesce(F.date_sub("until", 1), F.lit(high).cast("date")), F.lit(high).cast("date"))
@@ -68,7 +76,7 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     named = [F.col("key").alias("list_key"), F.col("action").alias("list_action"), F.col("since").alias("listed_since"), "until"]
     valid = valid.filter(start <= stop).select(*named, F.explode(months).alias("list_month"))
     asked = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("month", F.trunc("fetch_date", "month"))
-    asked = asked.select("row", "page_id", "host", "fetch_date", "month", F.explode_outer(suffixes(F.col("host"))).alias("key"))
+    asked = asked.select("row", "page_id", "host", "fetch_date", "month", F.explode_outer(suffixes(F.col("host"), sizes=sizes)).alias("key"))
     in_force = (F.col("fetch_date") >= F.col("listed_since")) & (F.col("until").isNull() | (F.col("fetch_date") < F.col("until")))
     holds = (F.col("key") == F.col("list_key")) & (F.col("month") == F.col("list_month")) & in_force
     joined = asked.join(valid, holds, "left")

@@ -31,6 +31,9 @@ from swathkit.llm.shared import materialize, scratch_path
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
+#: The end of an HTTP header, whose lines may end in LF alone.
+_BLANK = re.compile(rb"\r?\n\r?\n")
+_FOLD = re.compile(rb"\r\n[ \t]+")
 FILE_BYTES = 16 << 20
 
 
@@ -44,8 +47,9 @@ class Record:
     verified: bool = False  # by its block digest
 
     def payload(self) -> bytes:
-        """The block, without the HTTP header of a response."""
-        return self.block.partition(_END)[2] if self.headers.get("content-type", "").startswith("application/http") else self.block
+        """The block, without the HTTP header of a response; all of it if no blank line ends one."""
+        blank = _BLANK.search(self.block) if self.headers.get("content-type", "").startswith("application/http") else None
+        return self.block[blank.end() :] if blank else self.block
 
 
 def _agrees(block: bytes, digest: str) -> bool | None:
@@ -69,7 +73,8 @@ def parse_record(data: bytes, at: int) -> Record | str:
     if _VERSION.search(data, version.end(), top + 2):
         return "version line within a header"
     headers = {}
-    for line in data[version.end() : top].split(b"\r\n"):
+    # A line that begins with white space goes on from the one before.
+    for line in _FOLD.sub(b" ", data[version.end() : top]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return "malformed header"

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -603,7 +604,7 @@ def test_curve_against_plain_version(spark, docs):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     dims = ["lang", "source", "n_chars"]
     edges = hilbert_shards.cuts(table, dims, 6)
-    code = lambda v: None if v is None else float(int.from_bytes(v.encode()[:6].ljust(6, b"\0"), "big")) if isinstance(v, str) else float(v)
+    code = lambda v: v if v is None or isinstance(v, str) else float(v)
     for k, name in enumerate(dims):
         values = sorted(code(r[k + 2]) for r in rows if r[k + 2] is not None)
         assert edges[k] == [values[max(0, -(-len(values) * q // 64) - 1)] for q in range(1, 64)]
@@ -642,3 +643,49 @@ def test_odd_hosts_and_dates(spark):
     entries = spark.createDataFrame([(k, "block", d) for k, d in [("[2001:db8::1]", "2024-01-01"), ("10.0.0.1", "2024-01-01"), ("3.4", "2024-01-01"), ("example.com", "2024-01-01"), ("example.com", "bad")]], "key string, action string, since string")
     got = {r.page_id: (r.list_key, r.blocked) for r in url_filter.judge_captures(pages, entries).collect()}
     assert got == {0: ("[2001:db8::1]", True), 1: (None, False), 2: (None, False), 3: ("example.com", True)}
+
+
+def test_text_cells_of_long_common_prefixes(spark):
+    """Values that differ only behind their first bytes spread over the cells, in order."""
+    names = [f"{scheme}://a-long-name-of-a-host.example/site{k:03}" for scheme in ("http", "https") for k in range(40)]
+    docs = spark.createDataFrame([(i, names[i % 80]) for i in range(4000)], "doc_id long, source string")
+    edges = hilbert_shards.cuts(docs, ["source"], 6)[0]
+    assert edges == sorted(edges, key=str.encode) and len(set(edges)) > 50
+    cells = {r.source: r.c for r in docs.select("source", hilbert_shards.quantise(docs, "source", edges).alias("c")).distinct().collect()}
+    assert [cells[n] for n in sorted(names)] == sorted(cells.values()) and len(set(cells.values())) > 50
+    assert hilbert_shards.quantise(docs, "source", []) is not None and hilbert_shards.cuts(docs.limit(0), ["source", "doc_id"], 3) == [[], []]
+
+
+def test_host_of_many_labels(spark):
+    """60 000 labels: only parents of as many labels as keys have are asked for."""
+    host = "a." * 59_998 + "example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/x", "2024-02-02"), (2, "http://b.example.com.", "2024-02-02"), (3, "http://com", "2024-02-02")], "page_id long, url string, fetch_date string")
+    entries = spark.createDataFrame([("example.com", "block", "2024-01-01"), ("a.example.com", "allow", "2024-02-03"), ("com", "block", "2024-01-01"), (None, "block", "2024-01-01")], "key string, action string, since string")
+    began = time.perf_counter()
+    got = {r.page_id: (r.list_key, r.blocked) for r in url_filter.judge_captures(pages, entries).collect()}
+    assert got == {1: ("example.com", True), 2: (None, False), 3: (None, False)}
+    assert time.perf_counter() - began < 60
+    kept = spark.createDataFrame([("a.b.c",), ("b.c",), ("c",), ("1.2.3.4",), ("[::1]",), ("",)], "h string").select(url_filter.suffixes(F.col("h")), url_filter.suffixes(F.col("h"), sizes=[1, 2, 9])).collect()
+    assert [tuple(r) for r in kept] == [(["a.b.c", "b.c"], ["b.c"]), (["b.c"], ["b.c"]), ([], []), (["1.2.3.4"], ["1.2.3.4"]), (["[::1]"], ["[::1]"]), ([], [])]
+
+
+def test_hot_key_of_the_filter(spark):
+    """Twenty million equal rows: counted in their tasks, so no task and no array holds them."""
+    rows = spark.range(20_000_000).select(F.lit("same").alias("k")).unionByName(spark.createDataFrame([("once",), ("twice",), ("twice",)], "k string"))
+    words = bloom_dedup.filter_words(rows, [F.col("k")], 20, 2)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "partial_count" in plan
+    assert words.count() == 2
+    once, maybe = bloom_dedup.split_by(spark.createDataFrame([("once",), ("twice",), ("same",)], "k string"), [F.col("k")], words, 20)
+    assert [r.k for r in once.collect()] == ["once"] and sorted(r.k for r in maybe.collect()) == ["same", "twice"]
+
+
+def test_warc_headers_of_other_forms():
+    """Folded lines belong to the header before; HTTP headers may end lines with LF; a block without blank line is all payload."""
+    def record(block, more=b""):
+        return b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http;\r\n msgtype=response\r\n" + more + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    found = warc.parse_record(record(b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody\n\nx"), 0)
+    assert found.headers["content-type"] == "application/http; msgtype=response" and found.payload() == b"body\n\nx"
+    assert warc.parse_record(record(b"HTTP/1.1 200 OK\nA: b\n\nbody"), 0).payload() == b"body"
+    assert warc.parse_record(record(b"no header", b"X: 1\r\n\t2\r\n"), 0).payload() == b"no header"
