@@ -471,7 +471,7 @@ def test_score_against_plain_version(spark, docs, texts):
         units.append((now, b"\n"))
         if len(units) > 5000:
             continue
-        urns = []
+        urns = []  # Of both kinds, in any order.
         for a in context_mixing.URNS:
             total, seen, sizes = 0.0, Counter(), Counter()
             for unit in units:
@@ -480,9 +480,33 @@ def test_score_against_plain_version(spark, docs, texts):
                 seen[unit] += 1
                 sizes[unit[0]] += 1
             urns.append(total)
+            total, seen, sizes, last = 0.0, Counter(), Counter(), {}
+            for unit in units:
+                before = (unit[0], last.get(unit[0]))
+                lp = log_p[context_mixing._key(*unit)]
+                total += (np.log(seen[before, unit] + a * np.exp(lp)) if seen[before, unit] else np.log(a) + lp) - np.log(sizes[before] + a)
+                seen[before, unit] += 1
+                sizes[before] += 1
+                last[unit[0]] = unit
+            urns.append(total)
         assert rows[i] == pytest.approx((np.logaddexp.reduce(urns) - np.log(len(urns))) / np.log(10), rel=1e-6, abs=1e-6)
 
 
+def test_order_of_words_counts(spark):
+    """Held-out ASCII texts with turns that repeat score better than the same words shuffled."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    turns = [[rng.choice(words) for _ in range(5)] for _ in range(12)]
+    plain = [" ".join(w for _ in range(14) for w in rng.choice(turns)) for _ in range(20)]
+    mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in plain]
+    train = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    for heavy in (context_mixing.HEAVY, 3):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(context_mixing, "HEAVY", heavy)
+            rows = {r.doc_id: r.score for r in context_mixing.score(_docs(spark, [*plain, *mixed, *train]), F.col("doc_id") >= 40).collect()}
+        assert all(rows[i] > rows[20 + i] + 1 for i in range(20))
+
+
 def test_long_words_cost_all_their_bytes(spark, texts):
     """A held-out word of 100 000 bytes, alone, repeated, and beyond the broadcast units, as well as twice its length."""
     rng = random.Random(3)
