@@ -28,7 +28,8 @@ def chunk_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     requests: start and end (dates, inclusive), days (in a chunk), and any other columns.
     """
-    reason = F.when(F.col("start").isNull() | F.col("end").isNull() | F.col("days").isNull(), "no start, end or days").when(F.col("start") > F.col("end"), "start after end").when(F.col("days") < 1, "days below 1")
+    lacking = F.col("start").isNull() | F.col("end").isNull() | F.col("days").isNull()
+    reason = F.when(lacking, "no start, end or days").when(F.col("start") > F.col("end"), "start after end").when(F.col("days") < 1, "days below 1")
     rows = requests.withColumn("reason", reason)
     good = rows.filter("reason is null").drop("reason")
     starts = F.expr("transform(sequence(0, cast(floor(datediff(end, start) / days) as int)), k -> date_add(start, cast(k * days as int)))")

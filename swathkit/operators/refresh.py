@@ -12,6 +12,10 @@ from swathkit.sources import files
 from swathkit.sources.scratch import remove
 
 _STATE = "path string, size long, modified timestamp, day date"
+_FOOTPRINT = (
+    "path string, file_name string, central_time string, central_lat double, central_lon double, central_ts timestamp, "
+    "rings array<array<struct<lon:double,lat:double>>>, straddles boolean, day date"
+)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -57,5 +61,4 @@ def refresh_footprints(spark: SparkSession, root: str, start: str, end: str, tab
 
 def kept_footprints(spark: SparkSession, table: str) -> DataFrame:
     """The footprints of the table, with names: those that one run over all manifests would give."""
-    kinds = "path string, file_name string, central_time string, central_lat double, central_lon double, central_ts timestamp, rings array<array<struct<lon:double,lat:double>>>, straddles boolean, day date"
-    return tracks.with_names(spark.read.schema(kinds).parquet(f"{table}/footprints"))
+    return tracks.with_names(spark.read.schema(_FOOTPRINT).parquet(f"{table}/footprints"))

@@ -126,7 +126,9 @@ def read_points(spark: SparkSession, path: str, mode: str = "fail") -> tuple[Dat
     """
     raw = spark.read.csv(path, header=True, schema="latitude string, longitude string, timestamp string")
     place = F.struct(_file().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    rows = raw.select("*", F.col("latitude").try_cast("double").alias("lat"), F.col("longitude").try_cast("double").alias("lon"), times.micros(times.parse_utc(F.col("timestamp"), strict=False)).alias("point_us"), place.alias("point_id"))
+    lat, lon = F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double")
+    us = times.micros(times.parse_utc(F.col("timestamp"), strict=False))
+    rows = raw.select("*", lat.alias("lat"), lon.alias("lon"), us.alias("point_us"), place.alias("point_id"))
     good = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("point_us").isNotNull()
     if mode == "quarantine":
         points = rows.filter(good).select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "timestamp", "point_us", "point_id")
@@ -138,7 +140,10 @@ def read_points(spark: SparkSession, path: str, mode: str = "fail") -> tuple[Dat
 
 
 def parse_footprints(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(footprints: footprint_us, source_folder, file_name, parts; rejects: path, source_folder, file_name, reason) of documents (path, value; source_folder, file_name and folder_no are taken if there)."""
+    """(footprints: footprint_us, source_folder, file_name, parts; rejects: path, source_folder, file_name, reason) of documents.
+
+    files: path, value; source_folder, file_name and folder_no are taken if there.
+    """
     have = files.columns
     folder = F.col("source_folder") if "source_folder" in have else _folder(F.col("path"))
     name = F.col("file_name") if "file_name" in have else _name(F.col("path"))
