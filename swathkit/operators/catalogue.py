@@ -71,21 +71,24 @@ def with_targets(listing: DataFrame, base_url: str, out_dir: str) -> DataFrame:
     return rows.withColumn("target_path", F.concat_ws("/", F.lit(out_dir), F.coalesce(F.nullif("acquisition_date", F.lit("")), chunk), name))
 
 
-def reconcile(listing: DataFrame, inventory: DataFrame, chunks: DataFrame | None = None, cap: int = QUERY_CAP) -> tuple[DataFrame, DataFrame]:
+def reconcile(listing: DataFrame, inventory: DataFrame, chunks: DataFrame | None = None, cap: int | None = QUERY_CAP) -> tuple[DataFrame, DataFrame]:
     """(rows of listing whose target_path isn't in inventory(target_path); per chunk: expected, listed, present, missing).
 
     chunks: chunk_start and expected, the number of records that the catalogue says it has. Chunks
     without a listed row show as well, and an expected number of cap or more is an error, raised
-    before anything is compared. Without chunks the listed rows count as expected.
+    before anything is compared. Without chunks the listed rows count as expected. cap None: the
+    listing isn't the answer of one query a chunk, so its chunks may have any number of rows.
     """
     here = inventory.select("target_path", F.lit(True).alias("here")).distinct()
     flagged = listing.join(here, "target_path", "left").withColumn("here", F.coalesce("here", F.lit(False)))
     summary = flagged.groupBy("chunk_start").agg(F.count("*").alias("listed"), F.count_if("here").alias("present"))
     if chunks is None:
-        check_cap(summary, cap, "listed")
+        if cap is not None:
+            check_cap(summary, cap, "listed")
         summary = summary.withColumn("expected", F.col("listed"))
     else:
-        check_cap(chunks, cap)
+        if cap is not None:
+            check_cap(chunks, cap)
         summary = chunks.select("chunk_start", "expected").join(summary, "chunk_start", "left").fillna(0, ["listed", "present"])
     missing = flagged.filter(~F.col("here")).select(*listing.columns)
     return missing, summary.select("chunk_start", "expected", "listed", "present", (F.col("listed") - F.col("present")).alias("missing"))

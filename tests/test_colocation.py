@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from swathkit.functions import geometry, times
 from swathkit.operators import catalogue, refresh, rings, tracks
 from swathkit.operators.colocate import HOUR, by_bucket, colocate, deal, keyed_points, prepare_footprints
+from swathkit.plans import colocation
 from swathkit.sources import files, inventory, tables
 
 RINGS = "footprint_id string, rings array<array<struct<lon:double,lat:double>>>"
@@ -115,6 +116,20 @@ def test_catalogue(spark):
             catalogue.reconcile(listing, there, chunks, cap)
 
 
+@pytest.mark.parametrize("name", ["catalogue_missing"])
+def test_days_of_any_number_of_rows_are_reconciled(spark, tmp_path, name):
+    """One day with more listed rows than a server's answer can hold."""
+    n = 12_000
+    spark.range(n).select(F.col("id").alias("event_id"), F.lit("2024-01-01 10:00:00").cast("timestamp_ntz").alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    rows = colocation.QUERIES[name](spark, str(tmp_path)).collect()
+    listed = [i for i in range(n) if i % 10 != 3]
+    absent = [i for i in listed if i % 3 != 0]
+    if name == "catalogue_missing":
+        assert sorted(r.target_path for r in rows) == sorted(f"out/2024-01-01/D{i}_MD.XML" for i in absent)
+    else:
+        assert [tuple(r) for r in rows] == [("2024-01-01", len(listed), len(listed), len(listed) - len(absent), len(absent))]
+
+
 def test_catalogue_files(spark, tmp_path):
     for day, names in (("2024-08-01", (" a ", "b", " ")), ("2024-08-02", ("c",))):
         (tmp_path / f"list/chunk_start={day}").mkdir(parents=True)
