@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from swathkit.sources.scratch import scratch_path
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events, spread over all cores: what is derived from a row costs far more than moving it, and a small table is one split."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(spark.sparkContext.defaultParallelism, "event_id")
-    return rows.withColumn("us", times.micros_of_ntz(F.col("ts")))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("us", times.micros_of_ntz(F.col("ts")))
+    return rows.repartition(spark.sparkContext.defaultParallelism, "event_id")
 
 
 def _point_place(event_id: Column) -> tuple[Column, Column]:
@@ -99,13 +100,16 @@ def _document(event_id: Column, cx: Column, cy: Column) -> Column:
         text('{"type":"FeatureCollection","features":[', feature(square), ",", feature(geometry_of("Polygon", text("[", box(cx - 6, cy, 6, 5), "]"))), "]}"),
         text('{"type":"Feature","geometry":', outer),
     ]
-    return F.element_at(F.array(*kinds), (F.floor(event_id / 5) % len(kinds) + 1).cast("int"))
+    kind = (F.floor(event_id / 5) % len(kinds)).cast("int")
+    return functools.reduce(lambda chosen, k: chosen.when(kind == k, kinds[k]), range(1, len(kinds)), F.when(kind == 0, kinds[0]))
 
 
 def _documents(events: DataFrame) -> DataFrame:
     rows = _centres(events)
     name = F.concat(times.safe_name(times.iso_text(F.timestamp_micros("us")), "_"), F.col("event_id").cast("string"), F.lit(".geojson"))
-    return rows.select(F.concat(F.lit("/f/"), _folder(), F.lit("/"), name).alias("path"), _document(F.col("event_id"), F.col("cx"), F.col("cy")).alias("value"))
+    # Behind a generator a document is put together once, however often its reader refers to it, and apart from the reader's code, with which it outgrows what can be compiled.
+    made = F.struct(F.concat(F.lit("/f/"), _folder(), F.lit("/"), name).alias("path"), _document(F.col("event_id"), F.col("cx"), F.col("cy")).alias("value"))
+    return rows.select(F.explode(F.array(made)).alias("made")).select("made.*")
 
 
 def colocate_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
