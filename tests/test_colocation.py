@@ -372,6 +372,29 @@ def test_rings_of_many_vertices(spark, shape):
     assert sizes["n_all"] < 5 * n and (shape != "round" or (sizes["bands"] > 300 and sizes["few"] < 40))
 
 
+def test_small_rings_in_columns(spark):
+    """Rings of up to eight vertices are tested without lambdas, and give what the edges give; also on edges and vertices, and where a ring crosses itself."""
+    rng = random.Random(5)
+    rows = []
+    for n in [3, 4, 5, 8, 9] * 12:
+        ring = [(rng.randrange(-8, 9) / 2, rng.randrange(-8, 9) / 2) for _ in range(n)]
+        middle = [((a + c) / 2, (b + d) / 2) for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1])]
+        rows += [(ring, float(x), float(y)) for x, y in ring + middle + [(rng.randrange(-9, 10) / 4, rng.randrange(-9, 10) / 4) for _ in range(20)]]
+    table = spark.createDataFrame(rows, "r array<struct<lon:double,lat:double>>, x double, y double").selectExpr("x", "y", f"{geometry.edges_sql('r')} as ring_edges")
+    table = table.selectExpr("*", f"{geometry.plain_ring_sql('ring_edges')} as ring").select("x", "y", "ring_edges", "ring.*")
+    got = table.selectExpr("size(ring_edges) as n", "ring_x0 is not null as plain", f"{geometry.in_plain_ring_sql('x', 'y')} as a", f"{geometry.in_ring_sql('x', 'y', 'ring_edges')} as b").collect()
+    assert all(r.plain == (r.n <= 8) and (r.a == r.b or not r.plain) for r in got)
+    assert {r.b for r in got if r.plain} == {True, False}
+
+
+def test_footprints_of_one_small_ring_hold_no_lambda_parts(spark):
+    hole = [[[2, 2], [3, 2], [3, 3], [2, 3], [2, 2]]]
+    found, _ = _footprints(spark, [_geo("Polygon", [SQUARE]), _geo("Polygon", [SQUARE, *hole]), _geo("MultiPolygon", [[SQUARE], [SQUARE]]), _geo("Point", [1, 1])])
+    rows = prepare_footprints(found, 4 * HOUR, 30.0, 9).collect()
+    assert {(r.file_name[11:13], r.ring_n, max(len(p.rings) for p in r.parts)) for r in rows} == {("00", 4, 0), ("01", None, 2), ("02", None, 1), ("03", None, 0)}
+    assert all(r.west <= 1 <= r.east and r.south <= 1 <= r.north for r in rows if r.gx == r.gy == 0)
+
+
 def test_xml_in_one_parse(spark):
     """Names with and without namespaces, text cut by comments, children and entities, elements without text, prefixes that stand for nothing."""
     from swathkit.functions.xml import read_elements
