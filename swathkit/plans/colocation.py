@@ -12,7 +12,7 @@ from swathkit.functions import geojson, geometry, times
 from swathkit.operators import catalogue, refresh, rings, tracks
 from swathkit.operators.colocate import HOUR, colocate, match_totals
 from swathkit.sources import files, inventory, tables
-from swathkit.sources.scratch import scratch_path
+from swathkit.sources.scratch import remove, scratch_path
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,10 +172,16 @@ def _tracks_of_files(events: DataFrame) -> DataFrame:
     return rows.select(times.utc_date(F.col("low")).alias("day"), text.alias("value"))
 
 
+def _write_singly(rows: DataFrame, path: str) -> None:
+    """Documents (day, value) as a file for each, in folders by day, on all cores; tasks move their files in place themselves."""
+    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    spread.write.partitionBy("day").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def granule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Granules written as files in folders by day, and read from there."""
     path = scratch_path(spark, "granules")
-    _tracks_of_files(_events(spark, sf_dir)).write.partitionBy("day").option("maxRecordsPerFile", 1).text(path)
+    _write_singly(_tracks_of_files(_events(spark, sf_dir)), path)
     found, _ = tracks.extract_points(files.read_granules(spark, path, recursive=True, files="part-*"))
     return found.select("granule_group", "pos", "latitude", "longitude", "timestamp")
 
@@ -251,7 +257,7 @@ def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests in a tree of dates, one for every hundred events, read for a range that begins and ends with a missing day."""
     path = scratch_path(spark, "manifests")
     rows = _grouped_manifests(_events(spark, sf_dir))
-    rows.select("day", F.col("xml").alias("value")).write.partitionBy("day").option("maxRecordsPerFile", 1).text(path)
+    _write_singly(rows.select("day", F.col("xml").alias("value")), path)
     low, high = (dt.date.fromisoformat(d) for d in _by_dates(spark, path))
     manifests, days = files.read_manifests(spark, path, str(low - dt.timedelta(1)), str(high + dt.timedelta(1)), files="part-*")
     found, _ = tracks.read_manifest(manifests)
@@ -263,14 +269,9 @@ def _write_tree(rows: DataFrame, root: str, between: str = "/") -> None:
     """Documents (day, file_name, xml) as files YYYY/MM/DD/<name>; between stands between the parts of the date."""
     spark = rows.sparkSession
     written = scratch_path(spark, "tree")
-    rows.select("day", "file_name", F.col("xml").alias("value")).write.partitionBy("day", "file_name").text(written)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in system.globStatus(path(f"{written}/day=*/file_name=*/part-*")):
-        name, day = (p.getName().partition("=")[2] for p in (found.getPath().getParent(), found.getPath().getParent().getParent()))
-        target = path(f"{root}/{day.replace('-', between)}/{name}")
-        system.mkdirs(target.getParent())
-        system.rename(found.getPath(), target)
+    files.write_scratch_files(rows.select("day", "file_name", F.col("xml").alias("value")), written, "day", "file_name")
+    files.place_files(spark, written, lambda names: f"{root}/{names['day'].replace('-', between)}/{names['file_name']}")
+    remove(spark, [written])
 
 
 def late_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,22 +196,54 @@ def write_footprints(footprints: DataFrame, path: str) -> None:
     footprints.select("day", text.alias("value")).write.mode("overwrite").partitionBy("day").text(path)
 
 
+def write_scratch_files(rows: DataFrame, path: str, *by: str) -> None:
+    """Text files in folders by columns, written on all cores: to make a file costs far more than its few bytes, by which Spark would gather all in one task.
+
+    Each task moves its files in place as it ends: the driver would do that for one after the other. So
+    a failed write leaves some there, which is fine below a scratch path only.
+    """
+    rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *by).write.partitionBy(*by).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
+#: Renames that are under way at once.
+_RENAMES = 16
+
+
+def place_files(spark: SparkSession, written: str, target: Callable[[dict[str, str]], str]) -> None:
+    """Move each file below a path to where target puts the values of its folders (column=value). The folders are listed by Spark; two files of one target are an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    moves: dict[str, str] = {}
+    for source in spark.read.option("recursiveFileLookup", "true").text(written).inputFiles():
+        place = target({k: unquote(v) for k, _, v in (part.partition("=") for part in unquote(source).split("/")[:-1]) if v})
+        if place in moves:
+            raise FileExistsError(place)
+        moves[place] = source
+    uri = spark._jvm.java.net.URI
+    for folder in {place.rpartition("/")[0] for place in moves}:
+        path(folder).getFileSystem(conf).mkdirs(path(folder))
+    system = path(written).getFileSystem(conf)
+
+    def move(item: tuple[str, str]) -> None:
+        place, source = item
+        if not system.rename(path(uri(source)), path(place)):
+            raise FileExistsError(place)
+
+    with ThreadPoolExecutor(_RENAMES) as pool:
+        for _ in pool.map(move, moves.items()):
+            pass
+
+
 def export_geojson(footprints: DataFrame, folder: str) -> None:
     """Each footprint as a file of its own, named by polygon_file, right in a folder: the form that other tools exchange.
 
-    The features are written by the tasks, the files named afterwards, a rename for each; names must not repeat.
+    The features are written by the tasks, the files named afterwards; names must not repeat.
     """
     spark = footprints.sparkSession
     text = geojson.feature_text(F.col("rings"), F.col("central_time"), F.col("file_name"))
     written = scratch_path(spark, "geojson")
-    footprints.select("polygon_file", text.alias("value")).write.partitionBy("polygon_file").text(written)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(path(folder))
-    for found in system.globStatus(path(f"{written}/polygon_file=*/part-*")):
-        name = found.getPath().getParent().getName().partition("=")[2]
-        if not system.rename(found.getPath(), path(f"{folder}/{name}")):
-            raise FileExistsError(f"{folder}/{name}")
+    write_scratch_files(footprints.select("polygon_file", text.alias("value")), written, "polygon_file")
+    place_files(spark, written, lambda names: f"{folder}/{names['polygon_file']}")
     remove(spark, [written])
 
 

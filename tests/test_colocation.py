@@ -230,6 +230,20 @@ def test_files(spark, tmp_path):
         files.read_points(spark, str(tmp_path / "p.csv"))[0].collect()
 
 
+def test_single_files_are_written_by_several_tasks(spark, tmp_path):
+    """A grouped table is so small that Spark would gather it in one task; each file goes where its folders say, and no two to one place."""
+    rows = spark.range(400).groupBy((F.col("id") % 40).alias("n")).agg(F.max("id").cast("string").alias("value"))
+    rows = rows.select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n") % 2).cast("int")).alias("day"), F.concat(F.lit("a b_"), F.col("n").cast("string"), F.lit(".x")).alias("file_name"), "value")
+    files.write_scratch_files(rows, str(tmp_path / "made"), "day", "file_name")
+    parts = list((tmp_path / "made").glob("day=*/file_name=*/part-*"))
+    assert len(parts) == 40 and len({p.name.split("-")[1] for p in parts}) > 1
+    with pytest.raises(FileExistsError):
+        files.place_files(spark, str(tmp_path / "made"), lambda names: str(tmp_path / "same"))
+    files.place_files(spark, str(tmp_path / "made"), lambda names: f"{tmp_path}/out/{names['day'].replace('-', '/')}/{names['file_name']}")
+    got = {str(p.relative_to(tmp_path / "out")): p.read_text().strip() for p in (tmp_path / "out").rglob("*.x")}
+    assert got == {f"2024/01/0{n % 2 + 1}/a b_{n}.x": str(360 + n) for n in range(40)}
+
+
 def test_dates_in_the_root(spark, tmp_path):
     """A root that itself looks like a date: the day is what stands below it."""
     root = tmp_path / "1999/01/02"
