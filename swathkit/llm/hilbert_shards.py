@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve, so that a shard spans a small box in every metadata dimension.
 
-Each dimension is quantised to the same number of bits, at its quantiles and in its own order (text at
-those of a sample of its values), the cells are ordered by their index on the Hilbert curve, and the order is cut in runs. The cut is
+Each dimension is quantised to the same number of bits, at its quantiles over all rows and in its own
+order, the cells are ordered by their index on the Hilbert curve, and the order is cut in runs. The cut is
 by row count, with the `rows` law: shard sizes differ by one row at most. Files written from the
 shards carry narrow minimum and maximum values per dimension, which is what prunes them.
 """
@@ -51,8 +51,8 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-#: About the rows of the sample that cuts text dimensions, and characters of a value that are compared.
-SAMPLE, CHARACTERS = 10_000, 1_000
+#: Characters of a text value that are compared.
+CHARACTERS = 1_000
 
 
 def _is_text(df: DataFrame, name: str) -> bool:
@@ -67,26 +67,43 @@ def _ordered(df: DataFrame, name: str) -> Column:
     return F.substring(value.cast("string"), 1, CHARACTERS) if _is_text(df, name) else value.cast("timestamp").cast("double")
 
 
-def _text_cuts(df: DataFrame, names: Sequence[str], shares: list[float], count: int) -> dict[str, list[str]]:
-    """Quantiles of text columns of count rows, from about SAMPLE rows, drawn by a hash of their place: what reaches the driver doesn't depend on the table's size."""
-    if not names:
-        return {}
-    h = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40))
-    rows = df.select(*[_ordered(df, n).alias(f"t{i}") for i, n in enumerate(names)], h.alias("h"))
-    sample = rows.filter(F.col("h") < int(min(1.0, SAMPLE / max(count, 1)) * (1 << 40))).drop("h").collect()
-    found = {}
-    for i, name in enumerate(names):
-        values = sorted((r[i] for r in sample if r[i] is not None), key=str.encode)
-        found[name] = [values[max(0, math.ceil(share * len(values)) - 1)] for share in shares] if values else []
-    return found
+def _text_cuts(df: DataFrame, names: Sequence[str], shares: list[float]) -> dict[str, list[str]]:
+    """Exact quantiles of text columns, of all rows: values are counted and sorted by Spark, and of each column only those at the quantiles' ranks reach the driver."""
+    return {name: _quantiles(df.select(_ordered(df, name).alias("value")), shares) for name in names}
+
+
+def _quantiles(values: DataFrame, shares: list[float]) -> list[str]:
+    """The values (column value, nulls left out) at the ranks ceil(share * rows)."""
+    counted = values.filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    # Range partitions are sampled anew by every job, so the sorted values are written once, with their place.
+    counted = counted.repartitionByRange("value").sortWithinPartitions("value").withColumn("place", F.monotonically_increasing_id())
+    counted = materialize(counted, "values").withColumn("part", F.shiftright("place", 33))
+    # One row per partition: bounded by the number of partitions, not of values.
+    sums = sorted(map(tuple, counted.groupBy("part").agg(F.sum("n")).collect()))
+    total = sum(n for _, n in sums)
+    if not total:
+        return []
+    ranks = [max(1, math.ceil(share * total)) for share in shares]
+    wanted, before = [], 0
+    for part, n in sums:
+        own = [r for r in ranks if before < r <= before + n]
+        if own:
+            wanted.append((part, before, own))
+        before += n
+    starts = values.sparkSession.createDataFrame(wanted, "part long, before long, ranks array<long>")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("place")) + F.col("before")
+    rows = counted.join(F.broadcast(starts), "part").withColumn("upto", upto)
+    hit = rows.withColumn("ranks", F.expr("filter(ranks, r -> r > upto - n and r <= upto)")).filter("size(ranks) > 0")
+    found = {r.rank: r.value for r in hit.select("value", F.explode("ranks").alias("rank")).collect()}
+    return [found[r] for r in ranks]
 
 
 def cuts(df: DataFrame, dims: Sequence[str], bits: int, accuracy: int = 10_000) -> list[list[float] | list[str]]:
-    """For each dimension the values that cut it in 2**bits cells of about equal rows, numbers and times from one pass of bounded sketches. A frequent value stands several times, so that few values spread over all cells."""
+    """For each dimension the values that cut it in 2**bits cells of about equal rows, numbers and times from one pass of bounded sketches over all rows, text exactly. A frequent value stands several times, so that few values spread over all cells."""
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
     numbers = [d for d in dims if not _is_text(df, d)]
-    *sketches, count = df.agg(*[F.percentile_approx(_ordered(df, d), shares, accuracy).alias(f"d{i}") for i, d in enumerate(numbers)], F.count(F.lit(1)).alias("rows")).first()
-    texts = _text_cuts(df, [d for d in dims if _is_text(df, d)], shares, count)
+    sketches = df.agg(*[F.percentile_approx(_ordered(df, d), shares, accuracy).alias(f"d{i}") for i, d in enumerate(numbers)]).first() if numbers else ()
+    texts = _text_cuts(df, [d for d in dims if _is_text(df, d)], shares)
     return [texts[d] if d in texts else sorted(sketches[numbers.index(d)] or []) for d in dims]
 
 

@@ -680,6 +680,15 @@ def test_text_cells_of_long_common_prefixes(spark):
     assert hilbert_shards.quantise(docs, "source", []) is not None and hilbert_shards.cuts(docs.limit(0), ["source", "doc_id"], 3) == [[], []]
 
 
+def test_text_cuts_are_exact_quantiles(spark):
+    """Of more rows than a sample would hold, half of them of one value, the cuts are the values at the ranks."""
+    value = F.when(F.col("id") < 15_000, "00007").when(F.col("id") % 100 != 1, F.lpad(F.col("id").cast("string"), 5, "0"))
+    docs = spark.range(30_000).select(value.alias("source"))
+    values = sorted(["00007"] * 15_000 + [f"{i:05}" for i in range(15_000, 30_000) if i % 100 != 1])
+    want = [values[-(-k * len(values) // 64) - 1] for k in range(1, 64)]
+    assert hilbert_shards.cuts(docs, ["source"], 6) == [want]
+
+
 def test_host_of_many_labels(spark):
     """60 000 labels: only parents of as many labels as keys have are asked for."""
     host = "a." * 59_998 + "example.com"
