@@ -526,3 +526,44 @@ def test_requests_and_caps(spark):
     assert sorted((r.k, r.reason) for r in rejects.collect()) == [("c", "start after end"), ("d", "days below 1"), ("e", "no start, end or days")]
     counts = spark.createDataFrame([("x", 9_999), ("y", 10_000)], "chunk_start string, expected long")
     assert [r.chunk_start for r in catalogue.over_cap(counts).collect()] == ["y"]
+
+
+def test_far_points_stand_in_their_own_cells(spark):
+    """Points of a MultiPoint take a cell each, of the smallest size, and not all cells of the box around them."""
+    far = [[-170, -80], [3, 4], [3.5, 4.5], [170, 80], [10, 0]]
+    found, _ = _footprints(spark, [_geo("MultiPoint", far)])
+    rows = prepare_footprints(found, 4 * HOUR, 10.0, 9).collect()
+    assert sorted((r.level, r.gx, r.gy, len(r.parts[0].points)) for r in rows if len(r.parts[0].points) > 1) == [(0, 0, 0, 3)]
+    # A point on the corner of cells stands in all four.
+    assert len(rows) <= 12 and all(r.level == 0 and r.east - r.west < 10 for r in rows)
+    at = found.first().footprint_us
+    places = [*far, [3, 4.5], [0, 0], [170, -80]]
+    assert _pairs(colocate(_points(spark, [(float(x), float(y), at) for x, y in places]), found)) == {(float(x), float(y), str(at), found.first().file_name): 1 for x, y in far}
+
+
+def test_rings_are_tested_behind_the_join(spark):
+    """The loop over the pairs of a key holds time and box only, so it is compiled; wide rows of footprints stand in one bucket."""
+    points, found = _crowd(spark)
+    plan = colocate(points, found)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) == 1 and "west" in joins[0] and "ring_" not in joins[0] and "exists(" not in joins[0]
+    fp = prepare_footprints(found, 4 * HOUR, 10.0, 9)
+    assert "buckets" not in fp.columns and fp.groupBy("file_name", "source_folder", "level", "gx", "gy").count().filter("count > 1").isEmpty()
+    kept = by_bucket(fp).collect()
+    assert all((r.parts is None) == (r.ring_x0 is not None) for r in kept) and any(r.parts is None for r in kept)
+
+
+def test_small_rings_take_the_cells_that_loops_find(spark):
+    """A ring in columns from the start, and the same with so many vertices that it isn't, have the same cells, boxes and matches."""
+    rng = random.Random(11)
+    rings = []
+    for _ in range(60):
+        x, y, w = rng.uniform(-170, 170), rng.uniform(-80, 80), rng.choice([0.1, 4, 10, 45])
+        rings.append([(x + rng.uniform(-w, w), y + rng.uniform(-w, w)) for _ in range(rng.randint(3, 5))])
+    many = [[v for v in ring for _ in range(3)] for ring in rings]
+    few, lots = (_footprints(spark, [_geo("Polygon", [[list(v) for v in [*ring, ring[0]]]]) for ring in kind])[0] for kind in (rings, many))
+    cells = lambda df: {(r.file_name, r.level, r.bucket, r.gx, r.gy, r.west, r.east, r.south, r.north) for r in prepare_footprints(df, 4 * HOUR, 10.0, 9).collect()}
+    assert cells(few) == cells(lots)
+    at = few.first().footprint_us
+    points = _points(spark, [(rng.uniform(-180, 180), rng.uniform(-90, 90), at + rng.randrange(-5 * HOUR, 5 * HOUR)) for _ in range(1500)] + [(*v, at) for ring in rings for v in ring])
+    assert len(_pairs(colocate(points, few))) > 300 and _pairs(colocate(points, few)) == _pairs(colocate(points, lots))
