@@ -567,3 +567,10 @@ def test_small_rings_take_the_cells_that_loops_find(spark):
     at = few.first().footprint_us
     points = _points(spark, [(rng.uniform(-180, 180), rng.uniform(-90, 90), at + rng.randrange(-5 * HOUR, 5 * HOUR)) for _ in range(1500)] + [(*v, at) for ring in rings for v in ring])
     assert len(_pairs(colocate(points, few))) > 300 and _pairs(colocate(points, few)) == _pairs(colocate(points, lots))
+
+
+def test_points_without_a_coordinate_leave_the_others(spark):
+    found, _ = _footprints(spark, [_geo("MultiPoint", [[3, 4], [50, 60]])])
+    found = found.withColumn("parts", F.expr("transform(parts, p -> struct(p.kind as kind, transform(p.rings, r -> concat(r, array(struct(cast(null as double) as lon, 1D as lat)))) as rings))"))
+    at = found.first().footprint_us
+    assert sum(_pairs(colocate(_points(spark, [(3.0, 4.0, at), (50.0, 60.0, at), (3.0, 1.0, at)]), found)).values()) == 2
