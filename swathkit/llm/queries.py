@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathkit.llm import bloom_dedup, byte_bpe, context_mixing, decontaminate, hilbert_shards, importance, secret_scan, simhash_dedup, spelling_variants, suffix_dedup, toxicity, url_filter, warc
+from swathkit.llm import bit_mixing, bloom_dedup, byte_bpe, decontaminate, hilbert_shards, importance, secret_scan, simhash_dedup, spelling_variants, suffix_dedup, toxicity, url_filter, warc
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_RANKS = public_tokenizers.path("word_bpe_49k.json")
@@ -73,7 +73,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = context_mixing.score(_table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 1)
+    scored = bit_mixing.score(_table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 1)
     return scored.select("doc_id", (~F.col("is_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
