@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathkit.llm.shared import binary_list, materialize, mix, powers, slices
+from swathkit.llm.shared import arrow_bytes, binary_list, materialize, mix, powers, slices
 
 END = b"\n"
 #: Bytes of each context, and the slots of its table as a power of two: 14 million in all at most.
@@ -44,8 +44,10 @@ URNS = (30.0, 300.0, 3_000.0, 30_000.0)
 HEAVY = 1 << 19
 #: Windows of a task that counts or learns; fewer windows than LEAST are gone over several times.
 PART, LEAST = 1 << 20, 1 << 21
-#: Windows that are predicted at once, bytes of text that are read at once, and windows that a task holds or remembers.
-BLOCK, TEXTS, HELD, CACHE_BITS = 1 << 14, 15 << 17, 1 << 22, 22
+#: Windows that are predicted at once, bytes of text that are counted and scored at once, and windows that a task holds or remembers.
+BLOCK, TEXTS, SCORED, HELD, CACHE_BITS = 1 << 14, 15 << 17, 15 << 15, 1 << 22, 22
+#: Bytes of an Arrow batch: by Spark's own limits it is ten thousand texts, held by the JVM and the worker at once.
+BATCH = 1 << 22
 CHUNK = 1 << 13
 #: Bytes of training text for each task that collects windows, and the fewest such tasks.
 SPAN, TASKS = 1 << 27, 12
@@ -69,11 +71,15 @@ class Streams:
         blank = b" " * PAD
         buffer = blank + blank.join(streams)
         self.sizes = np.fromiter(map(len, streams), np.int64, len(streams))
-        at = np.arange(self.sizes.sum()) + np.repeat(PAD * np.arange(len(streams)), self.sizes)
+        at = np.repeat(PAD * np.arange(len(streams)), self.sizes)
+        at += np.arange(len(at))
+        self.windows = np.ndarray((len(buffer) - PAD,), "<u8", buffer, 0, (1,))[at]
+        del at
+        self.windows >>= np.uint64(8)
         # The byte itself is the highest of the number, the one before it the next.
-        self.windows = np.ndarray((len(buffer) - PAD,), "<u8", buffer, 0, (1,))[at] >> np.uint64(8)
-        self.data = np.frombuffer(buffer, np.uint8)[at + PAD]
-        self.starts = np.flatnonzero((self.windows >> np.uint64(40)) & np.uint64(255) == 32)
+        each = self.windows.view(np.uint8).reshape(-1, 8)
+        self.data = each[:, 6].copy()
+        self.starts = np.flatnonzero(each[:, 5] == 32)
         self.owner = np.searchsorted(np.cumsum(self.sizes), self.starts, side="right")
 
     def hashes(self) -> np.ndarray:
@@ -88,15 +94,29 @@ class Streams:
         return [word if word == END else word[:-1] for word in (whole[low:high] for low, high in spans)]
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts (1 each by default, and keys are sorted in place)."""
-    if counts is None:
-        keys.sort()
-    else:
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
+def _summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs. keys are sorted in place."""
+    keys.sort()
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.diff(first, append=len(keys)) if counts is None else np.add.reduceat(counts, first)
+    return keys[first], np.diff(first, append=len(keys))
+
+
+def _packed(windows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A window (56 bits) and its count as one number, several numbers if it counts over 255."""
+    full, rest = np.divmod(n, 255)
+    some, many = rest > 0, np.flatnonzero(full)
+    return np.concatenate([(windows[some] << np.uint64(8)) | rest[some].astype(np.uint64), np.repeat((windows[many] << np.uint64(8)) | np.uint64(255), full[many])])
+
+
+def _unpacked(packed: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows in order, and the sums of their counts. The list is emptied on the way."""
+    whole = np.concatenate(packed)
+    packed.clear()
+    whole.sort()
+    keys = whole >> np.uint64(8)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    keys = keys[first]
+    return keys, np.add.reduceat(whole.view(np.uint8)[::8], first, dtype=np.int64)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -126,24 +146,24 @@ def count_windows(texts: DataFrame) -> DataFrame:
     """window, n: the windows of a column of texts, and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
 
         def flush(least: int) -> Iterator[pa.RecordBatch]:
             """What is held becomes one, and is given out if it has at least so many windows."""
-            keys, counts = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            keys, counts = _summed(keys, counts)
-            if len(keys) < least:
-                held.append((keys, counts))
+            keys, counts = _unpacked(held)
+            packed = _packed(keys, counts)
+            if len(packed) < least:
+                held.append(packed)
                 return
+            del packed
             for i in range(0, len(keys), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)].astype(np.int64)) for x in (keys, counts)], names=["window", "n"])
 
         for batch in batches:
             values = binary_list(batch.column(0))
             for low, high in slices(values, TEXTS):
-                held.append(_summed(Streams(values[low:high]).windows))
-                if sum(len(keys) for keys, _ in held) > HELD:
+                held.append(_packed(*_summed(Streams(values[low:high]).windows)))
+                if sum(map(len, held)) > HELD:
                     yield from flush(HELD // 2)
         if held:
             yield from flush(0)
@@ -354,14 +374,16 @@ def train_mixer(windows: DataFrame, rate: float = 0.2) -> Mixer:
 
         def part() -> None:
             table = pa.Table.from_batches(held)
+            held.clear()
             keys, n = table.column(0).to_numpy().astype(np.uint64), table.column(1).to_numpy()
+            del table
             order = np.argsort(mix(keys))  # Any order will do that has no pattern.
+            keys, n = keys[order], n[order]
             own = Mixer(shared.value, bits)
             for k in range(passes):
-                used = own.run(keys[order], n[order], rate / (1 + k))[1][:, None]
+                used = own.run(keys, n, rate / (1 + k))[1][:, None]
             for total, x in zip(sums, (used * own.weights, used * own.refine, used)):
                 total += x
-            held.clear()
 
         for batch in batches:
             held.append(batch)
@@ -472,6 +494,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     are at first.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("is_train"))
+    with arrow_bytes(docs.sparkSession, BATCH):
+        return materialize(_scored(docs, rate), "scores")
+
+
+def _scored(docs: DataFrame, rate: float) -> DataFrame:
+    """score() of (doc_id, text, is_train), before it is computed."""
     texts = docs.filter("is_train").select("text")
     words = materialize(count_words(texts), "words")
     total, distinct_words = (int(x or 0) for x in words.agg(F.sum("c"), F.count("*")).first())
@@ -491,7 +519,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         memory = Memory(mixer)
         for batch in batches:
             values, rows = binary_list(batch.column(1)), batch.column(3).to_numpy()
-            for low, high in slices(values, TEXTS):
+            for low, high in slices(values, SCORED):
                 n, here = high - low, batch.slice(low, high - low)
                 streams = Streams(values[low:high])
                 log_p = np.add.reduceat(memory.log_p(streams.windows).astype(np.float64), streams.starts)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathkit.sources.scratch import materialize, scratch_path  # noqa: F401
@@ -39,6 +40,21 @@ def binary_list(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, b"").to_pylist()
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """What is computed within hands its rows to Python in batches of about so many bytes at most (or of one row)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def slices(values: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive values of at most limit bytes together; a longer value is alone."""
     start = total = 0

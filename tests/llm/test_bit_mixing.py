@@ -1,10 +1,12 @@
 """op9 predicts each bit where it stands, with contexts that cross the borders of words."""
 
 import random
+import tracemalloc
 from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,47 @@ def test_every_row_and_its_base(spark, heavy, monkeypatch):
     nothing = bm.score(_docs(spark, rows), F.lit(False)).collect()
     assert len(nothing) == len(rows) and all(r.n_known == 0 and np.isfinite(r.score) for r in nothing)
     assert bm.score(_docs(spark, rows).limit(0), F.lit(True)).count() == 0
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    """12 MB of texts are fewer than Spark's ten thousand rows: neither the JVM nor a worker holds them at once."""
+    sizes, key = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    count_windows, before = bm.count_windows, spark.conf.get(key)
+
+    def batch_sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    def watched(texts):
+        sizes.extend(r["size"] for r in texts.coalesce(1).mapInArrow(batch_sizes, "size long").collect())
+        return count_windows(texts)
+
+    monkeypatch.setattr(bm, "count_windows", watched)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 7_000).alias("text"))
+    assert bm.score(docs, F.lit(True)).count() == 300
+    assert sum(sizes) > 12e6 and max(sizes) < 6e6 and spark.conf.get(key) == before
+
+
+def test_streams_are_made_in_little_memory():
+    """At most 26 bytes of memory for each byte of text, 8 of them the windows."""
+    texts = [b"some words of a text " * 50] * 2000
+    tracemalloc.start()
+    try:
+        streams = bm.Streams(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(streams.windows) == len(streams.data) and peak < 26 * len(streams.data)
+
+
+def test_packed_counts_add_up():
+    """Counts beyond what one number holds, over several arrays."""
+    rng = np.random.default_rng(3)
+    held, want = [], Counter()
+    for _ in range(4):
+        windows = np.unique(rng.integers(0, 1 << 56, 200, dtype=np.uint64) % np.uint64(300) * np.uint64(239_072_435_685_151))
+        n = rng.choice([1, 2, 254, 255, 256, 510, 70_000], len(windows))
+        held.append(bm._packed(windows, n))
+        want.update(dict(zip(windows.tolist(), n.tolist())))
+    windows, n = bm._unpacked(held)
+    assert list(zip(windows.tolist(), n.tolist())) == sorted(want.items()) and not held
