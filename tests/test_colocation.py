@@ -574,3 +574,20 @@ def test_points_without_a_coordinate_leave_the_others(spark):
     found = found.withColumn("parts", F.expr("transform(parts, p -> struct(p.kind as kind, transform(p.rings, r -> concat(r, array(struct(cast(null as double) as lon, 1D as lat)))) as rings))"))
     at = found.first().footprint_us
     assert sum(_pairs(colocate(_points(spark, [(3.0, 4.0, at), (50.0, 60.0, at), (3.0, 1.0, at)]), found)).values()) == 2
+
+
+def test_equal_points_travel_once(spark, tmp_path):
+    """Equal points are one row of the join, and their matches stand together, so that copies of points add little to a file; 0.0 and -0.0 are two texts."""
+    found, _ = _footprints(spark, [_geo("Polygon", [SQUARE]), _geo("Polygon", [[[-1, -1], [2, -1], [2, 1], [-1, -1]]])])
+    at = found.agg(F.min("footprint_us")).first()[0]
+    rng = random.Random(7)
+    few = [(rng.uniform(0, 1), rng.uniform(0, 1), at + rng.randrange(HOUR)) for _ in range(300)] + [(0.0, 0.5, at), (-0.0, 0.5, at)]
+    many = few * 40
+    rng.shuffle(many)
+    rows = keyed_points(_points(spark, many), 4 * HOUR, 10.0, [0]).collect()
+    assert len(rows) == 5 * len(few) and {r.times for r in rows} == {40}
+    once, all_of = (colocate(_points(spark, some), found) for some in (few, many))
+    text = lambda df: Counter(map(repr, df.collect()))
+    assert len(text(once)) > 300 and text(all_of) == {match: 40 * n for match, n in text(once).items()}
+    size = lambda df, name: (df.coalesce(1).write.parquet(str(tmp_path / name)), sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet")))[1]
+    assert size(all_of, "many") < 2 * size(once, "once")
