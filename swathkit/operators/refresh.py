@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from swathkit.operators import tracks
 from swathkit.sources import files
-from swathkit.sources.scratch import remove
+from swathkit.sources.scratch import materialize, remove
 
 _STATE = "path string, size long, modified timestamp, day date"
 _FOOTPRINT = (
@@ -46,7 +46,8 @@ def refresh_footprints(spark: SparkSession, root: str, start: str, end: str, tab
     table outside the range are left alone.
     """
     dates = files.dates_between(start, end)
-    listed = files.list_manifests(spark, root, dates, pattern)
+    # Kept, as each look at it would ask for every file again; a file that changes later is found the next time.
+    listed = materialize(files.list_manifests(spark, root, dates, pattern), "listed")
     in_range = set(dates)
     days = [d for d in changed_days(spark, listed, table) if d in in_range]
     if not days:
@@ -54,11 +55,16 @@ def refresh_footprints(spark: SparkSession, root: str, start: str, end: str, tab
     remove(spark, [f"{table}/manifests/day={d}" for d in days] + [f"{table}/footprints/day={d}" for d in days])
     manifests, _ = files.read_manifest_days(spark, root, days, pattern)
     found, _ = tracks.nameless_footprints(manifests, "day", exact)
-    found.write.mode("append").partitionBy("day").parquet(f"{table}/footprints")
-    listed.filter(F.col("day").isin(days)).select("path", "size", "modified", "day").write.mode("append").partitionBy("day").parquet(f"{table}/manifests")
+    _write_days(found, f"{table}/footprints")
+    _write_days(listed.filter(F.col("day").isin(days)).select("path", "size", "modified", "day"), f"{table}/manifests")
     return days
 
 
+def _write_days(rows: DataFrame, path: str) -> None:
+    """Adds rows in folders by day, gathered by day first: each task would make a file for each of its days, and tasks grow with the manifests."""
+    rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+
+
 def kept_footprints(spark: SparkSession, table: str) -> DataFrame:
     """The footprints of the table, with names: those that one run over all manifests would give."""
     return tracks.with_names(spark.read.schema(_FOOTPRINT).parquet(f"{table}/footprints"))

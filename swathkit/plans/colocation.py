@@ -12,7 +12,7 @@ from swathkit.functions import geojson, geometry, times
 from swathkit.operators import catalogue, refresh, rings, tracks
 from swathkit.operators.colocate import HOUR, colocate, match_totals
 from swathkit.sources import files, inventory, tables
-from swathkit.sources.scratch import remove, scratch_path
+from swathkit.sources.scratch import materialize, scratch_path
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,17 +267,14 @@ def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _write_tree(rows: DataFrame, root: str, between: str = "/") -> None:
     """Documents (day, file_name, xml) as files YYYY/MM/DD/<name>; between stands between the parts of the date."""
-    spark = rows.sparkSession
-    written = scratch_path(spark, "tree")
-    files.write_scratch_files(rows.select("day", "file_name", F.col("xml").alias("value")), written, "day", "file_name")
-    files.place_files(spark, written, lambda names: f"{root}/{names['day'].replace('-', between)}/{names['file_name']}")
-    remove(spark, [written])
+    place = F.concat(F.replace(F.col("day").cast("string"), F.lit("-"), F.lit(between)), F.lit("/"), "file_name")
+    files.write_named_files(rows.select(place.alias("place"), F.col("xml").alias("value")), root)
 
 
 def late_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Footprints kept by day: a first run without the second versions of one group in seven, a second run once they have come. The rows of all days, and whether the second run computed their day."""
     path = scratch_path(spark, "late")
-    rows = _grouped_manifests(_events(spark, sf_dir), 2)
+    rows = materialize(_grouped_manifests(_events(spark, sf_dir), 2), "documents")
     is_late = (F.col("version") == 2) & (F.col("g") % 7 == 0)
     low, high = map(str, rows.agg(F.min("day"), F.max("day")).first())
     _write_tree(rows.filter("version = 1"), f"{path}/root")

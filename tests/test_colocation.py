@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import json
 import math
 import os
@@ -591,3 +592,47 @@ def test_equal_points_travel_once(spark, tmp_path):
     assert len(text(once)) > 300 and text(all_of) == {match: 40 * n for match, n in text(once).items()}
     size = lambda df, name: (df.coalesce(1).write.parquet(str(tmp_path / name)), sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet")))[1]
     assert size(all_of, "many") < 2 * size(once, "once")
+
+
+def test_named_files_are_written_in_place(spark, tmp_path, monkeypatch):
+    """Tasks write each file under its name; none is moved by the driver."""
+    monkeypatch.setattr(files, "place_files", lambda *_: pytest.fail("files were moved one by one"))
+    rows = spark.range(400).select(F.format_string("%02d/a b%%_%d.x", F.col("id") % 3, "id").alias("place"), F.when(F.col("id") != 7, F.concat(F.lit("ä"), F.col("id").cast("string"))).alias("value"))
+    out = tmp_path / "out dir"
+    (out / "00").mkdir(parents=True)
+    (out / "00/.a b%_0.x.crc").write_text("crc\0 of what stood there")
+    for _ in range(2):
+        files.write_named_files(rows, str(out))
+        assert {str(p.relative_to(out)): p.read_text() for p in out.rglob("*") if p.is_file()} == {f"{n % 3:02}/a b%_{n}.x": ("" if n == 7 else f"ä{n}") + "\n" for n in range(400)}
+    assert spark.read.option("recursiveFileLookup", "true").text(str(out)).count() == 400
+    with pytest.raises(FileExistsError, match="00/same"):
+        files.write_named_files(rows.withColumn("place", F.when(F.col("place").startswith("00"), F.lit("00/same")).otherwise(F.col("place"))), str(out))
+    ring = F.expr("array(array(struct(1D as lon, 2D as lat), struct(3D as lon, 2D as lat), struct(3D as lon, 5D as lat), struct(1D as lon, 2D as lat)))")
+    prints = spark.range(5).select(ring.alias("rings"), F.lit("2024-08-01T00:00:00Z").alias("central_time"), F.lit("m").alias("file_name"), F.format_string("%d.geojson", "id").alias("polygon_file"))
+    files.export_geojson(prints, str(tmp_path / "exchange"))
+    assert {p.name: json.loads(p.read_text())["type"] for p in (tmp_path / "exchange").iterdir()} == {f"{n}.geojson": "Feature" for n in range(5)}
+
+
+def test_many_manifests_make_few_tasks_and_files(spark, tmp_path):
+    """Manifests are read as bytes by a few tasks, unless their pattern may match compressed ones; a refresh adds one file to a day, however many tasks read it."""
+    xml = "<x><startTime>{0}T00:00:{1:02}Z</startTime><stopTime>{0}T00:01:00Z</stopTime><posList>0 1 0 5 5 5</posList></x>"
+    for day in ("2024-08-01", "2024-08-02"):
+        at = tmp_path / "root" / day.replace("-", "/")
+        at.mkdir(parents=True)
+        for n in range(40):
+            (at / f"A_B_C_D_E_F_G_H_{n}_1_x.manifest").write_text(xml.format(day, n))
+    (at / "z.manifest.gz").write_bytes(gzip.compress(xml.format("2024-08-02", 59).encode()))
+    root, table = str(tmp_path / "root"), str(tmp_path / "table")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4194304")
+    try:
+        rows, _ = files.read_manifests(spark, root, "2024-08-01", "2024-08-02")
+        assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 80
+        assert "binaryFile" in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.xml for r in rows.collect()) == sorted(xml.format(day, n) for day in ("2024-08-01", "2024-08-02") for n in range(40))
+        for pattern in ("*.gz", "z.*"):
+            assert [r.xml for r in files.read_manifests(spark, root, "2024-08-01", "2024-08-02", pattern)[0].collect()] == [xml.format("2024-08-02", 59)]
+        assert len(refresh.refresh_footprints(spark, root, "2024-08-01", "2024-08-02", table)) == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert refresh.kept_footprints(spark, table).count() == 80
+    assert [len(list((tmp_path / "table").glob(f"{kind}/day={day}/*.parquet"))) for kind in ("manifests", "footprints") for day in ("2024-08-01", "2024-08-02")] == [1] * 4
